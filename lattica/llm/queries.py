@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import decontaminate, packing, pii, quality, simhash
+from lattica.llm import decontaminate, embedding_dedup, language_model, licenses, packing, pii, quality, simhash, toxicity, warc
 from lattica.llm.common import fold, table
 
 
@@ -40,5 +40,67 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op4_packing, op5_decontamination, op8_simhash, op10_pii)}
-ORACLE_SQL: dict[str, str] = {}
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(fold("doc_id", 5) != 0))
+    held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(table(spark, sf_dir, "documents"), fold("doc_id", 5) == 1)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality, op2_embedding_dedup, op3_licenses, op4_packing, op5_decontamination, op6_toxicity, op7_language_model,
+        op8_simhash, op9_warc, op10_pii,
+    )
+}
+_BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), u AS (
+  SELECT vec_id, label, list_cosine_similarity(e, e) AS ok, e FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS src, b.vec_id AS dst FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(src, dst) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.src, l.dst FROM reach r JOIN l ON r.dst = l.src
+)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.src = e.vec_id) AS n_links,
+  (SELECT min(r.dst) FROM reach r WHERE r.src = e.vec_id) AS component_id,
+  e.vec_id = (SELECT min(r.dst) FROM reach r WHERE r.src = e.vec_id) AS kept
+FROM embeddings e
+""",
+    "op9_warc": f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), d AS (
+  SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr({_BASE32}, 1 + CAST(
+    (CAST('0x' || substr(x, 1 + 5 * CAST(i // 4 AS INT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d
+""",
+}
