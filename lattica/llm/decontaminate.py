@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Words of a window.
 WINDOW = 10
-#: Bytes whose hash indexes a shift table.
-BLOCK = 4
+#: Bytes whose hash indexes a shift table, the most that leave room for jumps first.
+BLOCKS = (8, 4, 2, 1)
 #: Bytes of benchmark text that one pass over the documents searches; more text takes more passes.
 PASS_BYTES = 16_000_000
 #: Bytes of reduced text that are searched at once.
@@ -50,33 +50,35 @@ class WuManber:
         self.classes = []
         by_class: dict[int, list[int]] = {}
         for k, p in enumerate(patterns):
-            by_class.setdefault(min(5, max(0, len(p).bit_length() - 2)), []).append(k)
+            by_class.setdefault(0 if len(p) < 8 else 1 if len(p) < 28 else 2, []).append(k)
         for ids in by_class.values():
             self.classes.append(self._tables([patterns[k] for k in ids], np.array(ids)))
 
     @staticmethod
     def _hash(blocks: np.ndarray, bits: int) -> np.ndarray:
-        return ((blocks * np.uint32(2654435761)) >> np.uint32(32 - bits)).astype(np.int64)
+        return ((blocks.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    @staticmethod
+    def _blocks(text: np.ndarray, block: int) -> np.ndarray:
+        """The block that begins at each byte, as a number; a view."""
+        return np.ndarray((max(0, len(text) - block + 1),), f"<u{block}", text.tobytes(), 0, (1,))
 
     def _tables(self, patterns: list[bytes], ids: np.ndarray) -> dict:
         m = min(map(len, patterns))
-        block = min(BLOCK, m)
-        heads = np.frombuffer(b"".join(p[:m] for p in patterns), np.uint8).reshape(-1, m)
+        block = next(b for b in BLOCKS if 3 * b <= m or b == 1)
+        every = self._blocks(np.frombuffer(b"".join(p[:m] for p in patterns), np.uint8), block)
+        heads = np.arange(len(patterns)) * m
         bits = int(min(22, max(12, (len(patterns) * (m - block + 1) * 8 - 1).bit_length())))
         shift = np.full(1 << bits, m - block + 1, np.int32)
         for end in range(block, m + 1):
-            v = np.zeros(len(patterns), np.uint32)
-            for k in range(block):
-                v = (v << np.uint32(8)) | heads[:, end - block + k]
-            np.minimum.at(shift, self._hash(v, bits), m - end)
+            h = self._hash(every[heads + end - block], bits)
+            np.minimum.at(shift, h, m - end)
         # suffix buckets: patterns in the order of their last block's hash
-        order = np.argsort(self._hash(v, bits), kind="stable")
-        keys = self._hash(v, bits)[order]
+        order = np.argsort(h, kind="stable")
         lens = np.array([len(patterns[k]) for k in order], np.int64)
-        # all of a pattern, as a hash of itself, is compared through its own bytes
         flat = np.frombuffer(b"".join(patterns[k] for k in order), np.uint8)
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-        return {"m": m, "block": block, "bits": bits, "shift": shift, "keys": keys, "lens": lens, "flat": flat, "starts": starts, "ids": ids[order]}
+        return {"m": m, "block": block, "bits": bits, "shift": shift, "keys": h[order], "lens": lens, "flat": flat, "starts": starts, "ids": ids[order]}
 
     def find(self, buf: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(starts, pattern indices) of all occurrences in buf."""
@@ -92,19 +94,17 @@ class WuManber:
         n, m, block = len(text), t["m"], t["block"]
         if n < m:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        lanes = int(min(max(1, n // 256), 1 << 16))
+        lanes = int(min(max(1, n // 512), 1 << 13))
         bounds = np.linspace(m, n + 1, lanes + 1).astype(np.int64)
         pos, stop = bounds[:-1].copy(), bounds[1:].copy()
         found = []
+        every = self._blocks(text, block)
         while len(pos):
             live = pos < stop
             if not live.all():
                 pos, stop = pos[live], stop[live]
                 continue
-            v = np.zeros(len(pos), np.uint32)
-            for k in range(block, 0, -1):
-                v = (v << np.uint32(8)) | text[pos - k]
-            h = self._hash(v, t["bits"])
+            h = self._hash(every[pos - block], t["bits"])
             s = t["shift"][h]
             zero = s == 0
             if zero.any():
