@@ -134,7 +134,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, seed: int = 7)
                 x = np.stack([statistics(t) for t in b.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1).cast(pa.int32()), b.column(2).cast(pa.int32())], names=["x", "y", "part"])
 
-    rows = sampled(docs, labels, "quality", bound).mapInArrow(stats, "x array<double>, y int, part int").persist()
+    rows = sampled(docs, labels, "quality", bound).mapInArrow(stats, "x array<double>, y int, part int")
+    # the sample's statistics are small; a few partitions keep the sums that the driver gets few, whatever the input
+    rows = rows.repartition(8).persist()
     try:
         moments = rows.mapInArrow(_moments, "n long, ones long, s array<double>, q array<double>").collect()
         n, ones = sum(r.n for r in moments), sum(r.ones for r in moments)
