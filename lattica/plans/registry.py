@@ -243,3 +243,39 @@ query("heat_steps", "sk", ", x AS (SELECT id, CASE WHEN id = (SELECT min(id) FRO
 query("degroot_steps", "sk", ", x AS (SELECT id, CAST(id % 10 AS DOUBLE) AS value, 0 AS k FROM sk_n UNION ALL SELECT m.dst, sum(x.value * m.w) / sum(m.w), k + 1 FROM x JOIN (SELECT src, dst, 1::DOUBLE AS w FROM sk_a UNION ALL SELECT id, id, 1 FROM sk_n) m ON m.src = x.id WHERE k < 5 GROUP BY m.dst, k) SELECT id, round(value, 6) AS value FROM x WHERE k = 5")(
     lambda g: iterate.degroot(g, g.nodes.select("id", (F.col("id") % 10).cast("double").alias("value")), 5)
 )
+
+# searches from every source
+from lattica.operators import kernels  # noqa: E402
+from lattica.plans import sources  # noqa: E402
+
+AP = ", ap AS (SELECT id AS s, id AS t, 0 AS d FROM sk_n UNION SELECT s, dst, d + 1 FROM ap JOIN sk_a ON t = src WHERE d < 9), p AS (SELECT s, t, min(d) AS d FROM ap GROUP BY 1, 2)"
+query("all_pairs", "sk", AP + " SELECT s AS src, t AS dst, CAST(d AS DOUBLE) AS dist FROM p")(sources.all_pairs)
+query("closeness", "sk", AP + " SELECT t AS id, round(CASE WHEN sum(d) > 0 THEN (count(*) - 1.0) / sum(d) * (count(*) - 1) / ((SELECT count(*) FROM sk_n) - 1) ELSE 0 END, 6) AS value FROM p GROUP BY t")(lambda g: sources.closeness_centrality(g).select("id", "value"))
+query("harmonic", "sk", AP + " SELECT t AS id, round(coalesce(sum(CASE WHEN d > 0 THEN 1.0 / d END), 0), 6) AS value FROM p GROUP BY t")(lambda g: sources.harmonic_centrality(g).select("id", "value"))
+query("wiener", "sk", AP + " SELECT CAST(sum(d) AS DOUBLE) / 2 AS value FROM p")(sources.wiener_index)
+query("average_path_length", "sk", AP + " SELECT round(sum(d) / CAST((SELECT count(*) * (count(*) - 1) FROM sk_n) AS DOUBLE), 6) AS value FROM p")(sources.average_shortest_path_length)
+query("global_efficiency", "sk", AP + " SELECT round(sum(CASE WHEN d > 0 THEN 1.0 / d END) / (SELECT count(*) * (count(*) - 1) FROM sk_n), 6) AS value FROM p")(sources.global_efficiency)
+query("eccentricity", "sk", AP + " SELECT s AS id, CAST(max(d) AS DOUBLE) AS value FROM p GROUP BY s")(lambda g: sources.eccentricity(g).select("id", "value"))
+query("center", "sk", AP + ", e AS (SELECT s AS id, max(d) AS value FROM p GROUP BY s) SELECT id, CAST(value AS DOUBLE) AS value FROM e WHERE value = (SELECT min(value) FROM e)")(lambda g: sources.center(g).select("id", "value"))
+query("periphery", "sk", AP + ", e AS (SELECT s AS id, max(d) AS value FROM p GROUP BY s) SELECT id, CAST(value AS DOUBLE) AS value FROM e WHERE value = (SELECT max(value) FROM e)")(lambda g: sources.periphery(g).select("id", "value"))
+BC = AP + """, sg AS (SELECT id AS s, id AS t, 0 AS d, 1::DOUBLE AS c FROM sk_n UNION ALL SELECT x.s, x.t, x.d, sum(x.c) FROM (SELECT g.s, a.dst AS t, g.d + 1 AS d, g.c FROM sg g JOIN sk_a a ON a.src = g.t WHERE g.d < 9) x JOIN p ON p.s = x.s AND p.t = x.t AND p.d = x.d GROUP BY 1, 2, 3),
+bw AS (SELECT a.t AS id, sum(a.c * b.c / z.c) AS v FROM sg a JOIN sg b ON b.s = a.t JOIN sg z ON z.s = a.s AND z.t = b.t AND z.d = a.d + b.d WHERE a.s <> a.t AND b.s <> b.t GROUP BY a.t)"""
+query("betweenness", "sk", BC + " SELECT n.id, round(coalesce(v, 0) / (SELECT (count(*) - 1.0) * (count(*) - 2) FROM sk_n), 6) AS value FROM sk_n n LEFT JOIN bw USING (id)")(lambda g: sources.betweenness_centrality(g).select("id", "value"))
+query("edge_betweenness", "sk", BC + ", eb AS (SELECT e.src, e.dst, sum(a.c * b.c / z.c) AS v FROM sk_e e JOIN sk_a q ON (q.src = e.src AND q.dst = e.dst) OR (q.src = e.dst AND q.dst = e.src) JOIN sg a ON a.t = q.src JOIN sg b ON b.s = q.dst JOIN sg z ON z.s = a.s AND z.t = b.t AND z.d = a.d + 1 + b.d GROUP BY 1, 2) SELECT src, dst, round(v / (SELECT count(*) * (count(*) - 1.0) FROM sk_n), 6) AS value FROM eb")(sources.edge_betweenness_centrality)
+query("local_efficiency", "sk", None)(sources.local_efficiency)
+query("simple_paths", "dag", ", r AS (SELECT CAST(1 AS BIGINT) AS id, [CAST(1 AS BIGINT)] AS path UNION ALL SELECT e.dst, list_append(path, e.dst) FROM r JOIN dag_e e ON e.src = r.id WHERE len(path) <= 3) SELECT array_to_string(path, ',') AS path FROM r WHERE id = (SELECT max(dst) FROM dag_e WHERE src = 1)")(
+    lambda g: iterate.simple_paths(g, 1, g.edges.where("src = 1").agg(F.max("dst")).first()[0], 3).select(F.array_join("path", ",").alias("path"))
+)
+
+# walks in sequence, one component a task
+query("dfs_orders", "ut", None)(kernels.dfs_orders)
+query("bridges", "sk", None)(kernels.bridges)
+query("articulation_points", "sk", None)(kernels.articulation_points)
+query("biconnected_sizes", "sk", None)(lambda g: kernels.biconnected_components(g).select(F.size("nodes").alias("size")).groupBy("size").agg(F.count("*").alias("count")))
+query("hopcroft_karp_size", "ps", "SELECT least((SELECT count(DISTINCT src) FROM ps_e), (SELECT count(DISTINCT dst) FROM ps_e)) AS size")(lambda g: kernels.hopcroft_karp(g).agg(F.count("*").alias("size")))
+query("max_flow_value", "dag", None)(lambda g: kernels.maximum_flow(Graph(g.nodes, g.edges.withColumn("capacity", F.lit(1.0)), True), 1, g.edges.where("src = 1").agg(F.max("dst")).first()[0]).where("kind = 'value'").select("value"))
+query("dag_width", "dag", None)(kernels.dag_width)
+query("louvain", "sk", None)(kernels.louvain_communities)
+query("async_label_propagation", "sk", None)(kernels.async_label_propagation)
+query("greedy_modularity", "sk", None)(kernels.greedy_modularity_communities)
+query("laplacian_spectrum", "sk", None)(lambda g: kernels.spectrum(g, laplacian=True))
