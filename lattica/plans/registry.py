@@ -279,3 +279,43 @@ query("louvain", "sk", None)(kernels.louvain_communities)
 query("async_label_propagation", "sk", None)(kernels.async_label_propagation)
 query("greedy_modularity", "sk", None)(kernels.greedy_modularity_communities)
 query("laplacian_spectrum", "sk", None)(lambda g: kernels.spectrum(g, laplacian=True))
+
+# generated families
+from lattica.operators import simulate  # noqa: E402
+from lattica.sources import generators as gen  # noqa: E402
+
+_FAMILIES = {
+    "path": (lambda s: gen.path_graph(s, 50), "SELECT i AS src, i + 1 AS dst FROM range(0, 49) t(i)"),
+    "cycle": (lambda s: gen.cycle_graph(s, 50, directed=True), "SELECT i AS src, (i + 1) % 50 AS dst FROM range(0, 50) t(i)"),
+    "complete": (lambda s: gen.complete_graph(s, 20), "SELECT a.i AS src, b.i AS dst FROM range(0, 20) a(i) JOIN range(0, 20) b(i) ON a.i < b.i"),
+    "complete_bipartite": (lambda s: gen.complete_bipartite_graph(s, 4, 6), "SELECT a.i AS src, b.i AS dst FROM range(0, 4) a(i), range(4, 10) b(i)"),
+    "star": (lambda s: gen.star_graph(s, 12), "SELECT 0::BIGINT AS src, i AS dst FROM range(1, 13) t(i)"),
+    "wheel": (lambda s: gen.wheel_graph(s, 8), "SELECT 0::BIGINT AS src, i AS dst FROM range(1, 8) t(i) UNION ALL SELECT least(i, i % 7 + 1), greatest(i, i % 7 + 1) FROM range(1, 8) t(i)"),
+    "grid": (lambda s: gen.grid_graph(s, 6, 7), "SELECT i AS src, i + 1 AS dst FROM range(0, 42) t(i) WHERE i % 7 < 6 UNION ALL SELECT i, i + 7 FROM range(0, 35) t(i)"),
+    "hypercube": (lambda s: gen.hypercube_graph(s, 5), "SELECT i AS src, i | (1 << k) AS dst FROM range(0, 32) t(i), range(0, 5) b(k) WHERE (i & (1 << k)) = 0"),
+    "balanced_tree": (lambda s: gen.balanced_tree(s, 3, 4), "SELECT (i - 1) // 3 AS src, i AS dst FROM range(1, 121) t(i)"),
+    "binomial_tree": (lambda s: gen.binomial_tree(s, 6), "SELECT i & (i - 1) AS src, i AS dst FROM range(1, 64) t(i)"),
+    "ladder": (lambda s: gen.ladder_graph(s, 9), "SELECT i AS src, i + 1 AS dst FROM range(0, 8) t(i) UNION ALL SELECT i + 9, i + 10 FROM range(0, 8) t(i) UNION ALL SELECT i, i + 9 FROM range(0, 9) t(i)"),
+    "turan": (lambda s: gen.turan_graph(s, 11, 3), "WITH n AS (SELECT i, CASE WHEN i < 3 THEN 0 WHEN i < 7 THEN 1 ELSE 2 END AS p FROM range(0, 11) t(i)) SELECT a.i AS src, b.i AS dst FROM n a JOIN n b ON a.p < b.p"),
+}
+
+
+def _family(name: str, make, sql: str) -> None:
+    query(f"generate_{name}", None, sql)(lambda spark, _: make(spark).edges.select("src", "dst"))
+
+
+for _name, (_make_graph, _family_sql) in _FAMILIES.items():
+    _family(_name, _make_graph, _family_sql)
+query("generate_erdos_renyi", None, None)(lambda spark, _: gen.erdos_renyi(spark, 200, 0.05, seed=1).edges.select("src", "dst"))
+query("generate_random_geometric", None, None)(lambda spark, _: gen.random_geometric(spark, 300, 0.1, seed=1).edges.select("src", "dst"))
+
+# simulations
+query("sir_ensemble", "sk", None)(lambda g: simulate.ensemble(simulate.epidemic(g, "SIR", {"beta": 0.1, "gamma": 0.2}, [1], 20, runs=40)))
+query("influence_spread", "sk", None)(lambda g: simulate.influence_spread(g, [1, 2], runs=200))
+query("random_walk_visits", "sk", None)(lambda g: simulate.random_walks(g, 40, 200, restart=0.1))
+query("stationary_distribution", "sk", "SELECT src AS id, round(count(*) / CAST((SELECT count(*) FROM sk_a) AS DOUBLE), 6) AS value FROM sk_a GROUP BY src")(simulate.stationary_distribution)
+query("majority_steps", "sk", """, x AS (SELECT id, id % 2 AS state, 0 AS k FROM sk_n UNION ALL SELECT v.id, CASE WHEN max(v.a) > max(v.b) THEN 0 WHEN max(v.b) > max(v.a) THEN 1 ELSE max(v.own) END, v.k + 1 FROM (
+  SELECT m.dst AS id, x.k, sum(CASE WHEN m.e AND x.state = 0 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN m.e AND x.state = 1 THEN 1 ELSE 0 END) AS b, sum(CASE WHEN NOT m.e THEN x.state ELSE 0 END) AS own
+  FROM x JOIN (SELECT src, dst, true AS e FROM sk_a UNION ALL SELECT id, id, false FROM sk_n) m ON m.src = x.id WHERE x.k < 4 GROUP BY m.dst, x.k) v GROUP BY v.id, v.k)
+SELECT id, CAST(state AS BIGINT) AS state FROM x WHERE k = 4""")(lambda g: iterate.majority_rule(g, g.nodes.select("id", (F.col("id") % 2).alias("state")), 4))
+query("monte_carlo_schedule", "dag", None)(lambda g: simulate.monte_carlo_schedule(Graph(g.nodes.withColumns({"min": F.col("duration") * 0.5, "mode": F.col("duration"), "max": F.col("duration") * 2}), g.edges, True), runs=100).agg(F.avg("makespan").alias("mean"), F.stddev_samp("makespan").alias("std")))
