@@ -30,6 +30,8 @@ _NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _TOKEN = r"(?<!\S)(?=\S{5})[^\s0-9]*+[0-9]\S*+"
 #: Distinct seeds that a pattern must precede, and the confidence that makes it extract.
 MIN_SUPPORT, MIN_CONFIDENCE, ROUNDS = 3, 0.5, 3
+#: Patterns up to which they are broadcast (some tens of bytes each).
+BROADCAST_ROWS = 50_000
 #: Characters before an entity in which its two context words are looked for.
 _CONTEXT = 96
 
@@ -130,7 +132,10 @@ def extract(docs: DataFrame) -> DataFrame:
         ready = cut(ready.join(open_.select("p").distinct(), "p", "left_semi"))
         if ready.isEmpty():
             break
-        places = src.select(F.explode(_bigrams(F.col("text"))).alias("p")).join(ready.select("p").distinct(), "p", "left_semi")
+        words = ready.select("p").distinct()
+        # few patterns are broadcast, so that only their own places are shuffled; more meet them in a shuffle
+        words = F.broadcast(words) if ready.count() <= BROADCAST_ROWS else words
+        places = src.select(F.explode(_bigrams(F.col("text"))).alias("p")).join(words, "p", "left_semi")
         counted = places.groupBy("p").agg(F.count("*").alias("places"))
         sure = ready.join(counted, "p").where(F.col("hits") >= MIN_CONFIDENCE * F.col("places"))
         best = sure.groupBy("p").agg(F.max_by("k", F.struct(F.col("hits"), -F.col("k"))).alias("k"))
