@@ -54,6 +54,8 @@ SAMPLE = 8_000
 BUCKETS = 1 << 14
 #: Share of prose that may pass the calibrated probability, and a template's words that a paragraph must hold.
 FALSE_RATE, CONFIRM = 0.0005, 0.75
+#: Less than this share of every template of the likeliest family is no licence, whatever its probability.
+LEAST = 0.25
 _FAMILIES = [PROSE, *TEMPLATES]
 
 
@@ -110,21 +112,21 @@ def fit(docs: DataFrame, bound: int = SAMPLE) -> LicenceModel:
     whole = notices.withColumn("skip", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)))
     whole = whole.select("family", F.filter("w", lambda x, i: i != F.col("skip")).alias("w")).where(F.size("w") > 1)
     n = docs.count()
-    # about twenty paragraphs a document at most: documents are sampled by a hash, then their paragraphs
-    u = F.pmod(F.xxhash64(F.lit("prose"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    some = paragraphs(docs.where(u < min(1.0, bound / max(1, n))))
+    # at about ten paragraphs a document: a hash samples documents, another one their paragraphs
+    uniform = lambda *key: F.pmod(F.xxhash64(*key), F.lit(1 << 20)) / float(1 << 20)
+    some = paragraphs(docs.where(uniform(F.lit("prose"), "doc_id") < min(1.0, bound / max(1, n))))
+    some = some.where(uniform(F.lit("line"), "doc_id", "paragraph") < min(1.0, 0.1 * bound / max(1, min(n, bound))))
     every = [t for _, t in _templates()]
-    pick = F.pmod(F.xxhash64("doc_id", "paragraph"), F.lit(16))
-    prose = some.where(pick < 2).where(_similarity(F.col("w"), every) < 0.5).select(F.lit(PROSE).alias("family"), "w", pick.alias("pick"))
-    prose = prose.limit(2 * bound).persist()
+    half = F.pmod(F.xxhash64("doc_id", "paragraph"), F.lit(2))
+    prose = some.where(_similarity(F.col("w"), every) < 0.5).select(F.lit(PROSE).alias("family"), "w", half.alias("half")).persist()
     index = F.array_position(F.array(*[F.lit(x) for x in _FAMILIES]), F.col("family")) - 1
-    rows = whole.unionByName(prose.where("pick = 0").drop("pick")).withColumn("label", index.cast("double"))
+    rows = whole.unionByName(prose.where("half = 0").drop("half")).withColumn("label", index.cast("double"))
     # every class is seen, and prose among them even if docs hold none
     rows = rows.unionByName(spark.createDataFrame([(PROSE, ["a", "word"], 0.0)], rows.schema))
     learner = LogisticRegression(maxIter=30, regParam=1e-3, elasticNetParam=0.0, family="multinomial", standardization=False)
     train = tf.transform(rows.withColumn("grams", _features(F.col("w")))).select("features", "label").repartition(4).persist()
     model = LicenceModel(tf, learner.fit(train), 0.5)
-    held = model.probabilities(prose.where("pick = 1")).agg(F.percentile_approx(1 - F.get("p", F.lit(0)), 1 - FALSE_RATE, 10000)).first()[0]
+    held = model.probabilities(prose.where("half = 1")).agg(F.percentile_approx(1 - F.get("p", F.lit(0)), 1 - FALSE_RATE, 10000)).first()[0]
     model.threshold = min(0.95, max(0.5, held or 0.0))
     train.unpersist()
     prose.unpersist()
@@ -134,7 +136,7 @@ def fit(docs: DataFrame, bound: int = SAMPLE) -> LicenceModel:
 def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """Licence paragraphs of docs: doc_id, paragraph (its line from 0), family, probability, similarity.
 
-    family is unknown where no template of the likeliest family confirms it. Null and empty texts have
+    family is unknown where a template of the likeliest family is near, but none confirms it. Null and empty texts have
     none; repeated rows repeat theirs; other columns are ignored.
     """
     p = model.probabilities(paragraphs(docs)).where((1 - F.get("p", F.lit(0))) >= model.threshold)
@@ -143,7 +145,7 @@ def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
     named = p.select("doc_id", "paragraph", "w", (1 - F.get("p", F.lit(0))).alias("probability"), F.get(F.array(*[F.lit(x) for x in TEMPLATES]), at).alias("likeliest"))
     named = named.withColumn("similarity", _confirmed(F.col("w"), F.col("likeliest")))
     family = F.when(F.col("similarity") >= CONFIRM, F.col("likeliest")).otherwise(F.lit("unknown"))
-    return named.select("doc_id", "paragraph", family.alias("family"), "probability", "similarity")
+    return named.where(F.col("similarity") >= LEAST).select("doc_id", "paragraph", family.alias("family"), "probability", "similarity")
 
 
 def report(docs: DataFrame) -> DataFrame:
