@@ -95,38 +95,50 @@ def _slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
     return ((keys >> np.uint64(_BITS - 32)) * np.uint64(slices)) >> np.uint64(32)
 
 
-_ROW = pa.schema([("pack", pa.int64()), ("slice", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (pack, docs): some documents of a partition in one compressed blob."""
+    pack = TaskContext.get().partitionId() << 32
+    ids, held, texts, size = [], [], [], 0
+
+    def flush():
+        sink = pa.BufferOutputStream()
+        batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(texts, pa.large_string())], names=["id", "held", "text"])
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(batch)
+        return pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["pack", "docs"])
+
+    for b in batches:
+        for i, h, t in zip(*[c.to_pylist() for c in b.columns]):
+            ids.append(i)
+            held.append(bool(h))
+            texts.append(t)
+            size += len(t or "")
+            if size >= PACK_BYTES:
+                yield flush()
+                pack, ids, held, texts, size = pack + 1, [], [], [], 0
+    if ids:
+        yield flush()
+
+
+def _opened(raw: bytes) -> tuple[list, list[bool], _Pack]:
+    docs = pa.ipc.open_stream(raw).read_all()
+    ids, held, texts = (docs.column(k).to_pylist() for k in range(3))
+    return ids, held, _Pack(texts, ~np.array(held, bool))
+
+
+def _counted(slices: int):
+    """Rows (pack, slice, keys, counts) of each pack's n-grams."""
+    shape = pa.schema([("pack", pa.int64()), ("slice", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
-
-def _packs(slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = TaskContext.get().partitionId() << 32
-        ids, held, texts, size = [], [], [], 0
-
-        def flush():
-            p = _Pack(texts, ~np.array(held, bool))
-            sink = pa.BufferOutputStream()
-            batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(texts, pa.large_string())], names=["id", "held", "text"])
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([pack]), pa.array([-1], pa.int32()), pa.array([sink.getvalue().to_pybytes()]), pa.array([b""])], schema=_ROW)
-            cuts = np.searchsorted(_slice_of(p.keys, slices), np.arange(slices + 1))
-            used = np.nonzero(np.diff(cuts))[0]
-            step = [_squeeze(np.diff(p.keys[cuts[k] : cuts[k + 1]], prepend=np.uint64(0))) for k in used]
-            counts = [_squeeze(p.counts[cuts[k] : cuts[k + 1]]) for k in used]
-            yield pa.RecordBatch.from_arrays([pa.array([pack] * len(used)), pa.array(used, pa.int32()), pa.array(step), pa.array(counts)], schema=_ROW)
-
         for b in batches:
-            for i, h, t in zip(*[c.to_pylist() for c in b.columns]):
-                ids.append(i)
-                held.append(bool(h))
-                texts.append(t)
-                size += len(t or "")
-                if size >= PACK_BYTES:
-                    yield from flush()
-                    pack, ids, held, texts, size = pack + 1, [], [], [], 0
-        if ids:
-            yield from flush()
+            for pack, raw in zip(*[c.to_pylist() for c in b.columns]):
+                p = _opened(raw)[2]
+                cuts = np.searchsorted(_slice_of(p.keys, slices), np.arange(slices + 1))
+                used = np.nonzero(np.diff(cuts))[0]
+                step = [_squeeze(np.diff(p.keys[cuts[k] : cuts[k + 1]], prepend=np.uint64(0))) for k in used]
+                counts = [_squeeze(p.counts[cuts[k] : cuts[k + 1]]) for k in used]
+                yield pa.RecordBatch.from_arrays([pa.array([pack] * len(used)), pa.array(used, pa.int32()), pa.array(step), pa.array(counts)], schema=shape)
 
     return run
 
@@ -180,9 +192,7 @@ class BackoffAutomaton:
 def _scored(n: int, v: int, mu: float):
     def run(t: pa.Table) -> pa.Table:
         at = np.array(t.column("slice").to_pylist())
-        docs = pa.ipc.open_stream(t.column("keys")[int(np.nonzero(at == -1)[0][0])].as_py()).read_all()
-        ids, held, texts = (docs.column(k).to_pylist() for k in range(3))
-        pack = _Pack(texts, ~np.array(held, bool))
+        ids, held, pack = _opened(t.column("docs")[int(np.nonzero(at == -1)[0][0])].as_py())
         blobs = t.column("counts").to_pylist()
         order = [int(k) for k in np.argsort(at, kind="stable") if at[k] >= 0]
         total = np.concatenate([_expand(blobs[k], np.uint64) for k in order])
@@ -216,10 +226,11 @@ def scores(docs: DataFrame, held_out, mu: float = MU) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), "text")
     chars = src.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = int(max(32, chars // SLICE_CHARS))
-    packed = cut(src.mapInArrow(_packs(slices), "pack long, slice int, keys binary, counts binary"))
-    totals = packed.where("slice >= 0").groupBy("slice").applyInArrow(_total, "pack long, slice int, counts binary, n long, v long")
+    packed = cut(src.mapInArrow(_gather, "pack long, docs binary"))
+    totals = packed.mapInArrow(_counted(slices), "pack long, slice int, keys binary, counts binary").groupBy("slice").applyInArrow(_total, "pack long, slice int, counts binary, n long, v long")
     totals = cut(totals)
     n, v = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    both = packed.where("slice = -1").unionByName(totals.select("pack", "slice", F.lit(None).cast("binary").alias("keys"), "counts"))
+    both = packed.select("pack", F.lit(-1).alias("slice"), "docs", F.lit(None).cast("binary").alias("counts"))
+    both = both.unionByName(totals.select("pack", "slice", F.lit(None).cast("binary").alias("docs"), "counts"))
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return both.groupBy("pack").applyInArrow(_scored(int(n), int(v), mu), shape)
