@@ -89,6 +89,29 @@ SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.src = e.vec_id) AS n_links,
   (SELECT min(r.dst) FROM reach r WHERE r.src = e.vec_id) AS component_id,
   e.vec_id = (SELECT min(r.dst) FROM reach r WHERE r.src = e.vec_id) AS kept
 FROM embeddings e
+""",
+    "op5_decontamination": """
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents
+), b AS (
+  SELECT item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS l, array_to_string(w[i : i + 9], ' ') AS win
+  FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0
+), dw AS (
+  SELECT doc_id, i, s.l, array_to_string(w[i : i + s.l - 1], ' ') AS win
+  FROM d, (SELECT DISTINCT l FROM bw) s, unnest(range(1, len(w) - s.l + 2)) AS t(i)
+), h AS (
+  SELECT doc_id, i, dw.l, item_id FROM dw JOIN bw ON dw.l = bw.l AND dw.win = bw.win
+), n AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM h) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
 """,
     "op9_warc": f"""
 WITH p AS (
