@@ -30,8 +30,8 @@ _NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _TOKEN = r"(?<!\S)(?=\S{5})[^\s0-9]*+[0-9]\S*+"
 #: Distinct seeds that a pattern must precede, and the confidence that makes it extract.
 MIN_SUPPORT, MIN_CONFIDENCE, ROUNDS = 3, 0.5, 3
-#: Patterns up to which they are broadcast (some tens of bytes each).
-BROADCAST_ROWS = 50_000
+#: Patterns up to which they are the set of a filter, and up to which they are broadcast (some tens of bytes each).
+LISTED, BROADCAST_ROWS = 2_000, 50_000
 #: Characters before an entity in which its two context words are looked for.
 _CONTEXT = 96
 
@@ -100,6 +100,13 @@ def _bigrams(text: Column) -> Column:
     return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
 
 
+def _instances(trimmed) -> Column:
+    """Seeds and other tokens with digits: kind (null for these), place, the words before, and a hash of the value."""
+    seed = lambda b: F.struct(b["k"].alias("k"), b["s"].alias("s"), b["e"].alias("e"), _words_before(F.col("text"), b["s"]).alias("p"), F.xxhash64(F.col("text").substr(b["s"] + 1, b["e"] - b["s"])).alias("v"))
+    other = lambda t: F.struct(F.lit(None).cast("int").alias("k"), t["s"].alias("s"), trimmed(t).alias("e"), _words_before(F.col("text"), t["s"]).alias("p"), F.xxhash64(t["m"]).alias("v"))
+    return F.concat(F.transform("base", seed), F.transform("tokens", other))
+
+
 def extract(docs: DataFrame) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, text_key, base and spans (array<struct<k, s, e>>).
 
@@ -115,35 +122,38 @@ def extract(docs: DataFrame) -> DataFrame:
         F.array().cast("array<struct<s:int,e:int,m:string>>")
     )
     found = found.withColumn("tokens", F.filter(digits, lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))))
+    # the text between single spaces, for the few texts that hold instances
+    found = found.withColumn("plain", F.when((F.size("base") > 0) | (F.size("tokens") > 0), F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), F.lit(" "))))
     trimmed = lambda t: t["e"] - F.length(t["m"]) + F.length(F.regexp_replace(t["m"], r"[.,;:!?)\]]++$", ""))
-    seen = found.select(
-        "doc_id", "text_key", "base",
-        F.concat(
-            F.transform("base", lambda b: F.struct(b["k"].alias("k"), b["s"].alias("s"), b["e"].alias("e"), _words_before(F.col("text"), b["s"]).alias("p"), F.xxhash64(F.col("text").substr(b["s"] + 1, b["e"] - b["s"])).alias("v"))),
-            F.transform("tokens", lambda t: F.struct(F.lit(None).cast("int").alias("k"), t["s"].alias("s"), trimmed(t).alias("e"), _words_before(F.col("text"), t["s"]).alias("p"), F.xxhash64(t["m"]).alias("v"))),
-        ).alias("inst"),
-    )
-    seen = cut(seen)
+    # how often a pattern stands in the instance's own text: a lower bound of its places
+    own = lambda x: ((F.length("plain") - F.length(F.replace(F.col("plain"), F.concat(F.lit(" "), x["p"], F.lit(" ")), F.lit("")))) / (F.length(x["p"]) + 2)).cast("long")
+    seen = found.select("doc_id", "text_key", "base", "plain", _instances(trimmed).alias("inst"))
+    seen = cut(seen.select("doc_id", "text_key", "base", F.transform("inst", lambda x: x.withField("c", F.coalesce(own(x), F.lit(0).cast("long")))).alias("inst")))
     inst = seen.select("doc_id", "text_key", F.inline("inst")).where("p is not null")
-    counted, new, known = None, None, inst.where("k is not null").select("k", "p", "v")
-    open_ = inst.where("k is null").select("doc_id", "text_key", "s", "e", "p", "v")
+    new, known = None, inst.where("k is not null").select("doc_id", "text_key", "k", "p", "v", "c")
+    open_ = inst.where("k is null").select("doc_id", "text_key", "s", "e", "p", "v", "c")
     for _ in range(ROUNDS):
         ready = known.groupBy("p", "k").agg(F.approx_count_distinct("v").alias("n"), F.count("*").alias("hits")).where(f"n >= {MIN_SUPPORT}")
+        least = known.groupBy("doc_id", "text_key", "p").agg(F.max("c").alias("c")).groupBy("p").agg(F.sum("c").alias("least"))
+        # what its own texts alone rule out needs no count over the corpus
+        ready = ready.join(least, "p").where(F.col("hits") >= MIN_CONFIDENCE * F.col("least"))
         ready = cut(ready.join(open_.select("p").distinct(), "p", "left_semi"))
         if ready.isEmpty():
             break
-        words = ready.select("p").distinct()
-        # few patterns are broadcast, so that only their own places are shuffled; more meet them in a shuffle
-        words = F.broadcast(words) if ready.count() <= BROADCAST_ROWS else words
-        places = src.select(F.explode(_bigrams(F.col("text"))).alias("p")).join(words, "p", "left_semi")
+        every = src.select(F.explode(_bigrams(F.col("text"))).alias("p"))
+        words, n = ready.select("p").distinct(), ready.count()
+        if n <= LISTED:  # few patterns are a filter's set, more are broadcast, and more than that meet their places in a shuffle
+            places = every.where(F.col("p").isin([r[0] for r in words.collect()]))
+        else:
+            places = every.join(F.broadcast(words) if n <= BROADCAST_ROWS else words, "p", "left_semi")
         counted = places.groupBy("p").agg(F.count("*").alias("places"))
         sure = ready.join(counted, "p").where(F.col("hits") >= MIN_CONFIDENCE * F.col("places"))
         best = sure.groupBy("p").agg(F.max_by("k", F.struct(F.col("hits"), -F.col("k"))).alias("k"))
-        more = cut(open_.join(best, "p").select("doc_id", "text_key", "k", "s", "e", "p", "v"))
+        more = cut(open_.join(best, "p").select("doc_id", "text_key", "k", "s", "e", "p", "v", "c"))
         if more.isEmpty():
             break
         new = more if new is None else new.union(more)
-        known = cut(known.union(more.select("k", "p", "v")))
+        known = cut(known.union(more.select("doc_id", "text_key", "k", "p", "v", "c")))
         open_ = open_.join(best.select("p"), "p", "left_anti")
     base = seen.select("doc_id", "text_key", "base")
     if new is None:
