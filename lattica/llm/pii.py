@@ -107,6 +107,17 @@ def _instances(trimmed) -> Column:
     return F.concat(F.transform("base", seed), F.transform("tokens", other))
 
 
+def _places(src: DataFrame, ready: DataFrame) -> DataFrame:
+    """(p, places): how often the patterns of ready stand in the texts of src."""
+    every = src.select(F.explode(_bigrams(F.col("text"))).alias("p"))
+    words, n = ready.select("p").distinct(), ready.count()
+    if n <= LISTED:  # few patterns are a filter's set, more are broadcast, and more than that meet their places in a shuffle
+        found = every.where(F.col("p").isin([r[0] for r in words.collect()]))
+    else:
+        found = every.join(F.broadcast(words) if n <= BROADCAST_ROWS else words, "p", "left_semi")
+    return found.groupBy("p").agg(F.count("*").alias("places"))
+
+
 def extract(docs: DataFrame) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, text_key, base and spans (array<struct<k, s, e>>).
 
@@ -140,13 +151,14 @@ def extract(docs: DataFrame) -> DataFrame:
         ready = cut(ready.join(open_.select("p").distinct(), "p", "left_semi"))
         if ready.isEmpty():
             break
-        every = src.select(F.explode(_bigrams(F.col("text"))).alias("p"))
-        words, n = ready.select("p").distinct(), ready.count()
-        if n <= LISTED:  # few patterns are a filter's set, more are broadcast, and more than that meet their places in a shuffle
-            places = every.where(F.col("p").isin([r[0] for r in words.collect()]))
-        else:
-            places = every.join(F.broadcast(words) if n <= BROADCAST_ROWS else words, "p", "left_semi")
-        counted = places.groupBy("p").agg(F.count("*").alias("places"))
+        # texts with digits, a part of the corpus that holds all instances, rule most patterns out; what is left is counted over the rest, too
+        digits = F.col("text").rlike("[0-9]")
+        first = _places(src.where(digits), ready).withColumnRenamed("places", "some")
+        ready = cut(ready.join(first, "p").where(F.col("hits") >= MIN_CONFIDENCE * F.col("some")))
+        if ready.isEmpty():
+            break
+        counted = ready.select("p", "some").distinct().join(_places(src.where(~digits), ready), "p", "left")
+        counted = counted.select("p", (F.col("some") + F.coalesce("places", F.lit(0))).alias("places"))
         sure = ready.join(counted, "p").where(F.col("hits") >= MIN_CONFIDENCE * F.col("places"))
         best = sure.groupBy("p").agg(F.max_by("k", F.struct(F.col("hits"), -F.col("k"))).alias("k"))
         more = cut(open_.join(best, "p").select("doc_id", "text_key", "k", "s", "e", "p", "v", "c"))
