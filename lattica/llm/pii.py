@@ -3,8 +3,9 @@
 Four base expressions find the seed entities. The two words before a seed form a lexical pattern; the
 bipartite graph of patterns and instances (seeds, and other tokens that hold digits) is scored in rounds:
 a pattern's confidence is the score of the instances it precedes over all places where it occurs in the
-corpus, an instance's score is its best pattern's confidence. Tokens before which a confident pattern
-stands become entities of the pattern's kind and seed the next round, until a round finds none.
+corpus; a seed's score is one, another instance's is its best pattern's confidence in the round that finds
+it. A token before which a confident pattern stands becomes an instance of the pattern's kind wherever its
+value stands, and supports the patterns before these places in the next round, until a round finds none.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ PATTERNS = {
 _NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: Other tokens that may be identifiers: five characters or more with a digit.
 _TOKEN = r"(?<!\S)(?=\S{5})[^\s0-9]*+[0-9]\S*+"
-#: Distinct seeds that a pattern must precede, and the confidence that makes it extract.
-MIN_SUPPORT, MIN_CONFIDENCE, ROUNDS = 3, 0.5, 3
+#: Distinct instances that a pattern must precede, and the confidence that makes it extract.
+MIN_SUPPORT, MIN_CONFIDENCE = 3, 0.5
 #: Patterns up to which they are the set of a filter, and up to which they are broadcast (some tens of bytes each).
 LISTED, BROADCAST_ROWS = 2_000, 50_000
 #: Characters before an entity in which its two context words are looked for.
@@ -103,7 +104,7 @@ def _bigrams(text: Column) -> Column:
 def _instances(trimmed) -> Column:
     """Seeds and other tokens with digits: kind (null for these), place, the words before, and a hash of the value."""
     seed = lambda b: F.struct(b["k"].alias("k"), b["s"].alias("s"), b["e"].alias("e"), _words_before(F.col("text"), b["s"]).alias("p"), F.xxhash64(F.col("text").substr(b["s"] + 1, b["e"] - b["s"])).alias("v"))
-    other = lambda t: F.struct(F.lit(None).cast("int").alias("k"), t["s"].alias("s"), trimmed(t).alias("e"), _words_before(F.col("text"), t["s"]).alias("p"), F.xxhash64(t["m"]).alias("v"))
+    other = lambda t: F.struct(F.lit(None).cast("int").alias("k"), t["s"].alias("s"), trimmed(t).alias("e"), _words_before(F.col("text"), t["s"]).alias("p"), F.xxhash64(F.col("text").substr(t["s"] + 1, trimmed(t) - t["s"])).alias("v"))
     return F.concat(F.transform("base", seed), F.transform("tokens", other))
 
 
@@ -140,11 +141,14 @@ def extract(docs: DataFrame) -> DataFrame:
     own = lambda x: ((F.length("plain") - F.length(F.replace(F.col("plain"), F.concat(F.lit(" "), x["p"], F.lit(" ")), F.lit("")))) / (F.length(x["p"]) + 2)).cast("long")
     seen = found.select("doc_id", "text_key", "base", "plain", _instances(trimmed).alias("inst"))
     seen = cut(seen.select("doc_id", "text_key", "base", F.transform("inst", lambda x: x.withField("c", F.coalesce(own(x), F.lit(0).cast("long")))).alias("inst")))
-    inst = seen.select("doc_id", "text_key", F.inline("inst")).where("p is not null")
-    new, known = None, inst.where("k is not null").select("doc_id", "text_key", "k", "p", "v", "c")
+    inst = seen.select("doc_id", "text_key", F.inline("inst"))
+    new, known = None, inst.where("k is not null and p is not null").select("doc_id", "text_key", "k", "p", "v", "c", F.lit(1.0).alias("score"))
     open_ = inst.where("k is null").select("doc_id", "text_key", "s", "e", "p", "v", "c")
-    for _ in range(ROUNDS):
-        ready = known.groupBy("p", "k").agg(F.approx_count_distinct("v").alias("n"), F.count("*").alias("hits")).where(f"n >= {MIN_SUPPORT}")
+    gained = None
+    while True:
+        ready = known.groupBy("p", "k").agg(F.approx_count_distinct("v").alias("n"), F.sum("score").alias("hits")).where(f"n >= {MIN_SUPPORT}")
+        if gained is not None:  # the others are as the last round judged them
+            ready = ready.join(gained, "p", "left_semi")
         least = known.groupBy("doc_id", "text_key", "p").agg(F.max("c").alias("c")).groupBy("p").agg(F.sum("c").alias("least"))
         # what its own texts alone rule out needs no count over the corpus
         ready = ready.join(least, "p").where(F.col("hits") >= MIN_CONFIDENCE * F.col("least"))
@@ -160,13 +164,18 @@ def extract(docs: DataFrame) -> DataFrame:
         counted = ready.select("p", "some").distinct().join(_places(src.where(~digits), ready), "p", "left")
         counted = counted.select("p", (F.col("some") + F.coalesce("places", F.lit(0))).alias("places"))
         sure = ready.join(counted, "p").where(F.col("hits") >= MIN_CONFIDENCE * F.col("places"))
-        best = sure.groupBy("p").agg(F.max_by("k", F.struct(F.col("hits"), -F.col("k"))).alias("k"))
-        more = cut(open_.join(best, "p").select("doc_id", "text_key", "k", "s", "e", "p", "v", "c"))
+        best = sure.groupBy("p").agg(F.max_by("k", F.struct(F.col("hits"), -F.col("k"))).alias("k"), F.max(F.col("hits") / F.col("places")).alias("score"))
+        # an instance is its value: its other places are its, too
+        values = open_.select("p", "v").join(best, "p").groupBy("v").agg(F.max_by("k", F.struct(F.col("score"), -F.col("k"))).alias("k"), F.max("score").alias("score"))
+        values = cut(values)
+        more = cut(open_.join(values, "v").select("doc_id", "text_key", "k", "s", "e", "p", "v", "c", "score"))
         if more.isEmpty():
             break
         new = more if new is None else new.union(more)
-        known = cut(known.union(more.select("doc_id", "text_key", "k", "p", "v", "c")))
-        open_ = open_.join(best.select("p"), "p", "left_anti")
+        more = more.where("p is not null")
+        known = cut(known.union(more.select("doc_id", "text_key", "k", "p", "v", "c", "score")))
+        gained = more.select("p").distinct()
+        open_ = cut(open_.join(values.select("v"), "v", "left_anti"))
     base = seen.select("doc_id", "text_key", "base")
     if new is None:
         return base.withColumn("spans", F.col("base"))
