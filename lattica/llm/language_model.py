@@ -4,7 +4,7 @@ Documents are gathered into packs. A pack counts its words and word pairs, folds
 hands the sorted keys, in slices of the key space, to the slices' reducers; these return the corpus-wide
 training counts in the same order. Each pack then holds exactly the part of the automaton that its texts
 can visit: a state for each history, arcs for the pairs seen in training, a failure arc to the root for
-the rest. One left-to-right traversal carries the state and adds up log-probabilities. All n-grams of the
+the rest. A state is the previous word, so all tokens are looked up at once. All words and pairs of the
 training documents are counted; nothing is pruned, sampled or sent to the driver but two totals.
 
 P(w) = (c(w) + 1/2) / (N + (V + 1)/2) at the root, and P(w|h) = (c(h,w) + MU P(w)) / (c(h) + MU) in a
