@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import decontaminate, embedding_dedup, language_model, licenses, packing, pii, quality, simhash, toxicity, warc
+from lattica.llm import decontaminate, language_model, licenses, packing, pii, quality, simhash, toxicity, warc
 from lattica.llm.queries import tokenizer_files
 
 PROSE = "the red fox ran over a hill and sat by the river while birds sang"
@@ -274,32 +274,6 @@ def test_surt(spark):
     assert [r[0] for r in df.select(warc.surt(F.col("url"))).collect()] == ["com,ex,www)/A?b", "com,ex)/", "x", ""]
 
 
-def test_embeddings(spark):
-    r = np.random.default_rng(3)
-    rows = [(int(k), r.normal(size=16).tolist(), int(k % 3)) for k in range(200)]
-    rows += [(200 + k, (np.array(rows[k][1]) + r.normal(size=16) * 0.15).tolist(), rows[k][2]) for k in range(100)]
-    rows += [(400 + k, (np.array(rows[0][1]) * 2 + r.normal(size=16) * 0.2).tolist(), 0) for k in range(150)]
-    odd = [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [None] * 16, 0), (904, rows[0][1], None), (905, [], 0), (906, [1e200] * 16, 1), (907, [1.0] * 4, 0), (None, rows[0][1], 0)]
-    keep, embedding_dedup.CELL = embedding_dedup.CELL, 64
-    df = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<double>, label int").withColumn("unit", F.lit(1))
-    got = embedding_dedup.near_duplicates(df).collect()
-    embedding_dedup.CELL = keep
-    from tests_support import roots
-
-    x = np.array([v for _, v, _ in rows])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    lab, ids = np.array([z for _, _, z in rows]), [i for i, _, _ in rows]
-    link = (x @ x.T >= 0.93) & (lab[:, None] == lab)
-    np.fill_diagonal(link, False)
-    want = roots([(ids[i], ids[j]) for i, j in zip(*np.nonzero(link))], ids)
-    found = {g.vec_id: g for g in got}
-    assert len(got) == len(rows) + len(odd)
-    assert sum(found[i].n_links for i in ids) >= 0.99 * link.sum() and all(found[i].n_links <= n for i, n in zip(ids, link.sum(1)))
-    assert np.mean([found[i].component_id == want[i] for i in ids]) > 0.98
-    assert all(found[i].n_links == 0 and found[i].component_id == i for i in (900, 901, 902, 903, 904, 905, 907))
-    assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
-
-
 def test_licenses(spark):
     texts = [*TEXTS, (60, PROSE + "\nReleased under the MIT License.\n" + PROSE), (61, "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0"), (62, "Licensed under CC BY-NC 4.0.\r\nAll rights reserved.")]
     got = {r.doc_id: r for r in licenses.report(documents(spark, texts)).collect()}
