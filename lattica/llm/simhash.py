@@ -1,30 +1,35 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
-A fingerprint is eight bytes. Two fingerprints that differ in at most two bits agree in at least six of
-the eight positions, so they share at least two of the four aligned byte pairs. The index therefore posts
-every distinct fingerprint under the six ways to choose two byte pairs (four positional bytes a posting),
-candidates of a posting are tallied by the positional bytes they share, those with six or more are kept
-and verified by their differing bits. A posting with more than LONG members is not expanded into pairs:
-each member is posted once more under itself and under each single-bit change outside the shared bytes;
-two members meet there exactly if at most two bits differ, and such a meeting holds at most 33 members.
+A fingerprint is eight positional bytes; two that differ in at most two bits share six or more. The index posts
+every distinct fingerprint under the fourteen planes of four byte positions: any two positions lie together in
+three planes, so fingerprints that share six bytes meet in three postings at least, and those that share five or
+fewer in one at most. Meetings are tallied for each pair, pairs that reach the three that are guaranteed are
+kept and verified by their differing bits.
+
+A posting longer than LONG would make pairs in the square of its length. Its members are posted again under
+six bytes, their plane and two more positions: that is the guaranteed minimum, and such a posting holds at most
+65,536 fingerprints, which a task links without pairing them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import components, cut
 
-#: Members of a posting that are still compared pair by pair.
-LONG = 48
-#: The positional bytes that fingerprints within two bits share at least.
-SHARED_BYTES = 6
+#: Members of a posting whose meetings are tallied pair by pair.
+LONG = 64
+#: Four byte positions whose numbers cancel out in an exclusive or.
+PLANES = [p for p in combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
+#: Postings in which fingerprints that share six bytes meet at least, and the bits in which they may differ.
+MEETINGS, BITS = 3, 2
 _SLICE = 1 << 16
 
 
@@ -60,49 +65,79 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _postings(distinct: DataFrame) -> DataFrame:
-    pair = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    choices = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    keys = [
-        F.struct(F.lit(k).alias("slot"), F.shiftleft(pair[i], 16).bitwiseOR(pair[j]).alias("bytes"))
-        for k, (i, j) in enumerate(choices)
-    ]
-    return distinct.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.slot", "key.bytes")
+def _byte(k: int) -> Column:
+    return F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(0xFF))
 
 
-def _free_bits() -> list[list[int]]:
-    """Per slot, the single-bit masks (as signed longs) outside the slot's byte pairs, and zero."""
-    out = []
-    for i in range(4):
-        for j in range(i + 1, 4):
-            bits = [b for b in range(64) if b // 16 not in (i, j)]
-            out.append([0] + [(1 << b) - (1 << 64 if b == 63 else 0) for b in bits])
-    return out
+def _postings(distinct: DataFrame) -> DataFrame:
+    """(fp, plane, bytes): a row for each plane."""
+    keys = []
+    for n, plane in enumerate(PLANES):
+        four = _byte(plane[0])
+        for k in plane[1:]:
+            four = F.shiftleft(four, 8).bitwiseOR(_byte(k))
+        keys.append(F.struct(F.lit(n).alias("plane"), four.alias("bytes")))
+    return distinct.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.plane", "key.bytes")
+
+
+def _refined(long: DataFrame) -> DataFrame:
+    """(fp, plane, bytes, more): members of long postings under each two of their plane's other positions."""
+    rows = []
+    for n, plane in enumerate(PLANES):
+        rest = [k for k in range(8) if k not in plane]
+        two = [F.shiftleft(_byte(i), 8).bitwiseOR(_byte(j)).bitwiseOR(F.lit((i * 8 + j) << 16)) for i, j in combinations(rest, 2)]
+        rows.append(F.array(*two))
+    return long.select("fp", "plane", "bytes", F.explode(F.get(F.array(*rows), F.col("plane"))).alias("more"))
+
+
+def linked(values: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join fingerprints of six equal bytes as all pairs within BITS bits do."""
+    v = values.view(np.uint64)
+    order = np.argsort(v)
+    v = v[order]
+    where = {int(x): k for k, x in enumerate(v)}
+    free = np.bitwise_or.reduce(v ^ v[0])
+    bits = [1 << b for b in range(64) if int(free) >> b & 1]
+    masks = bits + [a | b for a, b in combinations(bits, 2)]
+    left, out = np.ones(len(v), bool), []
+    for root in range(len(v)):
+        if not left[root]:
+            continue
+        left[root], todo = False, [root]
+        while todo:
+            p = todo.pop()
+            if len(v) <= len(masks):
+                near = np.nonzero(left & (np.bitwise_count(v ^ v[p]) <= BITS))[0].tolist()
+            else:
+                own = int(v[p])
+                near = [k for m in masks if (k := where.get(own ^ m)) is not None and left[k]]
+            left[near] = False
+            out += [(p, q) for q in near]
+            todo += near
+    at = v.view(np.int64)
+    return [(int(at[p]), int(at[q])) for p, q in out]
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [e for fps in b.column(0).to_pylist() for e in linked(np.array(fps, np.int64))]
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Edges (src, dst) between distinct fingerprints fp that connect all within two bits.
-
-    Postings up to LONG yield their verified pairs; longer ones a star for each meeting, which links
-    the same fingerprints into the same groups. Nulls are ignored.
-    """
-    post = cut(_postings(fps.where("fp is not null").select("fp").distinct()))
-    sizes = post.groupBy("slot", "bytes").agg(F.count("*").alias("n")).where("n > 1")
-    short = post.join(sizes.where(f"n <= {LONG}").select("slot", "bytes"), ["slot", "bytes"])
-    met = short.groupBy("slot", "bytes").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    a = met.select(F.explode("fps").alias("src"), "fps").select("src", F.explode("fps").alias("dst")).where("src < dst")
-    diff = F.col("src").bitwiseXOR(F.col("dst"))
-    shared = sum(
-        (F.shiftrightunsigned(diff, 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(8)
-    )
-    pairs = a.where(shared >= SHARED_BYTES).where(F.bit_count(diff) <= 2)
-    long = post.join(sizes.where(f"n > {LONG}").select("slot", "bytes"), ["slot", "bytes"])
-    masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in _free_bits()])
-    meet = long.select("slot", "fp", F.explode(F.get(masks, F.col("slot"))).alias("m"))
-    meet = meet.select("slot", "fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v"))
-    meet = meet.groupBy("slot", "v").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    stars = meet.select(F.array_min("fps").alias("src"), F.explode("fps").alias("dst")).where("src <> dst")
-    return pairs.select("src", "dst").union(stars).distinct()
+    """Edges (src, dst) between distinct fingerprints fp that connect all within two bits; nulls are ignored."""
+    distinct = cut(fps.where("fp is not null").select("fp").distinct())
+    post = _postings(distinct)
+    sizes = cut(post.groupBy("plane", "bytes").agg(F.count("*").alias("n")).where("n > 1"))
+    short = post.join(sizes.where(f"n <= {LONG}").select("plane", "bytes"), ["plane", "bytes"], "left_semi")
+    met = short.groupBy("plane", "bytes").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+    each = met.select(F.explode("fps").alias("src"), "fps").select("src", F.explode("fps").alias("dst")).where("src < dst")
+    tally = each.groupBy("src", "dst").agg(F.count("*").alias("met")).where(F.col("met") >= MEETINGS)
+    pairs = tally.where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= BITS).select("src", "dst")
+    # whoever meets in a long posting is found there; whoever meets in none has all meetings tallied above
+    long = post.join(sizes.where(f"n > {LONG}").select("plane", "bytes"), ["plane", "bytes"], "left_semi")
+    six = _refined(long).groupBy("plane", "bytes", "more").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    return pairs.union(six.select("fps").mapInArrow(_members, "src long, dst long")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:

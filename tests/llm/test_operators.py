@@ -280,3 +280,16 @@ def test_licenses(spark):
     assert got[60].families == "mit" and got[61].families == "apache-2.0" and got[62].families == "all-rights-reserved,cc-by-nc"
     assert all(got[i].n_paragraphs == 0 for i, _ in TEXTS)
     assert licenses.report(empty(spark)).count() == 0
+
+
+def test_simhash_refined_posting():
+    """Six equal bytes: groups within two bits, small and larger than the number of neighbours looked up."""
+    from tests_support import roots
+
+    r = np.random.default_rng(1)
+    for n in (2, 40, 300, 3000):
+        v = np.unique(r.integers(0, 1 << 16, n).astype(np.uint64) | np.uint64(0xABCD << 40))
+        want = [(i, j) for i in range(len(v)) for j in np.nonzero(np.bitwise_count(v[i] ^ v) <= 2)[0].tolist() if i < j]
+        at = {int(x): k for k, x in enumerate(v.view(np.int64))}
+        got = [(at[a], at[b]) for a, b in simhash.linked(v.view(np.int64))]
+        assert roots(got, range(len(v))) == roots(want, range(len(v))) and len(got) < len(v)
