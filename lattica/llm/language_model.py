@@ -1,18 +1,23 @@
-"""Language-model scores from a weighted backoff automaton.
+"""Language-model scores from a weighted backoff automaton of trigrams.
 
-Documents are gathered into packs. A pack counts its words and word pairs, folds them to 56-bit keys and
-hands the sorted keys, in slices of the key space, to the slices' reducers; these return the corpus-wide
-training counts in the same order. Each pack then holds exactly the part of the automaton that its texts
-can visit: a state for each history, arcs for the pairs seen in training, a failure arc to the root for
-the rest. A state is the previous word, so all tokens are looked up at once. All words and pairs of the
-training documents are counted; nothing is pruned, sampled or sent to the driver but two totals.
+Documents are gathered into packs, streams of word numbers. A pack counts its words, word pairs and triples and
+hands them, in slices, to the slices' reducers, which return the corpus-wide training counts in the same order.
+Each pack then builds exactly the part of the automaton that its texts can visit: states for the histories of two
+words, one word and none; arcs for the n-grams seen in training, weighted by their smoothed log-probabilities; and
+a failure arc from each state to the state of its history without the first word. One walk from left to right
+carries the state over the stream and adds up the weights. All n-grams of the training documents are counted;
+nothing is pruned, sampled or sent to the driver but totals.
 
-P(w) = (c(w) + 1/2) / (N + (V + 1)/2) at the root, and P(w|h) = (c(h,w) + MU P(w)) / (c(h) + MU) in a
-state h, so a failure arc weighs MU / (c(h) + MU).
+P(w) = (c(w) + 1/2) / (N + (V + 1)/2) in the root, and P(w|h) = (c(hw) + MU P(w|h')) / (c(h) + MU) in a state h
+whose shorter history is h', so its failure arc weighs MU / (c(h) + MU).
+
+Words travel as they are, so their counts are exact. Pairs and triples travel as fingerprints of so many bits that
+an n-gram meets another's with a chance of 2 ** -SPARE, however large the corpus.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +30,17 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import cut
 
-#: Weight of the backoff distribution in a state.
-MU = 200.0
-#: Bytes of text in a pack, and characters of the corpus for each slice of the key space.
-PACK_BYTES, SLICE_CHARS = 8_000_000, 8_000_000
-_START, _END = b"\x01 start", b"\x01 end"  # no word holds a space
-_BITS = 56
+#: Weights of the shorter history in the states of one and two words.
+MU = (2000.0, 10.0)
+#: Bytes of text in a pack, and tokens of the corpus for each slice of the n-grams.
+PACK_BYTES, SLICE_TOKENS = 8_000_000, 2_000_000
+#: Bits of a fingerprint beyond those that number the corpus's tokens.
+SPARE = 17
+#: Places of a stream that are walked at once.
+CURSORS = 4096
+_START, _END = 0, 1
+#: No word holds a space.
+_MARKS = (b" start", b" end")
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -45,45 +55,9 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Pack:
-    """The n-grams of some texts: a stream of word numbers, and the sorted keys of all it holds."""
-
-    def __init__(self, texts: list[str | None], train: np.ndarray):
-        number: dict[bytes, int] = {_START: 0, _END: 1}
-        stream: list[int] = []
-        ends = []
-        for t in texts:
-            stream.append(0)
-            stream.extend([number.setdefault(w, len(number)) for w in tokens(t)])
-            stream.append(1)
-            ends.append(len(stream))
-        s = np.array(stream, np.int64)
-        self.ends = np.array(ends, np.int64)
-        doc = np.repeat(np.arange(len(texts)), np.diff(np.concatenate([[0], self.ends])))
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number))
-        here = s != 0  # tokens; the start is only a history
-        self.word, self.hist, self.doc = s[here], s[np.nonzero(here)[0] - 1], doc[here]
-        code = self.hist * len(number) + self.word
-        pairs, pair_of = np.unique(code, return_inverse=True)
-        key = np.uint64((1 << _BITS) - 2)
-        pair_key = (_mix(hashes[pairs // len(number)], hashes[pairs % len(number)]) >> np.uint64(64 - _BITS)) & key
-        word_key = (_mix(hashes, np.uint64(1)) >> np.uint64(64 - _BITS)) | np.uint64(1)  # odd keys are words
-        self.keys, at = np.unique(np.concatenate([word_key, pair_key]), return_inverse=True)
-        self.word_at, self.pair_at = at[: len(hashes)], at[len(hashes) :][pair_of]
-        in_train = train[self.doc]
-        counts = np.bincount(self.word_at[self.word[in_train]], minlength=len(self.keys))
-        counts += np.bincount(self.pair_at[in_train], minlength=len(self.keys))
-        # a document's start counts as a history, and as no word
-        counts[self.word_at[0]] += int(train.sum())
-        self.counts = counts.astype(np.uint32)
-
-
-START_KEY = int((_mix(np.array([xxhash.xxh64_intdigest(_START)], np.uint64), np.uint64(1))[0] >> np.uint64(64 - _BITS)) | np.uint64(1))
-
-
 def _squeeze(x: np.ndarray) -> bytes:
     """An integer array: its bytes by significance, compressed."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
 
 
 def _expand(raw: bytes, kind) -> np.ndarray:
@@ -91,21 +65,81 @@ def _expand(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(b.T).reshape(-1).view(kind)
 
 
-def _slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
-    return ((keys >> np.uint64(_BITS - 32)) * np.uint64(slices)) >> np.uint64(32)
+def _pairs(left: np.ndarray, right: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (left, right) and the number of each place's."""
+    code, at = np.unique(left * width + right, return_inverse=True)
+    return code // width, code % width, at
+
+
+class Stream:
+    """Some texts as one stream of word numbers, each text between a start and an end."""
+
+    def __init__(self, words: list[bytes], stream: np.ndarray, train: np.ndarray):
+        self.words, self.stream, self.size = words, stream, len(words) + 2
+        self.doc = np.cumsum(stream == _START) - 1
+        self.train = train
+        here = np.nonzero(stream != _START)[0]
+        self.here, self.word, self.prev = here, stream[here], stream[here - 1]
+        self.counted = train[self.doc[here]]
+        # pairs, and triples of a pair and a word; the word after the start has no pair before it
+        self.first, self.second, self.pair = _pairs(self.prev, self.word, self.size)
+        later = np.nonzero(self.prev != _START)[0]
+        self.later = later
+        self.before, self.third, self.triple = _pairs(self.pair[later - 1], self.word[later], self.size)
+
+    @classmethod
+    def of(cls, texts: list[str | None], train: np.ndarray) -> Stream:
+        number: dict[bytes, int] = {}
+        stream: list[int] = []
+        for t in texts:
+            stream.append(_START)
+            stream.extend([number.setdefault(w, len(number) + 2) for w in tokens(t)])
+            stream.append(_END)
+        return cls(list(number), np.array(stream, np.int64), train)
+
+    def word_counts(self) -> np.ndarray:
+        return np.bincount(self.word[self.counted], minlength=self.size)
+
+    def counts(self) -> np.ndarray:
+        """Of the pairs, then the triples, in the training texts."""
+        return np.concatenate([np.bincount(self.pair[self.counted], minlength=len(self.first)), np.bincount(self.triple[self.counted[self.later]], minlength=len(self.before))])
+
+    def fingerprints(self, bits: int) -> np.ndarray:
+        """Of the pairs, then the triples."""
+        own = np.fromiter((xxhash.xxh64_intdigest(w) for w in (*_MARKS, *self.words)), np.uint64, self.size)
+        two = _mix(own[self.first], own[self.second])
+        three = _mix(two[self.before], _mix(own[self.third], np.uint64(3)))
+        return np.concatenate([two, three]) >> np.uint64(64 - bits)
+
+    def packed(self) -> bytes:
+        order = np.argsort(-np.bincount(self.stream, minlength=self.size)[2:], kind="stable")  # frequent words get small numbers
+        rank = np.empty(self.size, np.int64)
+        rank[:2] = (0, 1)
+        rank[order + 2] = np.arange(2, self.size)
+        words = zstandard.compress(b"\n".join(self.words[k] for k in order), 3)
+        return len(words).to_bytes(4, "little") + words + _squeeze(rank[self.stream].astype(np.int32))
+
+    @classmethod
+    def unpacked(cls, raw: bytes, train: np.ndarray) -> Stream:
+        n = int.from_bytes(raw[:4], "little")
+        words = zstandard.decompress(raw[4 : 4 + n])
+        return cls(words.split(b"\n") if words else [], _expand(raw[4 + n :], np.int32).astype(np.int64), train)
+
+
+_PACK = "pack long, ids array<long>, held array<boolean>, tokens long, stream binary"
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (pack, docs): some documents of a partition in one compressed blob."""
+    """Some documents of a partition a row."""
     pack = TaskContext.get().partitionId() << 32
     ids, held, texts, size = [], [], [], 0
 
     def flush():
-        sink = pa.BufferOutputStream()
-        batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(texts, pa.large_string())], names=["id", "held", "text"])
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_batch(batch)
-        return pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["pack", "docs"])
+        s = Stream.of(texts, ~np.array(held, bool))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([pack], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([len(s.word)], pa.int64()), pa.array([s.packed()], pa.binary())],
+            names=["pack", "ids", "held", "tokens", "stream"],
+        )
 
     for b in batches:
         for i, h, t in zip(*[c.to_pylist() for c in b.columns]):
@@ -120,102 +154,166 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _opened(raw: bytes) -> tuple[list, list[bool], _Pack]:
-    docs = pa.ipc.open_stream(raw).read_all()
-    ids, held, texts = (docs.column(k).to_pylist() for k in range(3))
-    return ids, held, _Pack(texts, ~np.array(held, bool))
+def _slice_of(x: np.ndarray, bits: int, slices: int) -> np.ndarray:
+    return ((x >> np.uint64(bits - 32)) * np.uint64(slices)) >> np.uint64(32)
 
 
-def _counted(slices: int):
-    """Rows (pack, slice, keys, counts) of each pack's n-grams."""
-    shape = pa.schema([("pack", pa.int64()), ("slice", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+def _by_slice(s: Stream, bits: int, slices: int):
+    """(order of the words, their bounds by slice, order of the distinct fingerprints, their bounds, each n-gram's among them)."""
+    own = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in s.words), np.uint64, len(s.words))
+    word_order = np.argsort(own, kind="stable")
+    word_cuts = np.searchsorted(_slice_of(own[word_order], 64, slices), np.arange(slices + 1))
+    keys, at = np.unique(s.fingerprints(bits), return_inverse=True)
+    return word_order, word_cuts, keys, np.searchsorted(_slice_of(keys, bits, slices), np.arange(slices + 1)), at
+
+
+_COUNTED = "pack long, slice int, words binary, word_counts binary, keys binary, counts binary"
+
+
+def _counted(bits: int, slices: int):
+    """Each pack's n-grams and their counts, a row for each slice."""
+    shape = pa.schema([("pack", pa.int64()), ("slice", pa.int32()), *[(c, pa.binary()) for c in ("words", "word_counts", "keys", "counts")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for pack, raw in zip(*[c.to_pylist() for c in b.columns]):
-                p = _opened(raw)[2]
-                cuts = np.searchsorted(_slice_of(p.keys, slices), np.arange(slices + 1))
-                used = np.nonzero(np.diff(cuts))[0]
-                step = [_squeeze(np.diff(p.keys[cuts[k] : cuts[k + 1]], prepend=np.uint64(0))) for k in used]
-                counts = [_squeeze(p.counts[cuts[k] : cuts[k + 1]]) for k in used]
-                yield pa.RecordBatch.from_arrays([pa.array([pack] * len(used)), pa.array(used, pa.int32()), pa.array(step), pa.array(counts)], schema=shape)
+            for pack, held, raw in zip(*[c.to_pylist() for c in b.columns]):
+                s = Stream.unpacked(raw, ~np.array(held, bool))
+                order, word_cuts, keys, cuts, at = _by_slice(s, bits, slices)
+                word_counts = s.word_counts()[2:][order].astype(np.uint64)
+                counts = np.bincount(at, weights=s.counts(), minlength=len(keys)).astype(np.uint32)
+                out = []
+                for k in range(slices):
+                    w, g = slice(word_cuts[k], word_cuts[k + 1]), slice(cuts[k], cuts[k + 1])
+                    if w.start < w.stop or g.start < g.stop:
+                        words = zstandard.compress(b"\n".join(s.words[j] for j in order[w]), 1)
+                        out.append((pack, k, words, _squeeze(word_counts[w]), _squeeze(np.diff(keys[g], prepend=np.uint64(0))), _squeeze(counts[g])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), shape)] if out else [pa.array([], f.type) for f in shape], schema=shape)
 
     return run
 
 
+_TOTAL = "pack long, slice int, word_counts binary, counts binary, n long, v long"
+
+
 def _total(t: pa.Table) -> pa.Table:
-    """One slice of the key space: for each pack, the corpus's counts of its keys; and the slice's totals."""
+    """One slice: for each pack, the corpus's counts of its words and n-grams; and the slice's totals of words."""
     packs = t.column("pack").to_pylist()
     keys = [np.cumsum(_expand(k, np.uint64), dtype=np.uint64) for k in t.column("keys").to_pylist()]
     counts = [_expand(c, np.uint32) for c in t.column("counts").to_pylist()]
     every, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(counts), minlength=len(every)).astype(np.uint64)
-    words = total[(every & np.uint64(1) == 1) & (every != np.uint64(START_KEY))]
     bounds = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+    words = [w.split(b"\n") if (w := zstandard.decompress(x)) else [] for x in t.column("words").to_pylist()]
+    sums: dict[bytes, int] = {}
+    for own, c in zip(words, t.column("word_counts").to_pylist()):
+        for w, x in zip(own, _expand(c, np.uint64).tolist()):
+            sums[w] = sums.get(w, 0) + x
     n = len(packs)
     return pa.table(
         {
             "pack": pa.array(packs, pa.int64()), "slice": t.column("slice"),
+            "word_counts": pa.array([_squeeze(np.array([sums[w] for w in own], np.uint64)) for own in words], pa.binary()),
             "counts": pa.array([_squeeze(total[at[bounds[k] : bounds[k + 1]]]) for k in range(n)], pa.binary()),
-            "n": pa.array([int(words.sum())] + [0] * (n - 1), pa.int64()),
-            "v": pa.array([int((words > 0).sum())] + [0] * (n - 1), pa.int64()),
+            "n": pa.array([sum(sums.values())] + [0] * (n - 1), pa.int64()),
+            "v": pa.array([sum(x > 0 for x in sums.values())] + [0] * (n - 1), pa.int64()),
         }
     )
 
 
 class BackoffAutomaton:
-    """States are histories; arcs carry the log10-probabilities of pairs, failure arcs lead to the root."""
-
-    def __init__(self, pack: _Pack, total: np.ndarray, n: int, v: int, mu: float):
-        c = total.astype(np.float64)
-        self.pack = pack
-        self.known = c[pack.word_at] > 0
-        p = (c[pack.word_at] + 0.5) / (n + 0.5 * (v + 1))
-        p[~self.known] = 0.5 / (n + 0.5 * (v + 1))
-        self.root = np.log10(p)
-        stay = c[pack.word_at] + mu
-        self.failure = np.log10(mu / stay)
-        # the arcs of the pairs that the pack visits and training has
-        self.arc = c[pack.pair_at]
-        self.p, self.stay, self.mu = p, stay, mu
-
-    def traverse(self) -> tuple[np.ndarray, np.ndarray]:
-        """Per token, along each text from its start: the model's and the base's log10-probability."""
-        word, state = self.pack.word, self.pack.hist
-        root = self.root[word]
-        out = self.failure[state] + root
-        has = self.arc > 0
-        out[has] = np.log10((self.arc[has] + self.mu * self.p[word[has]]) / self.stay[state[has]])
-        return out, root
-
-
-def _scored(n: int, v: int, mu: float):
+    """States: 0 the root, 1 + w the history of a word, and one for each pair; arcs sorted by state and word."""
+
+    def __init__(self, s: Stream, word_counts: np.ndarray, pairs: np.ndarray, triples: np.ndarray, n: int, v: int, starts: int, mu: tuple[float, float] = MU):
+        """Counts of training: of the stream's words (start and end first), pairs and triples; N, V and the number of texts."""
+        self.s, size = s, s.size
+        self.known = word_counts > 0
+        p1 = (np.where(self.known, word_counts, 0) + 0.5) / (n + 0.5 * (v + 1))
+        seen = word_counts.astype(float)
+        seen[_START] = starts
+        p2 = (pairs + mu[0] * p1[s.second]) / (seen[s.first] + mu[0])
+        # the shorter history of a triple is a pair of the stream, too
+        code = s.first * size + s.second
+        suffix = np.searchsorted(code, s.second[s.before] * size + s.third)
+        p3 = (triples + mu[1] * p2[suffix]) / (pairs[s.before] + mu[1])
+        # what the root does on each word, and where it leads
+        self.root, self.enter = np.log10(p1), np.where(self.known, np.arange(size) + 1, 0)
+        self.fail = np.concatenate([[0], np.zeros(size, np.int64), s.second + 1])
+        self.fail_weight = np.concatenate([[0.0], np.log10(mu[0] / (seen + mu[0])), np.log10(mu[1] / (pairs + mu[1]))])
+        two, three = np.nonzero(pairs > 0)[0], np.nonzero(triples > 0)[0]
+        self.arc = np.concatenate([(s.first[two] + 1) * size + s.second[two], (size + 1 + s.before[three]) * size + s.third[three], [np.iinfo(np.int64).max]])
+        self.weight = np.concatenate([np.log10(p2[two]), np.log10(p3[three]), [0.0]])
+        self.target = np.concatenate([size + 1 + two, size + 1 + suffix[three], [0]])
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, weights) of reading a word in each state: failure arcs until an arc has the word."""
+        state, out = state.copy(), np.zeros(len(state))
+        todo = np.arange(len(state))
+        while len(todo):
+            now, w = state[todo], word[todo]
+            code = now * self.s.size + w
+            at = np.searchsorted(self.arc, code)
+            found = self.arc[at] == code
+            base = (now == 0) & ~found
+            lost = ~found & ~base
+            out[todo] += np.where(found, self.weight[at], np.where(base, self.root[w], self.fail_weight[now]))
+            state[todo] = np.where(found, self.target[at], np.where(base, self.enter[w], self.fail[now]))
+            todo = todo[lost]
+        return state, out
+
+    def traverse(self) -> np.ndarray:
+        """The weight of each place of the stream, by one walk from left to right (0 at starts).
+
+        The stream is walked from many places at once. A state is the longest known history of two words at
+        most, so two words read before its first place, from the root, bring a cursor into its state.
+        """
+        stream = self.s.stream
+        out = np.zeros(len(stream))
+        length = max(2, -(-len(stream) // CURSORS))
+        heads = np.arange(0, len(stream), length)
+        state = np.zeros(len(heads), np.int64)
+        for k in range(-2, length):
+            at = heads + k
+            live = np.nonzero((at >= 0) & (at < len(stream)))[0]
+            word = stream[at[live]]
+            state[live[word == _START]] = _START + 1
+            live, word = live[word != _START], word[word != _START]
+            state[live], weight = self.step(state[live], word)
+            if k >= 0:
+                out[at[live]] = weight
+        return out
+
+
+def _scored(bits: int, slices: int, n: int, v: int, starts: int, ends: int, mu: tuple[float, float]):
     def run(t: pa.Table) -> pa.Table:
         at = np.array(t.column("slice").to_pylist())
-        ids, held, pack = _opened(t.column("docs")[int(np.nonzero(at == -1)[0][0])].as_py())
-        blobs = t.column("counts").to_pylist()
-        order = [int(k) for k in np.argsort(at, kind="stable") if at[k] >= 0]
-        total = np.concatenate([_expand(blobs[k], np.uint64) for k in order])
-        if len(total) != len(pack.keys):
+        own = int(np.nonzero(at == -1)[0][0])
+        ids, held = t.column("ids")[own].as_py(), np.array(t.column("held")[own].as_py(), bool)
+        s = Stream.unpacked(t.column("stream")[own].as_py(), ~held)
+        order, _, keys, _, place = _by_slice(s, bits, slices)
+        rows = [int(k) for k in np.argsort(at, kind="stable") if at[k] >= 0]
+        blobs, word_blobs = t.column("counts").to_pylist(), t.column("word_counts").to_pylist()
+        words = np.zeros(s.size, np.uint64)
+        words[order + 2] = np.concatenate([np.zeros(0, np.uint64), *[_expand(word_blobs[k], np.uint64) for k in rows]])
+        words[_END] = ends
+        total = np.concatenate([np.zeros(0, np.uint64), *[_expand(blobs[k], np.uint64) for k in rows]])
+        if len(total) != len(keys):
             raise RuntimeError("a pack's counts are incomplete")
-        machine = BackoffAutomaton(pack, total, n, v, mu)
-        score, base = machine.traverse()
-        m = len(ids)
+        total = total[place].astype(float)
+        machine = BackoffAutomaton(s, words.astype(float), total[: len(s.first)], total[len(s.first) :], n, v, starts, mu)
+        m, doc = len(ids), s.doc[s.here]
+        sums = lambda x: np.bincount(doc, weights=x, minlength=m)
         return pa.table(
             {
-                "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()),
-                "n_tokens": pa.array(np.bincount(pack.doc, minlength=m), pa.int64()),
-                "n_known": pa.array(np.bincount(pack.doc, weights=machine.known[pack.word], minlength=m).astype(np.int64), pa.int64()),
-                "train_tokens": pa.array([n] * m, pa.int64()),
-                "base_score": pa.array(np.bincount(pack.doc, weights=base, minlength=m)),
-                "score": pa.array(np.bincount(pack.doc, weights=score, minlength=m)),
+                "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held), "n_tokens": pa.array(np.bincount(doc, minlength=m), pa.int64()),
+                "n_known": pa.array(sums(machine.known[s.word]).astype(np.int64)), "train_tokens": pa.array([n] * m, pa.int64()),
+                "base_score": pa.array(sums(machine.root[s.word])), "score": pa.array(sums(machine.traverse()[s.here])),
             }
         )
 
     return run
 
 
-def scores(docs: DataFrame, held_out, mu: float = MU) -> DataFrame:
+def scores(docs: DataFrame, held_out, mu: tuple[float, float] = MU) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     held_out is a condition on docs' columns; null counts as false, and all rows for which it is false
@@ -224,13 +322,17 @@ def scores(docs: DataFrame, held_out, mu: float = MU) -> DataFrame:
     columns are ignored.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), "text")
-    chars = src.agg(F.sum(F.length("text"))).first()[0] or 0
-    slices = int(max(32, chars // SLICE_CHARS))
-    packed = cut(src.mapInArrow(_gather, "pack long, docs binary"))
-    totals = packed.mapInArrow(_counted(slices), "pack long, slice int, keys binary, counts binary").groupBy("slice").applyInArrow(_total, "pack long, slice int, counts binary, n long, v long")
+    packed = cut(src.mapInArrow(_gather, _PACK))
+    trained = F.size(F.filter("held", lambda h: ~h)).cast("long")
+    size, starts = packed.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum(trained), F.lit(0))).first()
+    bits = min(64, SPARE + max(16, math.ceil(math.log2(max(2, size)))))
+    slices = int(max(32, size // SLICE_TOKENS))
+    totals = packed.select("pack", "held", "stream").mapInArrow(_counted(bits, slices), _COUNTED).groupBy("slice").applyInArrow(_total, _TOTAL)
     totals = cut(totals)
     n, v = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    both = packed.select("pack", F.lit(-1).alias("slice"), "docs", F.lit(None).cast("binary").alias("counts"))
-    both = both.unionByName(totals.select("pack", "slice", F.lit(None).cast("binary").alias("docs"), "counts"))
+    n, v = n + starts, v + (starts > 0)  # each training text has one end
+    none = lambda kind: F.lit(None).cast(kind)
+    both = packed.select("pack", F.lit(-1).alias("slice"), "ids", "held", "stream", none("binary").alias("word_counts"), none("binary").alias("counts"))
+    both = both.unionByName(totals.select("pack", "slice", none("array<long>").alias("ids"), none("array<boolean>").alias("held"), none("binary").alias("stream"), "word_counts", "counts"))
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return both.groupBy("pack").applyInArrow(_scored(int(n), int(v), mu), shape)
+    return both.groupBy("pack").applyInArrow(_scored(bits, slices, int(n), int(v), int(starts), int(starts), mu), shape)

@@ -208,41 +208,66 @@ def test_windows_cover_all():
 
 
 def test_language_model(spark):
-    texts = [*TEXTS, (50, PROSE + " UNSEEN words " + PROSE)]
+    texts = [*TEXTS, (50, PROSE + " UNSEEN words " + PROSE), (51, "the red fox sat by the hill")]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    keep, language_model.CURSORS = language_model.CURSORS, 100
     got = language_model.scores(documents(spark, texts), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1).collect()
+    language_model.CURSORS = keep
     assert len(got) == len(texts)
     w = lambda t: (t or "").encode().lower().split()
-    c, c2, starts = Counter(), Counter(), 0
+    c, c2, c3, starts = Counter(), Counter(), Counter(), 0
     for i, t in texts:
         if not held(i):
             x = [*w(t), "END"]
             c.update(x)
             c2.update(zip(["START", *x], x))
+            c3.update(zip(["START", *x], x, x[1:]))
             starts += 1
-    n, v, mu = sum(c.values()), len(c), language_model.MU
+    n, v, (m1, m2) = sum(c.values()), len(c), language_model.MU
     p = lambda t: (c[t] + 0.5) / (n + 0.5 * (v + 1))
+    p2 = lambda h, t: (c2[h, t] + m1 * p(t)) / ((starts if h == "START" else c[h]) + m1)
+    p3 = lambda g, h, t: (c3[g, h, t] + m2 * p2(h, t)) / (c2[g, h] + m2)
     by = {r.doc_id: r for r in got}
     for i, t in texts:
         x = [*w(t), "END"]
         g = by[i]
         assert (g.n_tokens, g.n_known, g.train_tokens, g.held_out) == (len(x), sum(c[k] > 0 for k in x), n, held(i))
         assert g.base_score == pytest.approx(sum(log10(p(k)) for k in x))
-        assert g.score == pytest.approx(sum(log10((c2[h, k] + mu * p(k)) / ((starts if h == "START" else c[h]) + mu)) for h, k in zip(["START", *x], x)))
+        assert g.score == pytest.approx(log10(p2("START", x[0])) + sum(log10(p3(*k)) for k in zip(["START", *x], x, x[1:])))
     assert language_model.scores(empty(spark), F.lit(False)).count() == 0
     assert language_model.scores(documents(spark), F.lit(True)).where("n_known > 0").count() == 0
 
 
+def _automaton(texts, mu):
+    s = language_model.Stream.of(texts, np.ones(len(texts), bool))
+    pairs, words = s.counts(), s.word_counts()
+    return language_model.BackoffAutomaton(s, words.astype(float), pairs[: len(s.first)].astype(float), pairs[len(s.first) :].astype(float), int(words.sum()), int((words > 0).sum()), len(texts), mu)
+
+
 def test_language_model_sums_to_one():
-    """Over the known words and one unknown, a state's probabilities sum to one."""
-    pack = language_model._Pack(["a b a c", "b a"], np.array([True, True]))
-    total = pack.counts.astype(np.uint64)
-    m = language_model.BackoffAutomaton(pack, total, 8, 4, 2.0)
-    arcs = {(h, w): x for h, w, x in zip(pack.hist.tolist(), pack.word.tolist(), 10 ** m.traverse()[0])}
-    unknown = 0.5 / (8 + 0.5 * 5)
-    for h in {h for h, _ in arcs}:
-        s = sum(arcs.get((h, w), 10 ** (m.failure[h] + m.root[w])) for w in range(1, 5)) + 10 ** m.failure[h] * unknown
-        assert s == pytest.approx(1)
+    """In every state but those behind an end, the probabilities of all known words and one unknown word sum to one."""
+    m = _automaton(["a b a c", "b a", "a b a b c"], (2.0, 3.0))
+    n = int(m.s.word_counts().sum())
+    unknown = np.log10(0.5 / (n + 0.5 * (len(m.s.words) + 2)))
+    size = m.s.size
+    for state in [0, 1, *range(3, size + 1), *(size + 1 + np.nonzero(m.s.second != 1)[0]).tolist()]:
+        words = np.arange(1, m.s.size)
+        total = (10 ** m.step(np.full(len(words), state), words)[1]).sum()
+        weight, s = 0.0, state
+        while s:
+            weight, s = weight + m.fail_weight[s], m.fail[s]
+        assert total + 10 ** (weight + unknown) == pytest.approx(1), state
+
+
+def test_language_model_walk_in_pieces():
+    """Walks from many places give what one walk gives."""
+    r = np.random.default_rng(0)
+    m = _automaton([" ".join(f"w{k}" for k in r.integers(0, 9, int(r.integers(0, 60)))) for _ in range(40)], (2.0, 3.0))
+    keep, found = language_model.CURSORS, []
+    for language_model.CURSORS in (1, 7, 300, 10**6):
+        found.append(m.traverse())
+    language_model.CURSORS = keep
+    assert all(np.allclose(found[0], x) for x in found) and found[0].sum() < -100
 
 
 def test_warc(spark):
