@@ -1,11 +1,12 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions alone.
 
-Four base expressions find the seed entities. The two words before a seed form a lexical pattern; the
-bipartite graph of patterns and instances (seeds, and other tokens that hold digits) is scored in rounds:
-a pattern's confidence is the score of the instances it precedes over all places where it occurs in the
-corpus; a seed's score is one, another instance's is its best pattern's confidence in the round that finds
-it. A token before which a confident pattern stands becomes an instance of the pattern's kind wherever its
-value stands, and supports the patterns before these places in the next round, until a round finds none.
+Four base expressions find the seed entities. The two whole words before an entity form a lexical pattern, and
+so do the two after it. The bipartite graph of patterns and instances (seeds, and other tokens that hold digits)
+is scored in rounds: a pattern's confidence is the score of the instances it stands beside over all places where
+its words occur in the corpus; a seed's score is one, another instance's is its best pattern's confidence in the
+round that finds it. A token beside which a confident pattern stands becomes an instance of the pattern's kind
+wherever its value stands, and supports the patterns beside these places in the next round, until a round finds
+none. A context reaches to the neighbouring matches of the expression that found the entity.
 """
 
 from __future__ import annotations
@@ -29,12 +30,17 @@ PATTERNS = {
 _NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: Other tokens that may be identifiers: five characters or more with a digit.
 _TOKEN = r"(?<!\S)(?=\S{5})[^\s0-9]*+[0-9]\S*+"
-#: Distinct instances that a pattern must precede, and the confidence that makes it extract.
+#: Distinct instances that a pattern must stand beside, and the confidence that makes it extract.
 MIN_SUPPORT, MIN_CONFIDENCE = 3, 0.5
-#: Patterns up to which they are the set of a filter, and up to which they are broadcast (some tens of bytes each).
-LISTED, BROADCAST_ROWS = 2_000, 50_000
-#: Characters before an entity in which its two context words are looked for.
-_CONTEXT = 96
+#: Patterns up to which they are broadcast (some tens of bytes each); more meet their places in a shuffle.
+BROADCAST_ROWS = 50_000
+#: Matches of a text whose places are added up together, so that work grows with the matches, not their square.
+_BLOCK = 128
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _luhn(digits: Column) -> Column:
@@ -61,38 +67,100 @@ def _passes(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """All matches as structs (s, e, m): places in code points, and the match itself."""
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    both = F.arrays_zip(gaps.alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+def _blocks(items: Column) -> Column:
+    last = F.floor((F.size(items) - 1) / _BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * _BLOCK + 1, F.lit(_BLOCK)))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
 
-    return F.aggregate(F.filter(both, lambda x: x["m"].isNotNull()), start, step, lambda acc: acc["out"])
+def _whole_words(gap: Column, head: Column, tail: Column) -> Column:
+    """The words of the text between two matches without the pieces of the matches' own words."""
+    g = F.lower(gap)
+    g = F.when(head, g).otherwise(F.regexp_replace(g, r"^\S++", ""))
+    g = F.when(tail, g).otherwise(F.regexp_replace(g, r"\S++$", ""))
+    return F.filter(F.split(g, r"\s++"), lambda w: w != "")
 
 
-def base_spans(text: Column) -> Column:
-    """array<struct<k:int, s:int, e:int>> of the base entities, by kind (an index into KINDS), then start."""
-    none = F.array().cast("array<struct<k:int,s:int,e:int>>")
+def _left(gap: Column, first: Column) -> Column:
+    return _let(_whole_words(gap, first, F.lit(False)), lambda w: F.when(F.size(w) >= 2, F.concat_ws(" ", F.slice(w, -2, 2))))
+
+
+def _right(gap: Column, last: Column) -> Column:
+    return _let(_whole_words(gap, F.lit(False), last), lambda w: F.when(F.size(w) >= 2, F.concat_ws(" ", F.slice(w, 1, 2))))
+
+
+_MATCH = "array<struct<s:int,e:int,v:bigint,l:string,r:string>>"
+
+
+def _found(text: Column, pattern: str, passes=lambda m: F.lit(True), trimmed=lambda m: m) -> Column:
+    """Passing matches as structs: places in code points, a hash of the value, and the patterns on its left and right.
+
+    The value is trimmed(match), from the match's start.
+    """
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("ms"))
+
+    def placed(z: Column) -> Column:
+        items = F.transform(z["ms"], lambda m, i: F.struct(i.alias("i"), F.length(F.get(z["gaps"], i)).alias("g"), F.length(m).alias("n")))
+        none = F.array().cast("array<struct<i:int,s:int>>")
+
+        def step(acc: Column, x: Column) -> Column:
+            s = acc["at"] + x["g"]
+            return F.struct((s + x["n"]).alias("at"), F.array_append(acc["out"], F.struct(x["i"].alias("i"), s.alias("s"))).alias("out"))
+
+        local = F.transform(_blocks(items), lambda b: F.aggregate(b, F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+
+        def moved(parts: Column) -> Column:
+            start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+            heads = F.aggregate(parts, start, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+            return F.flatten(F.zip_with(parts, heads, lambda p, h: F.transform(p["out"], lambda x: F.struct(x["i"].alias("i"), (x["s"] + h).alias("s")))))
+
+        def told(x: Column) -> Column:
+            i = x["i"]
+            return _let(
+                trimmed(F.get(z["ms"], i)),
+                lambda m: F.struct(
+                    x["s"].alias("s"), (x["s"] + F.length(m)).alias("e"), F.xxhash64(m).alias("v"),
+                    _left(F.get(z["gaps"], i), i == 0).alias("l"), _right(F.get(z["gaps"], i + 1), i + 1 == F.size(z["ms"])).alias("r"),
+                ),
+            )
+
+        return F.transform(F.filter(_let(local, moved), lambda x: passes(F.get(z["ms"], x["i"]))), told)
+
+    return F.when(text.rlike(pattern), _let(both, placed)).otherwise(F.array()).cast(_MATCH)
+
+
+def base_matches(text: Column) -> Column:
+    """The base entities by kind (k, an index into KINDS), then start; see _found()."""
 
     def part(k: int, kind: str) -> Column:
-        found = F.filter(_found(text, PATTERNS[kind]), lambda x: _passes(kind, x["m"]))
-        spans = F.transform(found, lambda x: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e")))
+        found = _found(text, PATTERNS[kind], lambda m: _passes(kind, m))
+        spans = F.transform(found, lambda x: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), x["l"].alias("l"), x["r"].alias("r")))
         has = F.contains(text, F.lit(_NEEDS[kind])) if _NEEDS[kind] else F.lit(True)
-        return F.when(has if kind == "email" else has & text.rlike("[0-9]"), spans).otherwise(none)
+        return F.when(has if kind == "email" else has & text.rlike("[0-9]"), spans).otherwise(F.array()).cast(_KINDED)
 
     return F.concat(*[part(k, kind) for k, kind in enumerate(KINDS)])
 
 
-def _words_before(text: Column, start: Column) -> Column:
-    lo = F.greatest(start - _CONTEXT, F.lit(0))
-    w = F.split(F.trim(F.regexp_replace(F.lower(text.substr(lo + 1, start - lo)), r"\s+", " ")), " ")
-    return F.when(F.size(w) >= 2, F.array_join(F.slice(w, -2, 2), " "))
+_KINDED = "array<struct<k:int,s:int,e:int,v:bigint,l:string,r:string>>"
+_SPANS = "array<struct<k:int,s:int,e:int>>"
+
+
+def base_spans(text: Column) -> Column:
+    """array<struct<k:int, s:int, e:int>> of the base entities, by kind, then start."""
+    return F.transform(base_matches(text), _span)
+
+
+def _span(x: Column) -> Column:
+    return F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))
+
+
+def _apart(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no base entity, block by block of the tokens."""
+
+    def free(b: Column) -> Column:
+        near = F.filter(base, lambda x: (x["s"] < F.get(b, F.size(b) - 1)["e"]) & (F.get(b, F.lit(0))["s"] < x["e"]))
+        return _let(near, lambda n: F.filter(b, lambda t: ~F.exists(n, lambda x: (x["s"] < t["e"]) & (t["s"] < x["e"]))))
+
+    return F.when((F.size(tokens) > 0) & (F.size(base) > 0), F.flatten(F.transform(_blocks(tokens), free))).otherwise(tokens)
 
 
 def _bigrams(text: Column) -> Column:
@@ -101,22 +169,21 @@ def _bigrams(text: Column) -> Column:
     return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def _instances(trimmed) -> Column:
-    """Seeds and other tokens with digits: kind (null for these), place, the words before, and a hash of the value."""
-    seed = lambda b: F.struct(b["k"].alias("k"), b["s"].alias("s"), b["e"].alias("e"), _words_before(F.col("text"), b["s"]).alias("p"), F.xxhash64(F.col("text").substr(b["s"] + 1, b["e"] - b["s"])).alias("v"))
-    other = lambda t: F.struct(F.lit(None).cast("int").alias("k"), t["s"].alias("s"), trimmed(t).alias("e"), _words_before(F.col("text"), t["s"]).alias("p"), F.xxhash64(F.col("text").substr(t["s"] + 1, trimmed(t) - t["s"])).alias("v"))
-    return F.concat(F.transform("base", seed), F.transform("tokens", other))
+def _few(df: DataFrame) -> DataFrame:
+    """df, broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _places(src: DataFrame, ready: DataFrame) -> DataFrame:
-    """(p, places): how often the patterns of ready stand in the texts of src."""
+    """(p, places): how often the two words of the patterns of ready stand in the texts of src."""
     every = src.select(F.explode(_bigrams(F.col("text"))).alias("p"))
-    words, n = ready.select("p").distinct(), ready.count()
-    if n <= LISTED:  # few patterns are a filter's set, more are broadcast, and more than that meet their places in a shuffle
-        found = every.where(F.col("p").isin([r[0] for r in words.collect()]))
-    else:
-        found = every.join(F.broadcast(words) if n <= BROADCAST_ROWS else words, "p", "left_semi")
-    return found.groupBy("p").agg(F.count("*").alias("places"))
+    return every.join(_few(ready.select("p").distinct()), "p", "left_semi").groupBy("p").agg(F.count("*").alias("places"))
+
+
+def _patterns(inst: DataFrame, *cols: str) -> DataFrame:
+    """A row for each pattern (side, p) of an instance."""
+    both = F.array(F.struct(F.lit("l").alias("side"), F.col("l").alias("p")), F.struct(F.lit("r").alias("side"), F.col("r").alias("p")))
+    return inst.select(*cols, F.inline(both)).where("p is not null")
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -129,63 +196,43 @@ def extract(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     src = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"))
-    found = src.withColumn("base", base_spans(F.col("text")))
-    digits = F.when(F.col("text").rlike("[0-9]"), _found(F.col("text"), _TOKEN)).otherwise(
-        F.array().cast("array<struct<s:int,e:int,m:string>>")
-    )
-    found = found.withColumn("tokens", F.filter(digits, lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))))
-    # the text between single spaces, for the few texts that hold instances
-    found = found.withColumn("plain", F.when((F.size("base") > 0) | (F.size("tokens") > 0), F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), F.lit(" "))))
-    trimmed = lambda t: t["e"] - F.length(t["m"]) + F.length(F.regexp_replace(t["m"], r"[.,;:!?)\]]++$", ""))
-    # how often a pattern stands in the instance's own text: a lower bound of its places
-    own = lambda x: ((F.length("plain") - F.length(F.replace(F.col("plain"), F.concat(F.lit(" "), x["p"], F.lit(" ")), F.lit("")))) / (F.length(x["p"]) + 2)).cast("long")
-    seen = found.select("doc_id", "text_key", "base", "plain", _instances(trimmed).alias("inst"))
-    seen = cut(seen.select("doc_id", "text_key", "base", F.transform("inst", lambda x: x.withField("c", F.coalesce(own(x), F.lit(0).cast("long")))).alias("inst")))
-    inst = seen.select("doc_id", "text_key", F.inline("inst"))
-    new, known = None, inst.where("k is not null and p is not null").select("doc_id", "text_key", "k", "p", "v", "c", F.lit(1.0).alias("score"))
-    open_ = inst.where("k is null").select("doc_id", "text_key", "s", "e", "p", "v", "c")
+    tail = r"[.,;:!?)\]]++$"
+    tokens = F.when(F.col("text").rlike("[0-9]"), _found(F.col("text"), _TOKEN, trimmed=lambda m: F.regexp_replace(m, tail, ""))).otherwise(F.array()).cast(_MATCH)
+    found = src.select("doc_id", "text_key", F.struct(base_matches(F.col("text")).alias("base"), tokens.alias("tokens")).alias("all"))
+    # tokens are set apart from base entities once both are known
+    seen = cut(found.select("doc_id", "text_key", "all.base", "all.tokens"))
+    seeds = seen.select("doc_id", "text_key", F.inline("base"))
+    open_ = cut(seen.where("size(tokens) > 0").select("doc_id", "text_key", F.inline(_apart(F.col("tokens"), F.col("base")))))
+    new, known = None, seeds.select("k", "v", "l", "r", F.lit(1.0).alias("score"))
     gained = None
     while True:
-        ready = known.groupBy("p", "k").agg(F.approx_count_distinct("v").alias("n"), F.sum("score").alias("hits")).where(f"n >= {MIN_SUPPORT}")
+        support = _patterns(known, "k", "v", "score").groupBy("side", "p", "k").agg(F.count_distinct("v").alias("n"), F.sum("score").alias("hits")).where(f"n >= {MIN_SUPPORT}")
         if gained is not None:  # the others are as the last round judged them
-            ready = ready.join(gained, "p", "left_semi")
-        least = known.groupBy("doc_id", "text_key", "p").agg(F.max("c").alias("c")).groupBy("p").agg(F.sum("c").alias("least"))
-        # what its own texts alone rule out needs no count over the corpus
-        ready = ready.join(least, "p").where(F.col("hits") >= MIN_CONFIDENCE * F.col("least"))
-        ready = cut(ready.join(open_.select("p").distinct(), "p", "left_semi"))
-        if ready.isEmpty():
-            break
-        # texts with digits, a part of the corpus that holds all instances, rule most patterns out; what is left is counted over the rest, too
-        digits = F.col("text").rlike("[0-9]")
-        first = _places(src.where(digits), ready).withColumnRenamed("places", "some")
-        ready = cut(ready.join(first, "p").where(F.col("hits") >= MIN_CONFIDENCE * F.col("some")))
+            support = support.join(gained, ["side", "p"], "left_semi")
+        ready = cut(support.join(_patterns(open_).distinct(), ["side", "p"], "left_semi"))
         if ready.isEmpty():
             break
-        counted = ready.select("p", "some").distinct().join(_places(src.where(~digits), ready), "p", "left")
-        counted = counted.select("p", (F.col("some") + F.coalesce("places", F.lit(0))).alias("places"))
-        sure = ready.join(counted, "p").where(F.col("hits") >= MIN_CONFIDENCE * F.col("places"))
-        best = sure.groupBy("p").agg(F.max_by("k", F.struct(F.col("hits"), -F.col("k"))).alias("k"), F.max(F.col("hits") / F.col("places")).alias("score"))
+        sure = ready.join(_places(src, ready), "p").where(F.col("hits") >= MIN_CONFIDENCE * F.col("places"))
+        confidence = F.least(F.lit(1.0), F.col("hits") / F.col("places"))
+        best = cut(sure.groupBy("side", "p").agg(F.max_by("k", F.struct(F.col("hits"), -F.col("k"))).alias("k"), F.max(confidence).alias("score")))
         # an instance is its value: its other places are its, too
-        values = open_.select("p", "v").join(best, "p").groupBy("v").agg(F.max_by("k", F.struct(F.col("score"), -F.col("k"))).alias("k"), F.max("score").alias("score"))
+        values = _patterns(open_, "v").join(_few(best), ["side", "p"]).groupBy("v").agg(F.max_by("k", F.struct(F.col("score"), -F.col("k"))).alias("k"), F.max("score").alias("score"))
         values = cut(values)
-        more = cut(open_.join(values, "v").select("doc_id", "text_key", "k", "s", "e", "p", "v", "c", "score"))
+        more = cut(open_.join(_few(values), "v").select("doc_id", "text_key", "k", "s", "e", "v", "l", "r", "score"))
         if more.isEmpty():
             break
         new = more if new is None else new.union(more)
-        more = more.where("p is not null")
-        known = cut(known.union(more.select("doc_id", "text_key", "k", "p", "v", "c", "score")))
-        gained = more.select("p").distinct()
-        open_ = cut(open_.join(values.select("v"), "v", "left_anti"))
-    base = seen.select("doc_id", "text_key", "base")
+        known = cut(known.union(more.select("k", "v", "l", "r", "score")))
+        gained = _patterns(more).distinct()
+        open_ = cut(open_.join(_few(values.select("v")), "v", "left_anti"))
+    base = seen.select("doc_id", "text_key", F.transform("base", _span).cast(_SPANS).alias("base"))
     if new is None:
         return base.withColumn("spans", F.col("base"))
     # copies of a row hold the same spans
     gathered = new.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("k", "s", "e")).alias("added"))
     gathered = gathered.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), "added")
     joined = base.join(gathered, base["doc_id"].eqNullSafe(F.col("_d")) & (base["text_key"] == F.col("_t")), "left")
-    return joined.select(
-        "doc_id", "text_key", "base", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<k:int,s:int,e:int>>")))).alias("spans")
-    )
+    return joined.select("doc_id", "text_key", "base", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(_SPANS)))).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
