@@ -1,10 +1,12 @@
 """Licence scans: a trained paragraph classifier, an unknown class, and comparison with templates.
 
-Every line of a text is a paragraph. Hashed word uni- and bigrams feed a sparse multinomial logistic
-regression over licence families and ordinary prose. It is trained on notices below, with words left out
-in turn, and on a bounded sample of the documents' own paragraphs that share no template's wording. The
-probability from which a paragraph counts as a licence is calibrated on sampled prose the fit didn't see.
-Such a paragraph gets its family if a template of that family confirms it, else it is unknown.
+Every line of a text is read as a paragraph, and neighbouring lines that are accepted are one notice. Hashed word
+uni-, bi- and trigrams feed a sparse multinomial logistic regression over licence families, other licences
+("unknown") and ordinary prose. It is trained on the wordings below: notices and pieces of them, the same notices
+with other names in place of what tells their family (unknown), and prose, some of it about licences. A third of
+the prose and the notices' pieces at other places are set aside and calibrate the licence probability from which a line is accepted; the texts that are
+scanned take no part in the training, so a text's result depends on nothing else. A notice whose likeliest family
+has a template that confirms it gets the family; any other accepted notice is unknown.
 DataFrame functions and the JVM's learners alone; no shuffle carries a text.
 """
 
@@ -15,7 +17,7 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: families and wordings of their usual notices
@@ -48,15 +50,35 @@ TEMPLATES = {
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."],
     "public-domain": ["This work is dedicated to the public domain.", "Released under CC0 1.0 Universal."],
 }
-PROSE = "none"
-#: Documented bound of the paragraphs of prose in the training sample; half of it calibrates.
-SAMPLE = 8_000
+PROSE, UNKNOWN = "none", "unknown"
+# fixed values: names that stand for licences of no family, and wordings that belong to none
+NAMES = ["Example", "Harbor", "Meridian", "Foo", "Orchid", "Community", "Vendor", "Granite", "Tundra", "Acme"]
+OTHERS = [
+    "Licensed under the Artistic License 2.0.", "Released under the Unlicense.", "Distributed under the terms of the ISC License.",
+    "This file is licensed under the Eclipse Public License, version 2.0.", "Use of this source code is governed by a license that can be found in the LICENSE file.",
+    "This software is provided under a commercial license.", "See the license file for the terms of use.", "Licensed under the European Union Public Licence, version 1.2.",
+    "Permission to use, copy, modify and distribute this software for any purpose with or without fee is hereby granted",
+]
+SENTENCES = [
+    "The driver lost his license on the way home.", "All of the rights of way were closed for the winter.", "Copyright law is a subject with a long history.",
+    "The village pond is open to the public and free of charge.", "She was granted permission to leave the room.", "The work of the year was done by the end of March.",
+    "A version of the story appeared in the local paper.", "The following conditions were cold and wet, with little sun.", "He released the bird under the old oak.",
+    "The sources of the river are in the hills to the north.", "In general the public was pleased with the play.", "The common room is reserved for members and their guests.",
+    "This is a list of the people who came to dinner.", "The two forms of the word differ in one letter.", "Please see the notes at the end of the chapter.",
+    "It was hereby clear to all that the plan would not work.", "The library has many books and a quiet garden.", "With or without rain the market opens at nine.",
+    "The software on his machine was old and slow.", "The state of the art changes from year to year.", "An attribution of the painting to her is in doubt.",
+    "The commons were fenced in by the new owner of the land.", "You may not use the lift in case of fire.", "Terms of trade got worse for the farmers.", "The license plate of the car was hidden by mud.",
+    "The source of the code was a book of puzzles.", "No rights were harmed, said the lawyer, and all laughed.", "The domain of the function is the set of real numbers.", "He read the file to the end and put it away.",
+    "Creative work takes time and a common purpose.",
+]
 BUCKETS = 1 << 14
-#: Share of prose that may pass the calibrated probability, and a template's words that a paragraph must hold.
-FALSE_RATE, CONFIRM = 0.0005, 0.75
-#: Less than this share of every template of the likeliest family is no licence, whatever its probability.
-LEAST = 0.25
-_FAMILIES = [PROSE, *TEMPLATES]
+#: The least share of a template's distinct words that a confirmed notice holds.
+CONFIRM = 0.75
+#: What a sentence of prose counts beside a notice.
+PROSE_WEIGHT = 6.0
+#: Words of a piece of a notice that is trained on, and the places between pieces.
+PIECE, STEP = 8, 4
+_CLASSES = [PROSE, UNKNOWN, *TEMPLATES]
 
 
 def words(text: Column) -> Column:
@@ -65,25 +87,60 @@ def words(text: Column) -> Column:
 
 
 def _features(w: Column) -> Column:
-    n = F.greatest(F.size(w) - 1, F.lit(0))
-    return F.concat(w, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
+    """Distinct uni-, bi- and trigrams."""
+    n = F.size(w)
+    shifted = lambda k: F.slice(w, F.lit(k + 1), F.greatest(n - k, F.lit(0)))
+    two = F.filter(F.zip_with(w, shifted(1), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))), lambda x: x.isNotNull())
+    three = F.filter(F.zip_with(F.zip_with(w, shifted(1), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))), shifted(2), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))), lambda x: x.isNotNull())
+    return F.concat(w, two, three)
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, text) for each line with words of docs(doc_id, text)."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\R")).alias("paragraph", "line"))
-    return lines.select("doc_id", "paragraph", words(F.col("line")).alias("w")).where(F.size("w") > 0)
-
-
-def _templates() -> list[tuple[str, str]]:
-    return [(family, text) for family, texts in TEMPLATES.items() for text in texts]
+    """(doc_id, text_key, paragraph, w) for each line with words of docs(doc_id, text)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines = docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.posexplode(F.split(text, r"\R")).alias("paragraph", "line"))
+    return lines.select("doc_id", "text_key", "paragraph", words(F.col("line")).alias("w")).where(F.size("w") > 0)
+
+
+def _bag(text: str) -> list[str]:
+    return "".join(c.lower() if c.isalnum() else " " for c in text).split()
+
+
+def _pieces(w: list[str], shift: int = 0) -> list[list[str]]:
+    """Runs of a notice, its end among them: what a line of a wrapped notice may hold."""
+    if len(w) <= PIECE:
+        return []
+    return [*[w[k : k + PIECE] for k in range(shift, len(w) - PIECE + 1, STEP)], w[-PIECE - shift :]]
+
+
+def examples() -> list[tuple[str, list[str], bool]]:
+    """(class, words, whether set aside to calibrate) of all examples: a third of the prose, and pieces at other places."""
+    own = {f: {x for t in texts for x in _bag(t)} for f, texts in TEMPLATES.items()}
+    telling = {f: {x for x in bag if sum(x in o for o in own.values()) == 1} for f, bag in own.items()}
+    out = []
+
+    def add(family: str, w: list[str]) -> None:
+        out.append((family, w, False))
+        out.extend((family, p, False) for p in _pieces(w))
+        out.extend((family, p, True) for p in _pieces(w, STEP // 2))
+
+    for family, texts in TEMPLATES.items():
+        for t in texts:
+            w = _bag(t)
+            add(family, w)
+            if len(w) <= 2 * PIECE and set(w) & telling[family] and family not in ("all-rights-reserved", "public-domain"):
+                for name in NAMES:
+                    add(UNKNOWN, [name.lower() if x in telling[family] else x for x in w])
+    for t in OTHERS:
+        add(UNKNOWN, _bag(t))
+    for k, t in enumerate(SENTENCES):
+        out.append((PROSE, _bag(t), k % 3 == 0))
+    return out
 
 
 def _similarity(w: Column, texts: list[str]) -> Column:
     """The largest share of a template's distinct words that w holds."""
-    bags = [sorted(set("".join(c.lower() if c.isalnum() else " " for c in t).split())) for t in texts]
-    # a template's words are at least two thirds of a paragraph that has room for it
-    shares = [F.size(F.array_intersect(w, F.array(*[F.lit(x) for x in b]))) / float(len(b)) for b in bags]
+    shares = [F.size(F.array_intersect(w, F.array(*[F.lit(x) for x in b]))) / float(len(b)) for b in (sorted(set(_bag(t))) for t in texts)]
     return reduce(F.greatest, shares) if len(shares) > 1 else shares[0]
 
 
@@ -99,62 +156,68 @@ class LicenceModel:
         self.tf, self.model, self.threshold = tf, model, threshold
 
     def probabilities(self, rows: DataFrame) -> DataFrame:
-        """rows with column w, and p: the classes' probabilities in the order of the families."""
+        """rows with column w, and p: the classes' probabilities in the order of _CLASSES."""
         hashed = self.tf.transform(rows.withColumn("grams", _features(F.col("w"))))
         return self.model.transform(hashed).withColumn("p", vector_to_array("probability")).drop("grams", "features", "rawPrediction", "probability", "prediction")
 
 
-def fit(docs: DataFrame, bound: int = SAMPLE) -> LicenceModel:
-    """Trains on the templates and on about `bound` paragraphs of docs at most; an empty docs leaves the templates."""
-    spark = docs.sparkSession
+def fit(spark: SparkSession) -> LicenceModel:
+    """Trains on the examples and calibrates on those set aside.
+
+    The threshold is the licence probability that errs least on the examples set aside, in the middle of the
+    gap between them where there is one.
+    """
     tf = HashingTF(numFeatures=BUCKETS, inputCol="grams", outputCol="features", binary=True)
-    notices = spark.createDataFrame(_templates(), "family string, t string").select("family", words(F.col("t")).alias("w"))
-    whole = notices.withColumn("skip", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)))
-    whole = whole.select("family", F.filter("w", lambda x, i: i != F.col("skip")).alias("w")).where(F.size("w") > 1)
-    n = docs.count()
-    # at about ten paragraphs a document: a hash samples documents, another one their paragraphs
-    uniform = lambda *key: F.pmod(F.xxhash64(*key), F.lit(1 << 20)) / float(1 << 20)
-    some = paragraphs(docs.where(uniform(F.lit("prose"), "doc_id") < min(1.0, bound / max(1, n))))
-    some = some.where(uniform(F.lit("line"), "doc_id", "paragraph") < min(1.0, 0.1 * bound / max(1, min(n, bound))))
-    every = [t for _, t in _templates()]
-    half = F.pmod(F.xxhash64("doc_id", "paragraph"), F.lit(2))
-    prose = some.where(_similarity(F.col("w"), every) < 0.5).select(F.lit(PROSE).alias("family"), "w", half.alias("half")).persist()
-    index = F.array_position(F.array(*[F.lit(x) for x in _FAMILIES]), F.col("family")) - 1
-    rows = whole.unionByName(prose.where("half = 0").drop("half")).withColumn("label", index.cast("double"))
-    # every class is seen, and prose among them even if docs hold none
-    rows = rows.unionByName(spark.createDataFrame([(PROSE, ["a", "word"], 0.0)], rows.schema))
-    learner = LogisticRegression(maxIter=30, regParam=1e-3, elasticNetParam=0.0, family="multinomial", standardization=False)
-    train = tf.transform(rows.withColumn("grams", _features(F.col("w")))).select("features", "label").repartition(4).persist()
+    rows = [(float(_CLASSES.index(c)), w, aside) for c, w, aside in examples()]
+    every = spark.createDataFrame(rows, "label double, w array<string>, aside boolean").coalesce(1)
+    learner = LogisticRegression(maxIter=60, regParam=1e-3, elasticNetParam=0.0, family="multinomial", standardization=False, weightCol="weight")
+    train = tf.transform(every.where("not aside").withColumn("grams", _features(F.col("w")))).select("features", "label", F.when(F.col("label") == 0, PROSE_WEIGHT).otherwise(1.0).alias("weight")).persist()
     model = LicenceModel(tf, learner.fit(train), 0.5)
-    held = model.probabilities(prose.where("half = 1")).agg(F.percentile_approx(1 - F.get("p", F.lit(0)), 1 - FALSE_RATE, 10000)).first()[0]
-    model.threshold = min(0.95, max(0.5, held or 0.0))
     train.unpersist()
-    prose.unpersist()
+    held = sorted((1 - r.p[0], r.label > 0) for r in model.probabilities(every.where("aside")).select("p", "label").collect())
+    marks = [0.0, *[p for p, _ in held], 1.0]
+    errors = lambda x: sum((p >= x) != y for p, y in held)
+    best = min(((errors((a + b) / 2), a - b, (a + b) / 2) for a, b in zip(marks, marks[1:])))
+    model.threshold = best[2]
     return model
 
 
 def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
-    """Licence paragraphs of docs: doc_id, paragraph (its line from 0), family, probability, similarity.
+    """Licence notices of docs: doc_id, text_key, paragraph (its first line from 0), lines, family, probability, similarity.
 
-    family is unknown where a template of the likeliest family is near, but none confirms it. Null and empty texts have
-    none; repeated rows repeat theirs; other columns are ignored.
+    A notice is a run of accepted lines of one likeliest class. family is unknown where no template of the likeliest
+    family confirms it. Null and empty texts have none; other columns are ignored; rows of one id and text, of which
+    text_key is a hash, are scanned as one.
     """
-    p = model.probabilities(paragraphs(docs)).where((1 - F.get("p", F.lit(0))) >= model.threshold)
-    best = F.array_max(F.slice("p", 2, len(_FAMILIES)))
-    at = F.array_position(F.slice("p", 2, len(_FAMILIES)), best).cast("int") - 1
-    named = p.select("doc_id", "paragraph", "w", (1 - F.get("p", F.lit(0))).alias("probability"), F.get(F.array(*[F.lit(x) for x in TEMPLATES]), at).alias("likeliest"))
-    named = named.withColumn("similarity", _confirmed(F.col("w"), F.col("likeliest")))
-    family = F.when(F.col("similarity") >= CONFIRM, F.col("likeliest")).otherwise(F.lit("unknown"))
-    return named.where(F.col("similarity") >= LEAST).select("doc_id", "paragraph", family.alias("family"), "probability", "similarity")
+    p = model.probabilities(paragraphs(docs)).where(F.get("p", F.lit(0)) <= 1 - model.threshold)
+    best = F.array_max(F.slice("p", 2, len(_CLASSES)))
+    likeliest = F.get(F.array(*[F.lit(x) for x in _CLASSES]), F.array_position(F.slice("p", 2, len(_CLASSES)), best).cast("int"))
+    lines = p.select("doc_id", "text_key", F.struct("paragraph", likeliest.alias("likeliest"), (1 - F.get("p", F.lit(0))).alias("probability"), "w").alias("line"))
+    held = lines.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    # a line starts a notice unless the line before it is of the same class
+    starts = F.filter("lines", lambda x, i: ~F.coalesce((F.get("lines", i - 1)["paragraph"] == x["paragraph"] - 1) & (F.get("lines", i - 1)["likeliest"] == x["likeliest"]), F.lit(False)))
+    runs = held.select("doc_id", "text_key", "lines", F.posexplode(starts).alias("at", "start"), F.transform(starts, lambda x: x["paragraph"]).alias("heads"))
+    until = F.coalesce(F.get("heads", F.col("at") + 1), F.lit(2147483647))
+    own = F.filter("lines", lambda x: (x["paragraph"] >= F.col("start")["paragraph"]) & (x["paragraph"] < until))
+    notices = runs.select("doc_id", "text_key", F.col("start.paragraph").alias("paragraph"), F.col("start.likeliest").alias("likeliest"), own.alias("own"))
+    notices = notices.select(
+        "doc_id", "text_key", "paragraph", "likeliest", F.size("own").alias("lines"), F.array_max(F.transform("own", lambda x: x["probability"])).alias("probability"),
+        F.flatten(F.transform("own", lambda x: x["w"])).alias("w"),
+    ).withColumn("similarity", _confirmed(F.col("w"), F.col("likeliest")))
+    family = F.when(F.col("similarity") >= CONFIRM, F.col("likeliest")).otherwise(F.lit(UNKNOWN))
+    return notices.select("doc_id", "text_key", "paragraph", "lines", family.alias("family"), "probability", "similarity")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per doc_id of docs: n_paragraphs (with licences), n_unknown, families (sorted, comma-joined, without unknown)."""
-    found = scan(docs, fit(docs)).groupBy(F.col("doc_id").alias("_d")).agg(
-        F.count("*").alias("n_paragraphs"), F.sum((F.col("family") == "unknown").cast("long")).alias("n_unknown"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("family") != "unknown", F.col("family")))), ",").alias("families"),
+    """Per row of docs: doc_id, n_paragraphs (notices), n_unknown, families (sorted, comma-joined, without unknown).
+
+    Repeated rows repeat their result, a null id keeps its text's; no rows give no rows.
+    """
+    found = scan(docs, fit(docs.sparkSession)).groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).agg(
+        F.count("*").alias("n_paragraphs"), F.sum((F.col("family") == UNKNOWN).cast("long")).alias("n_unknown"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("family") != UNKNOWN, F.col("family")))), ",").alias("families"),
     )
-    ids = docs.select("doc_id")
-    out = ids.join(found, ids["doc_id"].eqNullSafe(F.col("_d")), "left")
+    ids = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_key"))
+    out = ids.join(found, ids["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")), "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", F.coalesce("n_paragraphs", zero).alias("n_paragraphs"), F.coalesce("n_unknown", zero).alias("n_unknown"), F.coalesce("families", F.lit("")).alias("families"))
