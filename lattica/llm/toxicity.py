@@ -1,15 +1,17 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Each word enters as a few numbers: how much more often toxic training documents hold the word itself, and
-its most telling character n-grams, than clean ones do (z-scores). The network reads windows of WINDOW
-words that overlap by half the rest; attention pools its states into a logit. A document's score is a
-logistic function of its windows' logits, all windows of the whole text counting.
+A word enters as two trained embeddings: its own, if the training texts hold it often enough, and the mean of its
+character n-grams'. The network reads windows of WINDOW words that overlap by the rest of STRIDE; attention pools
+the states of a window, and a logit tells how toxic it is. A text is clean if all its windows are, so its score is
+1 - prod(1 - sigmoid(logit)) over all windows of the whole text, in training as in scoring: a toxic document's
+label goes to its windows in proportion to what they say. All parameters are learned together from the documents'
+labels; every word is projected once, so scoring works on rows of a table.
 """
 
 from __future__ import annotations
 
-import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -21,7 +23,13 @@ from lattica.llm.quality import sampled, scorer
 #: Documented bound of the labelled sample that the network is trained on.
 SAMPLE = 6_000
 WINDOW, STRIDE, HIDDEN = 48, 36, 8
-INPUTS = 4
+#: Sizes of a word's own embedding and of its characters'; buckets of character n-grams.
+WORD_DIM, CHAR_DIM, BUCKETS = 8, 8, 1 << 13
+INPUTS = WORD_DIM + CHAR_DIM
+#: Training documents that must hold a word that gets an embedding of its own; the share of words read without theirs.
+MIN_DOCS, DROP = 3, 0.5
+#: Steps of the training, and windows of a step, whatever the sample's size.
+STEPS, BATCH_WINDOWS, RATE, DECAY = 600, 384, 0.01, 0.1
 _WORD = re.compile(r"[^\W_]+")
 _BATCH, _CACHE = 2048, 300_000
 
@@ -30,69 +38,11 @@ def _words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _grams(word: str) -> list[str]:
-    """Marked beginnings and endings, and the runs of five characters inside."""
-    n = len(word)
-    return [f"<{word[:k]}" for k in range(3, min(n, 9))] + [f"{word[-k:]}>" for k in range(3, min(n, 7))] + [word[k : k + 5] for k in range(1, n - 5)]
-
-
-class Inputs:
-    """Words as rows of numbers."""
-
-    def __init__(self, words: dict[str, float], grams: dict[str, float]):
-        self.words, self.grams = words, grams
-        self.forget()
-
-    def forget(self):
-        self.row, self.rows = {}, []
-
-    def __getstate__(self):
-        return {"words": self.words, "grams": self.grams}
-
-    def __setstate__(self, state):
-        self.__init__(**state)
-
-    @classmethod
-    def learn(cls, texts: list[list[str]], y: np.ndarray) -> Inputs:
-        pos, neg = Counter(), Counter()
-        for words, label in zip(texts, y):
-            (pos if label else neg).update(set(words))
-        p, n = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-        gp, gn = Counter(), Counter()
-        for w in pos.keys() | neg.keys():
-            a, b = pos[w], neg[w]
-            for g in set(_grams(w)):
-                if a:
-                    gp[g] += a
-                if b:
-                    gn[g] += b
-
-        def table(up: Counter, down: Counter, least: int) -> dict[str, float]:
-            out = {}
-            for k, a in up.items():
-                b = down[k]
-                if a >= least:
-                    rate = (a + b) / (p + n)
-                    z = (a / p - b / n) / math.sqrt(max(rate, 1e-9) * (1 / p + 1 / n))
-                    if z > 3:
-                        out[k] = min(z, 40.0) / 10
-            return out
-
-        return cls(table(pos, neg, 2), table(gp, gn, 4))
-
-    def ids(self, words: list[str]) -> list[int]:
-        row, out = self.row, []
-        for w in words:
-            k = row.get(w)
-            if k is None:
-                best = sorted((self.grams.get(g, 0.0) for g in _grams(w)), reverse=True)[:3] + [0.0, 0.0, 0.0]
-                k = row[w] = len(self.rows)
-                self.rows.append((self.words.get(w, 0.0), best[0], best[2], min(len(w), 20) / 20))
-            out.append(k)
-        return out
-
-    def matrix(self) -> np.ndarray:
-        return np.array(self.rows, np.float32).reshape(-1, INPUTS)
+def _grams(word: str) -> list[int]:
+    """Buckets of the runs of three to five characters of the marked word, and of the whole."""
+    w = f"<{word}>"
+    found = {w} | {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)}
+    return sorted(zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in found)
 
 
 def windows(n: int) -> list[tuple[int, int]]:
@@ -107,27 +57,85 @@ def _sigmoid(x):
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _softplus(x):
+    return np.logaddexp(0, x)
+
+
+def _summed(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Rows of x added up by their number."""
+    return np.stack([np.bincount(at, weights=c, minlength=n) for c in x.T], axis=1).astype(np.float32)
+
+
 class Network:
-    """Two gated recurrent layers, one in each direction; attention over their states; a logit."""
+    """Two gated recurrent layers, one in each direction; attention over their states; a logit a window."""
 
-    def __init__(self, seed: int = 3):
+    def __init__(self, vocabulary: dict[str, int], seed: int = 3):
         r = np.random.default_rng(seed)
         h = HIDDEN
-        self.p = {
+        self.vocabulary = vocabulary  # words from 1; row 0 is for all others
+        p = {
+            "word": r.normal(0, 0.1, (len(vocabulary) + 1, WORD_DIM)), "char": r.normal(0, 0.3, (BUCKETS, CHAR_DIM)),
             "W": r.normal(0, 0.4, (2, INPUTS, 3 * h)), "U": r.normal(0, 0.3, (2, h, 3 * h)), "b": np.zeros((2, 1, 3 * h)),
-            "a": r.normal(0, 0.3, 2 * h), "o": r.normal(0, 0.3, 2 * h), "c": np.zeros(1),
+            "a": r.normal(0, 0.3, 2 * h), "o": r.normal(0, 0.3, 2 * h), "c": np.full(1, -4.0),
         }
-        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        p["word"][0] = 0
+        self.p = {k: v.astype(np.float32) for k, v in p.items()}
+        self.forget()
+
+    # words as rows of a table
+
+    def forget(self):
+        self.row: dict[str, int] = {}
+        self.known: list[int] = []
+        self.grams: list[list[int]] = []
+        self.table = np.zeros((2, 0, 3 * HIDDEN), np.float32)
+
+    def __getstate__(self):
+        return {"vocabulary": self.vocabulary, "p": self.p}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.forget()
 
-    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """Logits of windows x (batch, time, inputs); mask marks the words."""
+    def ids(self, words: list[str]) -> np.ndarray:
+        """Rows of words; new words get new ones."""
+        row, out = self.row, []
+        for w in words:
+            k = row.get(w)
+            if k is None:
+                k = row[w] = len(self.known)
+                self.known.append(self.vocabulary.get(w, 0))
+                self.grams.append(_grams(w))
+            out.append(k)
+        return np.array(out, np.int64)
+
+    def inputs(self, rows: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(inputs of rows, whose own embeddings are `own`; their n-grams, and the rows these belong to)."""
+        grams = [self.grams[k] for k in rows.tolist()]
+        sizes = np.array([len(g) for g in grams], np.int64)
+        flat = np.concatenate([np.array(g, np.int64) for g in grams]) if grams else np.zeros(0, np.int64)
+        at = np.repeat(np.arange(len(rows)), sizes)
+        mean = np.add.reduceat(self.p["char"][flat], np.concatenate([[0], np.cumsum(sizes)[:-1]])) / sizes[:, None] if len(rows) else np.zeros((0, CHAR_DIM), np.float32)
+        return np.concatenate([self.p["word"][own], mean], axis=1).astype(np.float32), flat, at
+
+    def projected(self) -> np.ndarray:
+        """The projections of all rows so far; those of new rows are computed."""
+        done = self.table.shape[1]
+        if done < len(self.known):
+            rows = np.arange(done, len(self.known))
+            x, _, _ = self.inputs(rows, np.array(self.known[done:], np.int64))
+            self.table = np.concatenate([self.table, x @ self.p["W"] + self.p["b"]], axis=1)
+        return self.table
+
+    # the network over projected words
+
+    def forward(self, g: np.ndarray, mask: np.ndarray, keep: bool = False):
+        """Logits of windows; g is (time, direction, batch, gates), mask (batch, time) marks the words."""
         p, h = self.p, HIDDEN
-        n, t, _ = x.shape
-        both = np.stack([x, x[:, ::-1]]).reshape(2, n * t, -1)
-        g = (both @ p["W"] + p["b"]).reshape(2, n, t, 3 * h).transpose(2, 0, 1, 3)
+        t, _, n, _ = g.shape
         m = np.stack([mask, mask[:, ::-1]])[..., None]
-        s = np.zeros((2, n, h), np.float32)
-        states = np.empty((t, 2, n, h), np.float32)
+        s = np.zeros((2, n, h), g.dtype)
+        states = np.empty((t, 2, n, h), g.dtype)
         kept = []
         for k in range(t):
             u = s @ p["U"]
@@ -146,13 +154,22 @@ class Network:
         a /= a.sum(0)
         pooled = np.einsum("tn,tnh->nh", a, full)
         logit = pooled @ p["o"] + p["c"][0]
-        return (logit, (both, m, kept, full, a, pooled)) if keep else logit
+        return (logit, (m, kept, full, a, pooled)) if keep else logit
+
+    def _projected(self, x: np.ndarray) -> np.ndarray:
+        n, t, _ = x.shape
+        both = np.stack([x, x[:, ::-1]]).reshape(2, n * t, -1)
+        return (both @ self.p["W"] + self.p["b"]).reshape(2, n, t, -1).transpose(2, 0, 1, 3), both
 
-    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray):
+    def gradients(self, x: np.ndarray, mask: np.ndarray, doc: np.ndarray, y: np.ndarray):
+        """(gradients of the parameters, of x) of the documents' mean loss; doc numbers the windows' documents."""
         p, h = self.p, HIDDEN
-        logit, (both, m, kept, full, a, pooled) = self.forward(x, mask, keep=True)
         n, t, _ = x.shape
-        d = ((_sigmoid(logit) - y) * weight / n).astype(np.float32)
+        g, both = self._projected(x)
+        logit, (m, kept, full, a, pooled) = self.forward(g, mask, keep=True)
+        s = np.bincount(doc, weights=_softplus(logit), minlength=len(y))
+        pull = np.where(y > 0, -1 / np.maximum(np.expm1(s), 1e-6), 1.0)
+        d = (pull[doc] * _sigmoid(logit) / len(y)).astype(x.dtype)
         out = {"o": pooled.T @ d, "c": np.array([d.sum()])}
         dp = d[:, None] * p["o"]
         da = np.einsum("nh,tnh->tn", dp, full)
@@ -160,159 +177,141 @@ class Network:
         out["a"] = np.einsum("tn,tnh->h", de, full)
         dfull = a[..., None] * dp[None] + de[..., None] * p["a"]
         ds = np.stack([dfull[:, :, :h], dfull[::-1, :, h:]], axis=1)
-        dg = np.empty((2, n, t, 3 * h), np.float32)
+        dg = np.empty((2, n, t, 3 * h), x.dtype)
         du_w = np.zeros_like(p["U"])
-        nxt = np.zeros((2, n, h), np.float32)
+        nxt = np.zeros((2, n, h), x.dtype)
         for k in range(t - 1, -1, -1):
-            s, z, r, un, cand = kept[k]
+            s0, z, r, un, cand = kept[k]
             dn = (ds[k] + nxt) * m[:, :, k]
             dc = dn * (1 - z) * (1 - cand**2)
-            dz = dn * (s - cand) * z * (1 - z)
+            dz = dn * (s0 - cand) * z * (1 - z)
             dr = dc * un * r * (1 - r)
             dg[:, :, k] = np.concatenate([dz, dr, dc], axis=2)
             du = np.concatenate([dz, dr, dc * r], axis=2)
-            du_w += s.transpose(0, 2, 1) @ du
+            du_w += s0.transpose(0, 2, 1) @ du
             nxt = dn * z + du @ p["U"].transpose(0, 2, 1)
         out["U"] = du_w
         flat = dg.reshape(2, n * t, 3 * h)
         out["W"] = both.transpose(0, 2, 1) @ flat
         out["b"] = flat.sum(1, keepdims=True)
-        return out
+        dx = (flat @ p["W"].transpose(0, 2, 1)).reshape(2, n, t, -1)
+        return out, dx[0] + dx[1][:, ::-1]
+
+    def loss(self, x: np.ndarray, mask: np.ndarray, doc: np.ndarray, y: np.ndarray) -> float:
+        s = np.bincount(doc, weights=_softplus(self.forward(self._projected(x)[0], mask)), minlength=len(y))
+        return float(np.where(y > 0, -np.log(-np.expm1(-s)), s).mean())
 
-    def train(self, x, mask, y, weight, epochs: int = 6, batch: int = 256, rate: float = 0.01, seed: int = 5):
+    def train(self, ids: list[np.ndarray], y: np.ndarray, seed: int = 5):
+        """Adam steps over groups of whole documents, given as rows of words."""
         r = np.random.default_rng(seed)
         m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
         m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step = 0
-        for _ in range(epochs):
-            order = r.permutation(len(x))
-            for lo in range(0, len(order), batch):
-                i = order[lo : lo + batch]
+        known = np.array(self.known, np.int64)
+        step, counts = 0, np.array([len(windows(len(i))) for i in ids])
+        while step < STEPS:
+            order = r.permutation(len(ids))
+            group = np.cumsum(counts[order]) // BATCH_WINDOWS
+            for part in np.split(order, np.nonzero(np.diff(group))[0] + 1):
                 step += 1
-                for k, g in self.gradients(x[i], mask[i], y[i], weight[i]).items():
+                grads = self._step(ids, part, y, known, r)
+                rate = RATE * max(0.05, 1 - step / STEPS)
+                for k, g in grads.items():
                     m1[k] = 0.9 * m1[k] + 0.1 * g
                     m2[k] = 0.99 * m2[k] + 0.01 * g * g
-                    self.p[k] = (self.p[k] - rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-
-
-def _summary(logits: np.ndarray) -> list[float]:
-    """What a document's score sees of its windows."""
-    top = np.sort(logits)[::-1]
-    q = _sigmoid(logits)
-    return [float(top[0]), float(top[1]) if len(top) > 1 else -4.0, float(np.log1p(q.sum())), float(np.log1p(len(top)))]
+                    move = (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-7)
+                    self.p[k] = (self.p[k] * (1 - (rate * DECAY if k in ("word", "char") else 0)) - rate * move).astype(np.float32)
+                self.p["word"][0] = 0
+
+    def _step(self, ids, part, y, known, r) -> dict[str, np.ndarray]:
+        flat, mask, doc = _batched([ids[k] for k in part])
+        rows, at = np.unique(flat, return_inverse=True)
+        own = np.where(r.random(len(rows)) < DROP, 0, known[rows])
+        x, grams, of = self.inputs(rows, own)
+        grads = {k: np.zeros_like(v) for k, v in self.p.items()}
+        total = {k: grads[k] for k in ("word", "char")}
+        at = at.reshape(flat.shape)
+        got, dx = self.gradients(x[at], mask, doc, y[part])
+        grads.update(got)
+        dx = _summed((dx * mask[..., None]).reshape(-1, INPUTS), at.ravel(), len(rows))
+        total["word"] += _summed(dx[:, :WORD_DIM], own, len(self.p["word"]))
+        sizes = np.bincount(of, minlength=len(rows))[:, None]
+        total["char"] += _summed((dx[:, WORD_DIM:] / sizes)[of], grams, BUCKETS)
+        return grads
+
+
+def _batched(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of words, mask, document) of all windows of some documents."""
+    spans = [(k, lo, hi) for k, i in enumerate(ids) for lo, hi in windows(len(i))]
+    flat, mask = np.zeros((len(spans), WINDOW), np.int64), np.zeros((len(spans), WINDOW), np.float32)
+    for r, (k, lo, hi) in enumerate(spans):
+        flat[r, : hi - lo] = ids[k][lo:hi]
+        mask[r, : hi - lo] = 1
+    return flat, mask, np.array([k for k, _, _ in spans], np.int64)
 
 
 class ToxicityModel:
     """Scores in [0, 1]; higher means that label 1 is likelier."""
 
-    def __init__(self, inputs: Inputs | None, net: Network | None, mean, scale, weights, prior: float):
-        self.inputs, self.net, self.mean, self.scale, self.weights, self.prior = inputs, net, mean, scale, weights, prior
-
-    def logits(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Per text, its windows' logits."""
-        spans, out = [], []
-        if len(self.inputs.rows) > _CACHE:
-            self.inputs.forget()
-        ids = [np.array(self.inputs.ids(w), np.int64) for w in texts]
-        x = np.concatenate([self.inputs.matrix(), np.zeros((1, INPUTS), np.float32)])
-        flat = np.concatenate([*ids, np.full(WINDOW, len(x) - 1)]) if ids else np.zeros(0, np.int64)
-        at = 0
-        for w in texts:
-            spans += [(at + lo, hi - lo) for lo, hi in windows(len(w))]
-            at += len(w)
-        spans = np.array(spans, np.int64).reshape(-1, 2)
-        steps = np.arange(WINDOW)
+    def __init__(self, net: Network | None, prior: float):
+        self.net, self.prior = net, prior
+
+    def _group(self, texts: list[list[str]]) -> np.ndarray:
+        net = self.net
+        if len(net.known) > _CACHE:
+            net.forget()
+        ids = [net.ids(w) for w in texts]
+        table = net.projected()
+        pad = table.shape[1]
+        table = np.concatenate([table, np.zeros((2, 1, table.shape[2]), np.float32)], axis=1)
+        flat = np.concatenate([*ids, np.full(WINDOW, pad)])
+        heads = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
+        spans = np.array([(heads[k] + lo, hi - lo, k) for k, i in enumerate(ids) for lo, hi in windows(len(i))], np.int64)
+        steps, total = np.arange(WINDOW), np.zeros(len(ids))
         for lo in range(0, len(spans), _BATCH):
             part = spans[lo : lo + _BATCH]
-            mask = steps[None] < part[:, 1:]
-            idx = np.where(mask, flat[part[:, :1] + steps], len(x) - 1)
             width = max(1, int(part[:, 1].max()))
-            out.append(self.net.forward(x[idx[:, :width]], mask[:, :width].astype(np.float32)))
-        every = np.concatenate(out) if out else np.zeros(0, np.float32)
-        return np.split(every, np.cumsum([len(windows(len(w))) for w in texts])[:-1]) if texts else []
+            mask = steps[None, :width] < part[:, 1:2]
+            idx = np.where(mask, flat[part[:, :1] + steps[:width]], pad)
+            g = np.stack([table[0][idx], table[1][idx[:, ::-1]]]).transpose(2, 0, 1, 3)
+            total += np.bincount(part[:, 2], weights=_softplus(net.forward(g, mask.astype(np.float32)).astype(float)), minlength=len(ids))
+        return -np.expm1(-total)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        if self.net is None:
+        if self.net is None or not texts:
             return np.full(len(texts), self.prior)
-        got = []
-        group, size = [], 0
+        got, group, size = [], [], 0
         for t in texts:
             group.append(_words(t))
             size += len(group[-1])
             if size > 200_000:
-                got += [_summary(x) for x in self.logits(group)]
+                got.append(self._group(group))
                 group, size = [], 0
         if group:
-            got += [_summary(x) for x in self.logits(group)]
-        if not got:
-            return np.zeros(0)
-        f = (np.array(got) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(np.concatenate([f, np.ones((len(f), 1))], axis=1) @ self.weights, -40, 40)))
-
-
-def _logistic(f: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge-penalised logistic regression by Newton steps; the last column of f is the constant."""
-    w = np.zeros(f.shape[1])
-    for _ in range(30):
-        q = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
-        grad = f.T @ (q - y) + 0.5 * np.r_[w[:-1], 0]
-        hess = (f * (q * (1 - q))[:, None]).T @ f + 0.5 * np.eye(len(w))
-        w -= np.linalg.solve(hess, grad)
-    return w
+            got.append(self._group(group))
+        return np.concatenate(got)
 
 
-def train(texts: list[str | None], y: np.ndarray, part: np.ndarray) -> ToxicityModel:
-    """Words' numbers come from parts 1 to 3 of the sample, the network learns from the rest of it as well.
-
-    The network's windows are those of part 0, whose words the numbers have not seen, so that it learns
-    how much they are worth; a toxic document lends its label to its most telling windows only.
-    """
+def train(texts: list[str | None], y: np.ndarray) -> ToxicityModel:
+    """The network learned from whole texts; one class alone, or none, gives that class's share as every score."""
     if len(y) == 0 or y.min() == y.max():
-        return ToxicityModel(None, None, None, None, None, float(y.mean()) if len(y) else 0.0)
+        return ToxicityModel(None, float(y.mean()) if len(y) else 0.0)
     words = [_words(t) for t in texts]
-    fresh = part == 0
-    if not fresh.any() or y[fresh].min() == y[fresh].max() or not y[~fresh].any():
-        fresh = np.arange(len(y)) % 2 == 0
-    rest = ~fresh
-    inputs = Inputs.learn([w for w, f in zip(words, rest) if f], y[rest])
-    model = ToxicityModel(inputs, Network(), None, None, None, 0.5)
-    net_rows = np.nonzero(fresh)[0]
-    ids = {int(k): np.array(inputs.ids(words[k]), np.int64) for k in net_rows}
-    x = np.concatenate([inputs.matrix(), np.zeros((1, INPUTS), np.float32)])
-    pad = len(x) - 1
-    picked, labels = [], []
-    for k in net_rows:
-        spans = windows(len(words[k]))
-        if len(spans) > 16:  # windows with the most telling words, and some others
-            strength = [x[ids[int(k)][lo:hi], :3].sum() for lo, hi in spans]
-            order = np.argsort(strength)[::-1]
-            spans = [spans[j] for j in [*order[:8], *order[8 :: max(1, len(order) // 8)]]]
-        strength = np.array([x[ids[int(k)][lo:hi], :3].sum() if hi > lo else 0.0 for lo, hi in spans])
-        for j, (lo, hi) in enumerate(spans):
-            if y[k] and strength[j] < max(0.5 * strength.max(), 1e-6):
-                continue
-            picked.append(np.pad(ids[int(k)][lo:hi], (0, WINDOW - (hi - lo)), constant_values=pad))
-            labels.append(y[k])
-    idx, lab = np.array(picked), np.array(labels, np.float32)
-    mask = (idx != pad).astype(np.float32)
-    ones = max(1.0, lab.sum())
-    weight = np.where(lab > 0, min(8.0, (len(lab) - ones) / ones), 1.0).astype(np.float32)
-    model.net.train(x[idx], mask, lab, weight)
-    feats = np.array([_summary(z) for z in model.logits([words[k] for k in net_rows])])
-    model.mean, model.scale = feats.mean(0), feats.std(0) + 1e-6
-    f = np.concatenate([(feats - model.mean) / model.scale, np.ones((len(feats), 1))], axis=1)
-    model.weights = _logistic(f, y[net_rows].astype(float))
-    inputs.forget()
-    return model
+    held = Counter(w for ws in words for w in set(ws))
+    net = Network({w: k + 1 for k, w in enumerate(sorted(w for w, n in held.items() if n >= MIN_DOCS))})
+    net.ids([""])  # padding
+    net.train([net.ids(w) for w in words], np.asarray(y))
+    net.forget()
+    return ToxicityModel(net, float(np.mean(y)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> ToxicityModel:
     """Trains on a bounded sample of labels(doc_id, toxic) of docs(doc_id, text).
 
-    Without labelled rows, or with one class alone, every score is that class's share (0 without rows).
+    Without labelled rows, or with one class alone, every score is that class's share (0 without rows). Labels of
+    one id that differ count as their majority, ties as 1.
     """
-    rows = sampled(docs, labels, "toxic", bound).orderBy("part", F.xxhash64("text")).collect()
-    return train([r.text for r in rows], np.array([r.y for r in rows], np.int64), np.array([r.part for r in rows], np.int64))
+    rows = sampled(docs, labels, "toxic", bound).orderBy(F.xxhash64("text"), "y").collect()
+    return train([r.text for r in rows], np.array([r.y for r in rows], np.int64))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
