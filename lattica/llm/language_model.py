@@ -71,6 +71,26 @@ def _pairs(left: np.ndarray, right: np.ndarray, width: int) -> tuple[np.ndarray,
     return code // width, code % width, at
 
 
+def numbered(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+    """(distinct words, numbered from 2; the texts as one stream of numbers)."""
+    number: dict[bytes, int] = {}
+    stream: list[int] = []
+    for t in texts:
+        stream.append(_START)
+        stream.extend([number.setdefault(w, len(number) + 2) for w in tokens(t)])
+        stream.append(_END)
+    return list(number), np.array(stream, np.int64)
+
+
+def packed(words: list[bytes], stream: np.ndarray) -> bytes:
+    """A stream in few bytes: frequent words get small numbers."""
+    order = np.argsort(-np.bincount(stream, minlength=len(words) + 2)[2:], kind="stable")
+    rank = np.arange(len(words) + 2)
+    rank[order + 2] = np.arange(2, len(rank))
+    names = zstandard.compress(b"\n".join(words[k] for k in order), 3)
+    return len(names).to_bytes(4, "little") + names + _squeeze(rank[stream].astype(np.int32))
+
+
 class Stream:
     """Some texts as one stream of word numbers, each text between a start and an end."""
 
@@ -89,13 +109,7 @@ class Stream:
 
     @classmethod
     def of(cls, texts: list[str | None], train: np.ndarray) -> Stream:
-        number: dict[bytes, int] = {}
-        stream: list[int] = []
-        for t in texts:
-            stream.append(_START)
-            stream.extend([number.setdefault(w, len(number) + 2) for w in tokens(t)])
-            stream.append(_END)
-        return cls(list(number), np.array(stream, np.int64), train)
+        return cls(*numbered(texts), train)
 
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.word[self.counted], minlength=self.size)
@@ -111,14 +125,6 @@ class Stream:
         three = _mix(two[self.before], _mix(own[self.third], np.uint64(3)))
         return np.concatenate([two, three]) >> np.uint64(64 - bits)
 
-    def packed(self) -> bytes:
-        order = np.argsort(-np.bincount(self.stream, minlength=self.size)[2:], kind="stable")  # frequent words get small numbers
-        rank = np.empty(self.size, np.int64)
-        rank[:2] = (0, 1)
-        rank[order + 2] = np.arange(2, self.size)
-        words = zstandard.compress(b"\n".join(self.words[k] for k in order), 3)
-        return len(words).to_bytes(4, "little") + words + _squeeze(rank[self.stream].astype(np.int32))
-
     @classmethod
     def unpacked(cls, raw: bytes, train: np.ndarray) -> Stream:
         n = int.from_bytes(raw[:4], "little")
@@ -135,9 +141,9 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids, held, texts, size = [], [], [], 0
 
     def flush():
-        s = Stream.of(texts, ~np.array(held, bool))
+        words, stream = numbered(texts)
         return pa.RecordBatch.from_arrays(
-            [pa.array([pack], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([len(s.word)], pa.int64()), pa.array([s.packed()], pa.binary())],
+            [pa.array([pack], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([len(stream) - len(ids)], pa.int64()), pa.array([packed(words, stream)], pa.binary())],
             names=["pack", "ids", "held", "tokens", "stream"],
         )
 

@@ -185,20 +185,36 @@ def test_quality_and_toxicity(spark):
 
 def test_gradients():
     r = np.random.default_rng(0)
-    net = toxicity.Network()
+    net = toxicity.Network({"a": 1})
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x, mask, y = r.normal(size=(3, 5, toxicity.INPUTS)), np.array([[1, 1, 1, 1, 1], [1, 1, 1, 0, 0], [1, 1, 0, 0, 0]], float), np.array([1.0, 0, 1])
-    loss = lambda: np.mean(np.logaddexp(0, net.forward(x, mask)) - y * net.forward(x, mask))
-    grads = net.gradients(x, mask, y, np.ones(3))
-    for k, v in net.p.items():
+    net.p["c"][:] = -0.5
+    x = r.normal(size=(4, 5, toxicity.INPUTS))
+    mask, doc, y = np.array([[1, 1, 1, 1, 1], [1, 1, 1, 0, 0], [1, 1, 0, 0, 0], [0, 0, 0, 0, 0]], float), np.array([0, 0, 1, 2]), np.array([1, 0, 0])
+    grads, dx = net.gradients(x, mask, doc, y)
+    for k, v, g in [*((k, v, grads[k]) for k, v in net.p.items() if k in grads), ("x", x, dx)]:
         flat = v.reshape(-1)
-        j = int(r.integers(len(flat)))
-        flat[j] += 1e-3
-        up = loss()
-        flat[j] -= 2e-3
-        down = loss()
-        flat[j] += 1e-3
-        assert abs((up - down) / 2e-3 - grads[k].reshape(-1)[j]) < 2e-4, k
+        j = int(r.integers(min(len(flat), 10)))
+        flat[j] += 1e-4
+        up = net.loss(x, mask, doc, y)
+        flat[j] -= 2e-4
+        down = net.loss(x, mask, doc, y)
+        flat[j] += 1e-4
+        assert abs((up - down) / 2e-4 - g.reshape(-1)[j]) < 1e-5, k
+
+
+def test_toxicity_scores_as_it_trains():
+    """A text's score from the table of projected words is that of the network over all its windows."""
+    r = np.random.default_rng(1)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(words[k] for k in r.integers(0, 40, n)) for n in (0, 3, 48, 49, 200)]
+    net = toxicity.Network({w: k + 1 for k, w in enumerate(words[:30])})
+    net.p["c"][:] = -1
+    got = toxicity.ToxicityModel(net, 0.5).score(texts)
+    net.forget()
+    flat, mask, doc = toxicity._batched([net.ids(toxicity._words(t)) for t in texts])
+    x, _, _ = net.inputs(np.arange(len(net.known)), np.array(net.known))
+    logits = net.forward(net._projected(x[flat])[0], mask)
+    assert np.allclose(got, 1 - np.exp(-np.bincount(doc, weights=np.logaddexp(0, logits))), atol=1e-5)
 
 
 def test_windows_cover_all():
@@ -300,13 +316,33 @@ def test_surt(spark):
 
 
 def test_licenses(spark):
-    texts = [*TEXTS, (60, PROSE + "\nReleased under the MIT License.\n" + PROSE), (61, "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0"), (62, "Licensed under CC BY-NC 4.0.\r\nAll rights reserved.")]
-    got = {r.doc_id: r for r in licenses.report(documents(spark, texts)).collect()}
-    assert got[60].families == "mit" and got[61].families == "apache-2.0" and got[62].families == "all-rights-reserved,cc-by-nc"
-    assert all(got[i].n_paragraphs == 0 for i, _ in TEXTS)
+    wrapped = "Permission is hereby granted, free of charge, to\nany person obtaining a copy of this software and\nassociated documentation files"
+    texts = [
+        *TEXTS, (60, PROSE + "\nReleased under the MIT License.\n" + PROSE), (61, "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0"), (62, "Licensed under CC BY-NC 4.0.\r\nAll rights reserved."),
+        (63, PROSE + "\n" + wrapped + "\n" + PROSE), (64, "This program is licensed under the Zebra Public License, version 5."), (64, "Licensed under CC BY 4.0."), (65, "All rights reserved.\n" + PROSE + "\nAll rights reserved."),
+        (66, PROSE + " Released under the MIT License. " + PROSE), (None, "All rights reserved."), (67, PROSE * 3000 + "\nAll rights reserved."), (68, "The license plate of her car was blue.\nThe public house was reserved for the party."),
+    ]
+    rows = [*texts, texts[12]]
+    got = licenses.report(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by = {(r.doc_id, r.n_paragraphs, r.n_unknown, r.families) for r in got}
+    assert {(60, 1, 0, "mit"), (61, 1, 0, "apache-2.0"), (62, 2, 0, "all-rights-reserved,cc-by-nc"), (63, 1, 0, "mit"), (64, 1, 1, ""), (64, 1, 0, "cc-by"), (65, 2, 0, "all-rights-reserved"), (67, 1, 0, "all-rights-reserved"), (68, 0, 0, "")} <= by
+    assert (None, 1, 0, "all-rights-reserved") in by
+    assert all((i, 0, 0, "") in by for i, _ in TEXTS)
     assert licenses.report(empty(spark)).count() == 0
 
 
+def test_licence_families_and_others(spark):
+    """Every template gets its family; the same notices under other names are licences of no family; prose is none."""
+    model = licenses.fit(spark)
+    notices = [(k, f, t) for k, (f, t) in enumerate((f, t) for f, texts in licenses.TEMPLATES.items() for t in texts)]
+    docs = spark.createDataFrame([(k, t) for k, _, t in notices], "doc_id long, text string")
+    assert {(r.doc_id, r.family) for r in licenses.scan(docs, model).collect()} == {(k, f) for k, f, _ in notices}
+    other = ["Released under the Quagga License.", "This work is licensed under the Northern Lights Licence, version 4.", "Licensed under the terms of the Pebble Software License.", "Distributed under the Ocelot Public License."]
+    docs = spark.createDataFrame(list(enumerate([*other, *[PROSE] * 3, "He was granted free passage by the captain of the ship."])), "doc_id long, text string")
+    assert {(r.doc_id, r.family) for r in licenses.scan(docs, model).collect()} == {(k, "unknown") for k in range(len(other))}
+
+
 def test_simhash_refined_posting():
     """Six equal bytes: groups within two bits, small and larger than the number of neighbours looked up."""
     from tests_support import roots
