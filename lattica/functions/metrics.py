@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.errors import GraphError
+from lattica.errors import GraphError, NodeNotFound
+from lattica.plans.lineage import numbered
 
 
 def top(m: DataFrame, k: int = 10) -> DataFrame:
@@ -34,12 +35,45 @@ def argmin(m: DataFrame):
 
 
 def rank(m: DataFrame, descending: bool = True) -> DataFrame:
-    """Dense ranks from 1. The distinct values, fewer than the rows, are ranked alone and joined back."""
+    """Dense ranks from 1: the distinct values' places, joined back."""
     order = F.desc("value") if descending else F.asc("value")
-    ranks = m.select("value").distinct().withColumn("rank", F.dense_rank().over(Window.orderBy(order)).cast("long"))
+    ranks = numbered(m.select("value").distinct(), order).select("value", (F.col("position") + 1).alias("rank"))
     return m.join(ranks, "value").select("id", "ord", "value", "rank")
 
 
+def mapped(m: DataFrame, f) -> DataFrame:
+    """The metric with f(value), a column function, as its values."""
+    return m.withColumn("value", f(F.col("value")))
+
+
+def filtered(m: DataFrame, keep) -> DataFrame:
+    """The nodes for whose value keep(value), a column function, holds."""
+    return m.where(keep(F.col("value")))
+
+
+def to_pandas(m: DataFrame):
+    """A pandas series of the values by id, in graph order."""
+    pdf = m.orderBy("ord").select("id", "value").toPandas()
+    return pdf.set_index("id")["value"]
+
+
+def as_nodemap(g, values, name: str = "value") -> DataFrame:
+    """(id, ord, value) over all nodes: of a metric, a dict, one number for all, or a node column's name; others are null."""
+    base = g.nodes.select("id", "ord")
+    if isinstance(values, DataFrame):
+        return base.join(values.select("id", F.col(name).alias("value")), "id", "left").select("id", "ord", "value")
+    if isinstance(values, dict):
+        kind = g.nodes.schema["id"].dataType.simpleString()
+        given = g.nodes.sparkSession.createDataFrame([(k, float(v)) for k, v in values.items()], f"id {kind}, value double")
+        lost = given.join(base, "id", "left_anti").first()
+        if lost is not None:
+            raise NodeNotFound(str(lost["id"]))
+        return base.join(given, "id", "left").select("id", "ord", "value")
+    if isinstance(values, str):
+        return g.nodes.select("id", "ord", F.col(values).cast("double").alias("value"))
+    return base.withColumn("value", F.lit(float(values)))
+
+
 def normalized(m: DataFrame, method: str = "max") -> DataFrame:
     """By the largest magnitude, the sum, minmax or zscore (population deviation); a zero scale gives zeros."""
     real = m.where(~F.isnan("value"))

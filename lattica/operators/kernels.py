@@ -6,11 +6,12 @@ Neighbours are visited in graph order.
 
 from __future__ import annotations
 
+import heapq
 from collections import deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.errors import GraphError, SizeLimitError, UnboundedFlowError
@@ -21,14 +22,16 @@ GROUP_LIMIT = 2_000_000
 
 
 class Local:
-    """A component: nodes and neighbours in graph order."""
+    """A component: nodes and neighbours in graph order; ids of any type."""
 
     def __init__(self, pdf: pd.DataFrame, directed: bool):
-        alone = pdf[pdf["dst"].isna()]
-        e = pdf[pdf["dst"].notna()].astype({"dst": "int64"})
+        own = pdf[pdf["alone"]].sort_values("place", kind="stable")
+        e = pdf[~pdf["alone"]]
         self.directed = directed
-        self.edges = sorted(zip(e["src"].tolist(), e["dst"].tolist(), e["w"].tolist()))
-        self.nodes = sorted(set(alone["src"].tolist()) | {x for s, d, _ in self.edges for x in (s, d)})
+        self.nodes = own["src"].tolist()
+        self.at = {n: k for k, n in enumerate(self.nodes)}
+        at = self.at
+        self.edges = sorted(zip(e["src"].tolist(), e["dst"].tolist(), e["w"].tolist()), key=lambda x: (at[x[0]], at[x[1]]))
         self.succ: dict = {n: [] for n in self.nodes}
         self.pred: dict = {n: [] for n in self.nodes}
         for s, d, _ in self.edges:
@@ -38,18 +41,29 @@ class Local:
                 self.succ[d].append(s)
                 self.pred[s].append(d)
         for x in (*self.succ.values(), *self.pred.values()):
-            x.sort()
+            x.sort(key=at.__getitem__)
 
 
-def per_component(g: Graph, f, schema: str, weight=None) -> DataFrame:
-    """f(Local) -> rows for each weak component."""
+_PLAIN = ("tinyint", "smallint", "int", "bigint", "float", "double", "string", "date", "timestamp")
+
+
+def per_component(g: Graph, f, schema: str, weight=None, holding=()) -> DataFrame:
+    """f(Local) -> rows for each weak component, or for those of the nodes `holding`; ID in schema is the ids' type.
+
+    A node's place is its ord where that is of a plain type, and its id where it isn't.
+    """
     from lattica.plans.iterate import weak_components
     from lattica.plans.lineage import cut
 
     roots = cut(weak_components(g))
+    if holding:
+        roots = roots.join(roots.where(F.col("id").isin(list(holding))).select("root").distinct(), "root", "left_semi")
+    kind = g.nodes.schema["id"].dataType.simpleString()
+    place = "ord" if g.nodes.schema["ord"].dataType.simpleString() in _PLAIN else "id"
     e = g.edges.select("src", "dst", (F.lit(1.0) if weight is None else F.coalesce(F.col(weight), F.lit(1)).cast("double")).alias("w"))
-    rows = e.join(roots.select(F.col("id").alias("src"), "root"), "src").select("root", "src", "dst", "w")
-    rows = rows.unionByName(roots.select("root", F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("double").alias("w")))
+    rows = e.join(roots.select(F.col("id").alias("src"), "root"), "src").select("root", "src", "dst", "w", F.lit(False).alias("alone"), F.lit(None).cast(g.nodes.schema[place].dataType).alias("place"))
+    own = g.nodes.select("id", F.col(place).alias("place")).join(roots, "id")
+    rows = rows.unionByName(own.select("root", F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"), F.lit(True).alias("alone"), "place"))
     top = rows.groupBy("root").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     if top > GROUP_LIMIT:
         raise SizeLimitError(f"a component has {top} rows; the limit is {GROUP_LIMIT}")
@@ -59,7 +73,7 @@ def per_component(g: Graph, f, schema: str, weight=None) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(f(Local(pdf, directed))), columns=names)
 
-    return rows.groupBy("root").applyInPandas(run, schema)
+    return rows.groupBy("root").applyInPandas(run, schema.replace("ID", kind))
 
 
 # depth first
@@ -96,11 +110,11 @@ def dfs_orders(g: Graph, depth_limit: int | None = None) -> DataFrame:
         after = {v: k for k, v in enumerate(post)}
         return [(v, k, after[v]) for k, v in enumerate(pre)]
 
-    return per_component(g, f, "id long, pre long, post long")
+    return per_component(g, f, "id ID, pre long, post long")
 
 
 def dfs_tree(g: Graph, depth_limit: int | None = None) -> DataFrame:
-    return per_component(g, lambda lo: _dfs(lo, lo.nodes, depth_limit)[2], "src long, dst long")
+    return per_component(g, lambda lo: _dfs(lo, lo.nodes, depth_limit)[2], "src ID, dst ID")
 
 
 def find_cycle(g: Graph) -> list | None:
@@ -122,7 +136,7 @@ def find_cycle(g: Graph) -> list | None:
         c = _cycle(lo)
         return [(c,)] if c else []
 
-    row = per_component(core, f, "cycle array<long>").first()
+    row = per_component(core, f, "cycle array<ID>").first()
     return list(row[0]) if row else None
 
 
@@ -156,20 +170,40 @@ def _cycle(lo: Local) -> list | None:
     return None
 
 
-def simple_cycles(g: Graph, length_bound: int = 6) -> DataFrame:
-    """(cycle): each simple cycle of length_bound edges at most, from its first node; undirected ones of three or more, once."""
+def simple_cycles(g: Graph, length_bound: int | None = None) -> DataFrame:
+    """(cycle): each simple cycle, from its first node; undirected ones of three edges or more, once, and loops.
+
+    A walk from a start only enters later nodes from which the start can still be reached without its own nodes.
+    """
+    def ahead(lo: Local, s, u, held: set) -> list:
+        """Successors of u on ways back to s that avoid the path's nodes."""
+        seen, todo = {s}, [s]
+        while todo:
+            for v in lo.pred[todo.pop()]:
+                if v not in seen and v not in held and lo.at[v] > lo.at[s]:
+                    seen.add(v)
+                    todo.append(v)
+        return [v for v in lo.succ[u] if v in seen]
+
     def f(lo: Local):
         for s in lo.nodes:
-            stack = [(s, [s])]
+            path, held = [s], {s}
+            stack = [ahead(lo, s, s, held)]
             while stack:
-                u, path = stack.pop()
-                for v in lo.succ[u]:
-                    if v == s and (lo.directed or len(path) == 1 and u == v or len(path) > 2 and path[1] < path[-1]):
-                        yield ([*path, s],)
-                    elif v > s and v not in path and len(path) < length_bound:
-                        stack.append((v, [*path, v]))
+                if not stack[-1]:
+                    stack.pop()
+                    held.discard(path.pop())
+                    continue
+                v = stack[-1].pop(0)
+                if v != s:
+                    if length_bound is None or len(path) < length_bound:
+                        path.append(v)
+                        held.add(v)
+                        stack.append(ahead(lo, s, v, held))
+                elif lo.directed or len(path) == 1 or len(path) > 2 and lo.at[path[1]] < lo.at[path[-1]]:
+                    yield ([*path, s],)
 
-    return per_component(g, f, "cycle array<long>")
+    return per_component(g, f, "cycle array<ID>")
 
 
 # cuts
@@ -221,15 +255,15 @@ def _low(lo: Local):
 
 
 def articulation_points(g: Graph) -> DataFrame:
-    return per_component(g.need(False), lambda lo: [(x,) for x in sorted(_low(lo)[0])], "id long")
+    return per_component(g.need(False), lambda lo: [(x,) for x in sorted(_low(lo)[0])], "id ID")
 
 
 def bridges(g: Graph) -> DataFrame:
-    return per_component(g.need(False), lambda lo: sorted(_low(lo)[1]), "src long, dst long")
+    return per_component(g.need(False), lambda lo: sorted(_low(lo)[1]), "src ID, dst ID")
 
 
 def biconnected_components(g: Graph) -> DataFrame:
-    return per_component(g.need(False), lambda lo: [(p,) for p in _low(lo)[2]], "nodes array<long>")
+    return per_component(g.need(False), lambda lo: [(p,) for p in _low(lo)[2]], "nodes array<ID>")
 
 
 # flow
@@ -315,7 +349,7 @@ def _flow(g: Graph, s, t, capacity: str):
             if u in side and v not in side:
                 yield ("cut", u, v, c)
 
-    return per_component(h, f, "kind string, src long, dst long, value double", "w")
+    return per_component(h, f, "kind string, src ID, dst ID, value double", "w")
 
 
 def maximum_flow(g: Graph, s, t, capacity: str = "capacity") -> DataFrame:
@@ -391,50 +425,79 @@ def hopcroft_karp(g: Graph) -> DataFrame:
         left = [n for n in lo.nodes if side[n] == 0]
         return sorted(_hopcroft_karp(left, {u: sorted({*lo.succ[u], *lo.pred[u]}) for u in left}).items())
 
-    return per_component(g, f, "src long, dst long")
+    return per_component(g, f, "src ID, dst ID")
 
 
-def dag_width(g: Graph) -> DataFrame:
-    """One row: the size of the largest antichain, nodes less a largest matching of the closure."""
+def _split(g: Graph) -> Graph:
+    """The closure as a bipartite graph: tails are named <id, heads >id."""
     from lattica.plans.iterate import transitive_closure
 
     c = transitive_closure(g)
-    # tails keep even numbers and heads get odd ones, so that the closure is bipartite
-    split = Graph.from_edges(c.select((F.col("src") * 2).alias("src"), (F.col("dst") * 2 + 1).alias("dst")))
+    return Graph.from_edges(c.select(F.concat(F.lit("<"), F.col("src").cast("string")).alias("src"), F.concat(F.lit(">"), F.col("dst").cast("string")).alias("dst")))
+
+
+def _named(column: str, kind) -> Column:
+    return F.substring(column, 2, 1 << 30).cast(kind)
+
+
+def dag_width(g: Graph) -> DataFrame:
+    """One row: the size of the largest antichain, nodes less a largest matching of the closure."""
     n = g.nodes.agg(F.count("*").alias("n"))
-    return n.crossJoin(hopcroft_karp(split).agg(F.count("*").alias("m"))).select((F.col("n") - F.col("m")).alias("width"))
+    return n.crossJoin(hopcroft_karp(_split(g)).agg(F.count("*").alias("m"))).select((F.col("n") - F.col("m")).alias("width"))
 
 
 def minimum_chain_partition(g: Graph) -> DataFrame:
     """(id, chain): chains of the closure, as few as the width; a chain is named by its first node."""
-    from lattica.plans.iterate import components, transitive_closure
+    from lattica.plans.iterate import components
 
-    c = transitive_closure(g)
-    m = hopcroft_karp(Graph.from_edges(c.select((F.col("src") * 2).alias("src"), (F.col("dst") * 2 + 1).alias("dst"))))
-    even = F.when(F.col("src") % 2 == 0, F.col("src")).otherwise(F.col("dst"))
-    odd = F.when(F.col("src") % 2 == 0, F.col("dst")).otherwise(F.col("src"))
-    links = m.select((even / 2).cast("long").alias("src"), ((odd - 1) / 2).cast("long").alias("dst"))
+    m, kind = hopcroft_karp(_split(g)), g.nodes.schema["id"].dataType
+    tail = F.when(F.col("src").startswith("<"), F.col("src")).otherwise(F.col("dst"))
+    head = F.when(F.col("src").startswith("<"), F.col("dst")).otherwise(F.col("src"))
+    links = m.select(tail.alias("t"), head.alias("h")).select(_named("t", kind).alias("src"), _named("h", kind).alias("dst"))
     return components(links, g.nodes).withColumnRenamed("root", "chain")
 
 
+def maximum_antichain(g: Graph) -> DataFrame:
+    """(id): as many nodes as the width, none of which reaches another: those outside a smallest cover of the closure."""
+    def f(lo: Local):
+        left = [n for n in lo.nodes if n.startswith("<")]
+        adj = {u: [*lo.succ[u]] for u in left}
+        mate = _hopcroft_karp(left, adj)
+        back = {v: u for u, v in mate.items()}
+        seen, todo = {u for u in left if u not in mate}, [u for u in left if u not in mate]
+        while todo:  # alternating paths from the free tails
+            for v in adj[todo.pop()]:
+                if v not in seen:
+                    seen.add(v)
+                    if back[v] not in seen:
+                        seen.add(back[v])
+                        todo.append(back[v])
+        # the cover holds the tails that were not seen, and the heads that were
+        return [(n,) for n in lo.nodes if (n in seen) is not n.startswith("<")]
+
+    cover = per_component(_split(g.need(True)), f, "name ID")
+    return g.nodes.select("id").join(cover.select(_named("name", g.nodes.schema["id"].dataType).alias("id")).distinct(), "id", "left_anti")
+
+
 # communities
 
 
-def _louvain(lo: Local, resolution: float, seed: int, threshold: float = 1e-7) -> dict:
+def _louvain(lo: Local, resolution: float, seed: int, m2: float, threshold: float = 1e-7, max_level: int | None = None) -> list[dict]:
+    """Each level's labels, the finest first; m2 is twice the weight of the whole graph."""
     adj: dict = {n: {} for n in lo.nodes}
     for u, v, w in lo.edges:
         adj[u][v] = adj[u].get(v, 0.0) + w
         if u != v:
             adj[v][u] = adj[v].get(u, 0.0) + w
     label = {n: n for n in lo.nodes}
+    levels: list[dict] = []
     rng = np.random.default_rng(seed)
-    while True:
+    while max_level is None or len(levels) < max_level:
         k = {u: sum(x.values()) + x.get(u, 0.0) for u, x in adj.items()}
-        m2 = sum(k.values())
         if m2 == 0:
-            return label
+            break
         com, tot = {u: u for u in adj}, dict(k)
-        nodes, moved_any = sorted(adj), False
+        nodes, moved_any = sorted(adj, key=lo.at.__getitem__), False
         for _ in range(100):
             gain_total = 0.0
             for i in rng.permutation(len(nodes)):
@@ -447,7 +510,7 @@ def _louvain(lo: Local, resolution: float, seed: int, threshold: float = 1e-7) -
                 tot[old] -= k[u]
                 stay = near.get(old, 0.0) - resolution * tot[old] * k[u] / m2
                 best, value = old, stay
-                for c in sorted(near):
+                for c in sorted(near, key=lo.at.__getitem__):
                     x = near[c] - resolution * tot[c] * k[u] / m2
                     if x > value + 1e-12:
                         best, value = c, x
@@ -459,23 +522,97 @@ def _louvain(lo: Local, resolution: float, seed: int, threshold: float = 1e-7) -
             if gain_total <= threshold:
                 break
         if not moved_any:
-            return label
+            break
         label = {n: com[c] for n, c in label.items()}
+        levels.append(label)
         new: dict = {c: {} for c in set(com.values())}
         for u, x in adj.items():
             for v, w in x.items():
                 a, b = com[u], com[v]
                 if a != b:
                     new[a][b] = new[a].get(b, 0.0) + w
-                elif u <= v:
+                elif lo.at[u] <= lo.at[v]:
                     new[a][a] = new[a].get(a, 0.0) + w
         adj = new
+    return levels or [label]
+
+
+def _refined(lo: Local, label: dict, resolution: float, m2: float) -> dict:
+    """Single nodes move once more, in graph order, while that gains."""
+    adj: dict = {n: {} for n in lo.nodes}
+    for u, v, w in lo.edges:
+        adj[u][v] = adj[u].get(v, 0.0) + w
+        if u != v:
+            adj[v][u] = adj[v].get(u, 0.0) + w
+    k = {u: sum(x.values()) + x.get(u, 0.0) for u, x in adj.items()}
+    label, total = dict(label), {}
+    for n, c in label.items():
+        total[c] = total.get(c, 0.0) + k[n]
+    moved = m2 > 0
+    while moved:
+        moved = False
+        for u in lo.nodes:
+            near: dict = {}
+            for v, w in adj[u].items():
+                if v != u:
+                    near[label[v]] = near.get(label[v], 0.0) + w
+            old = label[u]
+            total[old] -= k[u]
+            best, value = old, near.get(old, 0.0) - resolution * total[old] * k[u] / m2
+            for c in sorted(near, key=lo.at.__getitem__):
+                x = near[c] - resolution * total[c] * k[u] / m2
+                if x > value + 1e-12:
+                    best, value = c, x
+            total[best] += k[u]
+            moved |= best != old
+            label[u] = best
+    return label
+
+
+def _twice_weight(g: Graph, weight: str | None) -> float:
+    w = F.lit(1.0) if weight is None else F.coalesce(F.col(weight), F.lit(1)).cast("double")
+    return 2 * float(g.edges.agg(F.sum(w)).first()[0] or 0.0)
+
+
+def louvain_communities(g: Graph, weight: str | None = "w", resolution: float = 1.0, seed: int = 0, threshold: float = 1e-7, max_level: int | None = None, refine: bool = True) -> DataFrame:
+    """(id, label) by local moves and aggregation; gains are those of the whole graph's modularity.
+
+    Communities never reach over components, so each component is a task. refine moves single nodes once more.
+    A directed graph counts as undirected, its opposite arcs added up.
+    """
+    g, w = _undirected(g, weight)
+    m2 = _twice_weight(g, w)
+
+    def f(lo: Local):
+        label = _louvain(lo, resolution, seed, m2, threshold, max_level)[-1]
+        return sorted((_refined(lo, label, resolution, m2) if refine else label).items())
 
+    return per_component(g, f, "id ID, label ID", w)
+
+
+def louvain_hierarchy(g: Graph, weight: str | None = "w", resolution: float = 1.0, seed: int = 0, threshold: float = 1e-7) -> DataFrame:
+    """(level, id, label): each level's partition, 0 the finest; a component that is done keeps its last labels."""
+    g, w = _undirected(g, weight)
+    m2 = _twice_weight(g, w)
+
+    def f(lo: Local):
+        return [(k, n, c) for k, level in enumerate(_louvain(lo, resolution, seed, m2, threshold)) for n, c in level.items()]
 
-def louvain_communities(g: Graph, weight: str | None = "w", resolution: float = 1.0, seed: int = 0) -> DataFrame:
-    """(id, label) by local moves and aggregation within each component."""
+    found = per_component(g, f, "level long, id ID, label ID", w).persist()
+    every = found.select("level").distinct()
+    last = found.groupBy("id").agg(F.max("level").alias("top"))
+    filled = last.join(F.broadcast(every), F.col("level") >= 0).select("id", "level", F.least("level", "top").alias("at"))
+    return filled.join(found.withColumnRenamed("level", "at"), ["id", "at"]).select("level", "id", "label")
+
+
+def _undirected(g: Graph, weight: str | None) -> tuple[Graph, str | None]:
+    """(g without directions, its weight column): opposite arcs add up."""
     w = weight if weight in g.edges.columns else None
-    return per_component(g.need(False), lambda lo: sorted(_louvain(lo, resolution, seed).items()), "id long, label long", w)
+    if not g.directed:
+        return g, w
+    value = F.lit(1.0) if w is None else F.coalesce(F.col(w), F.lit(1)).cast("double")
+    e = g.edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), value.alias("w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    return Graph(g.nodes, e.withColumn("ord", F.struct("src", "dst")), False), "w"
 
 
 def async_label_propagation(g: Graph, weight: str | None = None, seed: int = 0, max_iter: int = 100) -> DataFrame:
@@ -503,34 +640,96 @@ def async_label_propagation(g: Graph, weight: str | None = None, seed: int = 0,
                 break
         return sorted(label.items())
 
-    return per_component(g, f, "id long, label long", weight)
+    return per_component(g, f, "id ID, label ID", weight)
 
 
 def greedy_modularity_communities(g: Graph, weight: str | None = None, resolution: float = 1.0) -> DataFrame:
-    """(id, label): the pair of communities with the largest gain merges until none gains; ties by their names."""
+    """(id, label): the pair of communities with the largest gain merges until none gains; ties by graph order.
+
+    Gains are those of the whole graph's modularity. Pairs wait in a heap; one whose communities have changed since
+    is dropped when it comes up.
+    """
+    g, w = _undirected(g, weight)
+    m2 = _twice_weight(g, w)
+
     def f(lo: Local):
         adj: dict = {n: {} for n in lo.nodes}
-        for u, v, w in lo.edges:
+        loops: dict = {}
+        for u, v, x in lo.edges:
             if u != v:
-                adj[u][v] = adj[u].get(v, 0.0) + w
-                adj[v][u] = adj[v].get(u, 0.0) + w
-        k = {u: sum(x.values()) for u, x in adj.items()}
-        m2, label = sum(k.values()), {n: n for n in lo.nodes}
-        while m2:
-            best = max(((2 * (w / m2 - resolution * k[u] * k[v] / m2**2), -u, -v) for u, x in adj.items() for v, w in x.items() if u < v), default=None)
-            if best is None or best[0] <= 0:
+                adj[u][v] = adj[u].get(v, 0.0) + x
+                adj[v][u] = adj[v].get(u, 0.0) + x
+            else:
+                loops[u] = loops.get(u, 0.0) + 2 * x
+        k = {u: sum(x.values()) + loops.get(u, 0.0) for u, x in adj.items()}
+        at, label, version = lo.at, {n: n for n in lo.nodes}, dict.fromkeys(lo.nodes, 0)
+        gain = lambda u, v: 2 * (adj[u][v] / m2 - resolution * k[u] * k[v] / m2**2)
+        heap = [(-gain(u, v), at[u], at[v], 0, 0) for u in lo.nodes for v in adj[u] if at[u] < at[v]] if m2 else []
+        heapq.heapify(heap)
+        while heap:
+            less, i, j, vi, vj = heapq.heappop(heap)
+            if less >= 0:
                 break
-            u, v = -best[1], -best[2]
-            for x, w in adj.pop(v).items():
+            u, v = lo.nodes[i], lo.nodes[j]
+            if u not in adj or v not in adj or (version[u], version[v]) != (vi, vj):
+                continue
+            for x, y in adj.pop(v).items():
                 adj[x].pop(v)
                 if x != u:
-                    adj[u][x] = adj[u].get(x, 0.0) + w
-                    adj[x][u] = adj[x].get(u, 0.0) + w
+                    adj[u][x] = adj[u].get(x, 0.0) + y
+                    adj[x][u] = adj[x].get(u, 0.0) + y
             k[u] += k.pop(v)
-            label = {n: u if c == v else c for n, c in label.items()}
+            version[u] += 1
+            for n, c in label.items():
+                if c == v:
+                    label[n] = u
+            for x in adj[u]:
+                a, b = (u, x) if at[u] < at[x] else (x, u)
+                heapq.heappush(heap, (-gain(a, b), at[a], at[b], version[a], version[b]))
         return sorted(label.items())
 
-    return per_component(g.need(False), f, "id long, label long", weight)
+    return per_component(g, f, "id ID, label ID", w)
+
+
+def asyn_fluid_communities(g: Graph, k: int, max_iter: int = 100, seed: int = 0) -> DataFrame:
+    """(id, label): k fluids spread from random nodes of a connected graph; a node joins the densest sum around it."""
+    from lattica.plans.iterate import is_connected
+
+    if not is_connected(g.need(False)) or not 0 < k <= g.count_nodes():
+        raise GraphError("needs a connected graph and at most as many fluids as nodes")
+
+    def f(lo: Local):
+        rng = np.random.default_rng(seed)
+        heads = rng.permutation(len(lo.nodes))[:k]
+        label = {lo.nodes[i]: c for c, i in enumerate(heads)}
+        size = dict.fromkeys(range(k), 1)
+        for _ in range(max_iter):
+            moved = False
+            for i in rng.permutation(len(lo.nodes)):
+                u, sums = lo.nodes[i], {}
+                for v in {u, *lo.succ[u]}:
+                    if v in label:
+                        sums[label[v]] = sums.get(label[v], 0.0) + 1 / size[label[v]]
+                if not sums:
+                    continue
+                top = max(sums.values())
+                best = sorted(c for c, x in sums.items() if x >= top - 1e-9)
+                old = label.get(u)
+                if old in best or old is not None and size[old] == 1:
+                    continue
+                if old is not None:
+                    size[old] -= 1
+                label[u] = best[int(rng.integers(len(best)))]
+                size[label[u]] += 1
+                moved = True
+            if not moved:
+                break
+        first: dict = {}
+        for n in lo.nodes:
+            first.setdefault(label[n], n)
+        return [(n, first[label[n]]) for n in lo.nodes]
+
+    return per_component(g, f, "id ID, label ID")
 
 
 def girvan_newman(g: Graph, splits: int = 1) -> DataFrame:

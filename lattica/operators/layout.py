@@ -109,3 +109,205 @@ def to_svg(g: Graph, positions: DataFrame, size: int = 600) -> str:
     lines = [f'<line x1="{place[e.src][0]:.1f}" y1="{place[e.src][1]:.1f}" x2="{place[e.dst][0]:.1f}" y2="{place[e.dst][1]:.1f}" stroke="#999"/>' for e in g.edges.select("src", "dst").collect()]
     dots = [f'<circle cx="{x:.1f}" cy="{y:.1f}" r="4"><title>{k}</title></circle>' for k, (x, y) in place.items()]
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{size}" height="{size}">' + "".join(lines + dots) + "</svg>"
+
+
+# layouts of graphs that a driver can look at
+
+
+def _held(g: Graph, limit: int = 5000) -> tuple[list, np.ndarray, list]:
+    """(ids in graph order, matrix of hops, pairs of rows that are linked)."""
+    ids = [r[0] for r in g.nodes.orderBy("ord").select("id").limit(limit + 1).collect()]
+    if len(ids) > limit:
+        raise SizeLimitError(f"more than {limit} nodes")
+    at = {k: i for i, k in enumerate(ids)}
+    pairs = [(at[s], at[d]) for s, d in g.edges.where("src <> dst").select("src", "dst").collect()]
+    near: list = [[] for _ in ids]
+    for a, b in pairs:
+        near[a].append(b)
+        near[b].append(a)
+    hops = np.full((len(ids), len(ids)), np.inf)
+    for s in range(len(ids)):
+        hops[s, s], front, depth = 0, [s], 0
+        while front:
+            depth += 1
+            front = [v for v in {v for u in front for v in near[u]} if np.isinf(hops[s, v])]
+            hops[s, front] = depth
+    return ids, hops, pairs
+
+
+def _placed(g: Graph, ids: list, xy: np.ndarray) -> DataFrame:
+    kind = g.nodes.schema["id"].dataType.simpleString()
+    return g.nodes.sparkSession.createDataFrame([(k, float(a), float(b)) for k, (a, b) in zip(ids, xy)], f"id {kind}, x double, y double")
+
+
+def graph_distances(g: Graph) -> DataFrame:
+    """(src, dst, dist) in hops, directions aside; pairs that no path joins are one hop beyond the longest."""
+    ids, hops, _ = _held(g)
+    far = (hops[np.isfinite(hops)].max() if len(ids) else 0) + 1
+    kind = g.nodes.schema["id"].dataType.simpleString()
+    rows = [(a, b, float(min(hops[i, j], far))) for i, a in enumerate(ids) for j, b in enumerate(ids)]
+    return g.nodes.sparkSession.createDataFrame(rows, f"src {kind}, dst {kind}, dist double")
+
+
+def shell(g: Graph, shells: list[list] | None = None) -> DataFrame:
+    """Rings around the centre, by default one for each distance from the first node; a first ring of one is the centre."""
+    ids, hops, _ = _held(g)
+    if shells is None:
+        own = np.where(np.isfinite(hops[0]), hops[0], hops[0][np.isfinite(hops[0])].max() + 1).astype(int) if ids else np.zeros(0, int)
+        shells = [[ids[i] for i in np.nonzero(own == k)[0]] for k in range(own.max() + 1)] if ids else []
+    place, radius = {}, 0.0 if shells and len(shells[0]) == 1 else 1.0
+    for ring in shells:
+        for k, n in enumerate(ring):
+            place[n] = (radius * math.cos(2 * math.pi * k / len(ring)), radius * math.sin(2 * math.pi * k / len(ring)))
+        radius += 1
+    return _placed(g, list(place), np.array(list(place.values())).reshape(-1, 2))
+
+
+def tree(g: Graph, root=None) -> DataFrame:
+    """A tidy tree: leaves stand side by side, parents above the middle of their children; y is the depth.
+
+    The tree is the one of a breadth-first search from the root (the first node); every component adds its own.
+    """
+    ids, hops, pairs = _held(g)
+    near: list = [[] for _ in ids]
+    for a, b in pairs:
+        near[a].append(b)
+        near[b].append(a)
+    at, xy, seen, right = {k: i for i, k in enumerate(ids)}, np.zeros((len(ids), 2)), set(), 0
+    for start in ([at[root]] if root is not None else []) + list(range(len(ids))):
+        if start in seen:
+            continue
+        order, kids = [start], {start: []}
+        seen.add(start)
+        for u in order:
+            for v in sorted(near[u]):
+                if v not in seen:
+                    seen.add(v)
+                    kids[u].append(v)
+                    kids[v] = []
+                    xy[v, 1] = xy[u, 1] + 1
+                    order.append(v)
+        stack = [(start, False)]
+        while stack:
+            u, done = stack.pop()
+            if not kids[u]:
+                xy[u, 0], right = right, right + 1
+            elif done:
+                xy[u, 0] = (xy[kids[u][0], 0] + xy[kids[u][-1], 0]) / 2
+            else:
+                stack += [(u, True), *((v, False) for v in reversed(kids[u]))]
+    return _placed(g, ids, xy)
+
+
+def radial(g: Graph, root=None) -> DataFrame:
+    """tree(), its rows bent into rings around the root."""
+    t = tree(g, root)
+    width = t.agg(F.max("x").alias("w"))
+    a = 2 * math.pi * F.col("x") / (F.col("w") + 1)
+    return t.crossJoin(F.broadcast(width)).select("id", (F.col("y") * F.cos(a)).alias("x"), (F.col("y") * F.sin(a)).alias("y"))
+
+
+def stress(g: Graph, iterations: int = 100, tolerance: float = 1e-4) -> DataFrame:
+    """Positions whose distances come close to the hops, by majorisation from a circle."""
+    ids, hops, _ = _held(g, 2000)
+    n = len(ids)
+    if n < 2:
+        return _placed(g, ids, np.zeros((n, 2)))
+    d = np.where(np.isfinite(hops), hops, hops[np.isfinite(hops)].max() + 1)
+    np.fill_diagonal(d, 1)
+    w = d**-2.0
+    np.fill_diagonal(w, 0)
+    a = 2 * np.pi * np.arange(n) / n
+    x = np.stack([np.cos(a), np.sin(a)], 1) * d.max() / 2
+    lap = np.linalg.pinv(np.diag(w.sum(1)) - w)
+    last = np.inf
+    for _ in range(iterations):
+        gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        now = (w * (gap - d) ** 2).sum() / 2
+        if last - now <= tolerance * max(now, 1e-12):
+            break
+        last = now
+        b = -np.where(gap > 1e-12, w * d / np.maximum(gap, 1e-12), 0)
+        np.fill_diagonal(b, 0)
+        np.fill_diagonal(b, -b.sum(1))
+        x = lap @ (b @ x)
+    return _placed(g, ids, x)
+
+
+def force_atlas2(g: Graph, iterations: int = 100, scaling: float = 2.0, gravity: float = 1.0, seed: int = 0) -> DataFrame:
+    """Linear springs, repulsion by degree, and a pull to the centre; a node's speed falls as it swings."""
+    ids, _, pairs = _held(g, 2000)
+    n = len(ids)
+    x, e = np.random.default_rng(seed).uniform(-1, 1, (n, 2)), np.array(pairs, np.int64).reshape(-1, 2)
+    mass = np.bincount(e.ravel(), minlength=n) + 1.0
+    old = np.zeros((n, 2))
+    for _ in range(iterations):
+        gap = x[:, None] - x[None]
+        d2 = np.maximum((gap**2).sum(2), 1e-4)
+        f = (scaling * (mass[:, None] * mass[None] / d2)[..., None] * gap).sum(1) - gravity * mass[:, None] * x / np.maximum(np.sqrt((x**2).sum(1)), 1e-9)[:, None]
+        pull = x[e[:, 1]] - x[e[:, 0]]
+        np.add.at(f, e[:, 0], pull)
+        np.add.at(f, e[:, 1], -pull)
+        swing, size = np.sqrt(((f - old) ** 2).sum(1)), np.sqrt((f**2).sum(1))
+        speed = 0.1 / (1 + np.sqrt(swing))
+        x = x + f * np.minimum(speed, 10 / np.maximum(size, 1e-9))[:, None]
+        old = f
+    return _placed(g, ids, x)
+
+
+def remove_overlaps(positions: DataFrame, distance: float, iterations: int = 200) -> DataFrame:
+    """Positions (id, x, y) moved apart until no two are closer than the distance, or the iterations are over."""
+    rows = positions.orderBy("id").collect()
+    ids, x = [r["id"] for r in rows], np.array([(r["x"], r["y"]) for r in rows], float).reshape(-1, 2)
+    x = x + 1e-9 * np.arange(len(ids))[:, None] * np.array([1.0, 0.5])  # equal places part
+    for _ in range(iterations):
+        gap = x[:, None] - x[None]
+        d = np.sqrt((gap**2).sum(2))
+        np.fill_diagonal(d, np.inf)
+        short = np.maximum(0, distance - d)
+        if not (short > 1e-9).any():
+            break
+        x = x + (gap / np.maximum(d, 1e-12)[..., None] * (short / 2 * 1.01)[..., None]).sum(1)
+    kind = positions.schema["id"].dataType.simpleString()
+    return positions.sparkSession.createDataFrame([(k, float(a), float(b)) for k, (a, b) in zip(ids, x)], f"id {kind}, x double, y double")
+
+
+def pack_components(g: Graph, positions: DataFrame, gap: float = 1.0) -> DataFrame:
+    """Each component's drawing moved into rows of a near square, the largest first."""
+    from lattica.plans.iterate import weak_components
+
+    p = positions.join(weak_components(g), "id")
+    box = p.groupBy("root").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"), F.count("*").alias("n"))
+    boxes = box.orderBy(F.desc("n"), "root").collect()
+    wide = math.sqrt(sum((b["w"] + gap) * (b["h"] + gap) for b in boxes))
+    x = y = high = 0.0
+    moves = []
+    for b in boxes:
+        if x > 0 and x + b["w"] > wide:
+            x, y, high = 0.0, y + high + gap, 0.0
+        moves.append((b["root"], x - b["x0"], y - b["y0"]))
+        x, high = x + b["w"] + gap, max(high, b["h"])
+    kind = g.nodes.schema["id"].dataType.simpleString()
+    m = g.nodes.sparkSession.createDataFrame(moves, f"root {kind}, dx double, dy double")
+    return p.join(F.broadcast(m), "root").select("id", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
+
+
+LAYOUTS = {
+    "circular": circular, "arc": arc, "grid": grid, "spiral": spiral, "random": random, "hierarchical": layered, "bipartite": bipartite, "spectral": spectral,
+    "force": force, "shell": shell, "tree": tree, "radial": radial, "stress": stress, "force_atlas2": force_atlas2,
+}
+
+
+def auto_method(g: Graph) -> str:
+    """What suits a graph: levels for acyclic ones, a tree for forests, stress for small ones, force for the rest."""
+    from lattica.plans.iterate import is_dag, is_forest
+
+    if g.directed:
+        return "hierarchical" if is_dag(g) else "force"
+    n = g.count_nodes()
+    return "grid" if g.count_edges() == 0 else "tree" if is_forest(g) else "stress" if n <= 500 else "force"
+
+
+def compute(g: Graph, method: str = "auto", **options) -> DataFrame:
+    """Positions by a method's name, or by the one that suits the graph."""
+    return LAYOUTS[auto_method(g) if method == "auto" else method](g, **options)

@@ -1,7 +1,8 @@
 """Measures that joins and aggregations give: structure, similarity, quality of partitions.
 
-Wedges (paths of two edges) are built from edges oriented from the lower to the higher (degree, ord), so a
-hub's neighbours are not paired with each other: a node has at most sqrt(2 m) outgoing edges.
+Triangles are found from edges oriented from the lower to the higher (degree, ord): a node has at most sqrt(2 m)
+outgoing edges, so a hub's neighbours are not paired. Where the pairs themselves are wanted, as in link prediction
+and square clustering, a hub's wedges are dealt over tasks in blocks.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lattica.errors import GraphError, NodeNotFound
 from lattica.operators.model import Graph, weight_of
+from lattica.plans.lineage import cut, numbered
 
 
 def _simple(g: Graph) -> DataFrame:
@@ -18,6 +20,22 @@ def _simple(g: Graph) -> DataFrame:
     return g.arcs().where("src <> dst").select("src", "dst")
 
 
+#: Neighbours of a node that are paired with all its neighbours in one task.
+BLOCK = 1024
+
+
+def _wedges(a: DataFrame) -> DataFrame:
+    """(u, v, w): neighbours u and v of w, by both directions a(src, dst) of the edges.
+
+    A hub's neighbours are dealt over blocks, each of which meets all of them, so its wedges spread over tasks.
+    """
+    blocks = a.groupBy("src").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("src", "w")
+    own = a.select(F.col("src").alias("w"), F.col("dst").alias("u")).join(blocks, "w")
+    left = own.select("w", "u", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int").alias("block"))
+    right = own.select("w", F.col("u").alias("v"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return left.join(right, ["w", "block"]).select("u", "v", "w")
+
+
 def _one(df: DataFrame, value: Column) -> DataFrame:
     return df.select(value.cast("double").alias("value"))
 
@@ -153,7 +171,7 @@ def square_clustering(g: Graph) -> DataFrame:
     """The share of possible squares through each node that exist."""
     a = _simple(g)
     # p(v, x): common neighbours of v and x, v not x
-    two = a.select(F.col("src").alias("v"), F.col("dst").alias("u")).join(a.select(F.col("src").alias("u"), F.col("dst").alias("x")), "u").where("v <> x")
+    two = _wedges(a).select(F.col("u").alias("v"), F.col("w").alias("u"), F.col("v").alias("x")).where("v <> x")
     p = two.groupBy("v", "x").agg(F.count("*").alias("p"))
     squares = p.groupBy(F.col("v").alias("id")).agg(F.sum(F.col("p") * (F.col("p") - 1) / 2).alias("s"))
     d = a.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
@@ -223,9 +241,7 @@ def rich_club(g: Graph) -> DataFrame:
 
 def _two_hop(g: Graph) -> DataFrame:
     """(u, v, w): u < v with a common neighbour w that is neither."""
-    a = _simple(g.need(False))
-    left, right = a.select(F.col("src").alias("w"), F.col("dst").alias("u")), a.select(F.col("src").alias("w"), F.col("dst").alias("v"))
-    return left.join(right, "w").where("u < v")
+    return _wedges(_simple(g.need(False))).where("u < v")
 
 
 def common_neighbor_counts(g: Graph, missing_only: bool = True) -> DataFrame:
@@ -274,10 +290,24 @@ def preferential_attachment(g: Graph, pairs: DataFrame) -> DataFrame:
 
 
 def predict_links(g: Graph, method: str = "adamic_adar", k: int = 10) -> DataFrame:
-    """The k best unlinked pairs, ties by graph order. Pairs without a common neighbour score 0 and only fill a
-    short list, in graph order, where the scored pairs are fewer than k."""
+    """(u, v, value): the k best unlinked pairs, ties by graph order.
+
+    Pairs without a common neighbour score 0 and only fill a short list, in graph order; the list is as long as k or
+    as the unlinked pairs are many. Scores are compared to nine places.
+    """
     scored = {"adamic_adar": adamic_adar, "jaccard": jaccard, "resource_allocation": resource_allocation, "common_neighbors": common_neighbor_counts}[method](g)
-    return scored.orderBy(F.desc("value"), "u", "v").limit(k)
+    found = cut(scored.select("u", "v", F.col("value").cast("double").alias("value")).orderBy(F.desc(F.round("value", 9)), "u", "v").limit(k))
+    missing = k - found.count()
+    linked = g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(found.select("u", "v"))
+    if missing > 0:
+        # the first nodes in graph order, until their unlinked pairs are enough: as many nodes as are filled up at most
+        n = g.count_nodes()
+        free = linked.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").agg(F.count("*").alias("d"))
+        free = g.nodes.select(F.col("id").alias("u"), "ord").join(free, "u", "left").where(F.coalesce("d", F.lit(0)) < n - 1)
+        heads = F.broadcast(free.orderBy("ord").limit(2 * missing + 1).select("u"))
+        pairs = heads.join(g.nodes.select(F.col("id").alias("v")), F.col("u") < F.col("v")).join(linked, ["u", "v"], "left_anti")
+        found = found.union(pairs.orderBy("u", "v").limit(missing).select("u", "v", F.lit(0.0)))
+    return found
 
 
 # partitions
@@ -322,8 +352,7 @@ def partition_quality(g: Graph, labels: DataFrame) -> DataFrame:
 def community_labels(labels: DataFrame) -> DataFrame:
     """(id, label): communities numbered from 0, the largest first, ties by their first node."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    numbered = sizes.select("label", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).cast("long").alias("number"))
-    return labels.join(numbered, "label").select("id", F.col("number").alias("label"))
+    return labels.join(numbered(sizes, F.desc("n"), "first"), "label").select("id", F.col("position").alias("label"))
 
 
 # matchings

@@ -230,6 +230,45 @@ class Graph:
             raise DirectionError("the graphs differ in direction")
         return replace(self, nodes=_merge(self.nodes, other.nodes, ["id"]), edges=_merge(self.edges, other.edges, ["src", "dst"]))
 
+    def copy(self) -> Graph:
+        """Graphs are values: a copy shares the same immutable plans."""
+        return replace(self)
+
+    def in_edges(self, node=None) -> DataFrame:
+        """The arcs into a node, or all."""
+        e = self.need(True).edges
+        if node is None:
+            return e
+        self._known(node)
+        return e.where(F.col("dst") == node)
+
+    def out_edges(self, node=None) -> DataFrame:
+        """The arcs out of a node, or all."""
+        e = self.need(True).edges
+        if node is None:
+            return e
+        self._known(node)
+        return e.where(F.col("src") == node)
+
+    def node_data(self, attribute: str, default=None) -> DataFrame:
+        """(id, value) of a node column in graph order's columns; default where it is null or there is no such column."""
+        value = F.col(attribute) if attribute in self.nodes.columns else F.lit(None)
+        return self.nodes.select("id", "ord", (value if default is None else F.coalesce(value, F.lit(default))).alias("value"))
+
+    def edge_data(self, attribute: str, default=None) -> DataFrame:
+        """(src, dst, value) of an edge column; default where it is null or there is no such column."""
+        value = F.col(attribute) if attribute in self.edges.columns else F.lit(None)
+        return self.edges.select("src", "dst", (value if default is None else F.coalesce(value, F.lit(default))).alias("value"))
+
+    def adjacent(self, node) -> DataFrame:
+        """(id, and the edge's columns) of the edges to a node's neighbours (its successors)."""
+        self._known(node)
+        rest = [c for c in self.edges.columns if c not in ("src", "dst", "ord")]
+        out = self.edges.where(F.col("src") == node).select(F.col("dst").alias("id"), *rest)
+        if self.directed:
+            return out
+        return out.union(self.edges.where((F.col("dst") == node) & (F.col("src") != node)).select(F.col("src").alias("id"), *rest))
+
     def clear(self) -> Graph:
         return replace(self, nodes=self.nodes.limit(0), edges=self.edges.limit(0))
 

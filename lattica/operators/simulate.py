@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.errors import GraphError
 from lattica.operators.model import Graph
 from lattica.plans.sources import Rows
 
@@ -23,16 +26,106 @@ MODELS = {
 }
 
 
-def _runs(g: Graph, runs: int, f, schema: str) -> DataFrame:
+@dataclass(frozen=True)
+class Model:
+    """States; spontaneous changes (rate's name, from, to); contagions (rate's name, from, to, by a neighbour's state)."""
+
+    states: tuple
+    alone: tuple = ()
+    by: tuple = ()
+
+    def ends(self) -> set:
+        """States that are left by no change."""
+        return set(self.states) - {a for _, a, *_ in (*self.alone, *self.by)}
+
+    def terminates(self) -> bool:
+        """Whether every run comes to rest: no change leads, over others, back to its own state."""
+        after: dict = {}
+        for _, a, b, *_ in (*self.alone, *self.by):
+            after.setdefault(a, set()).add(b)
+        for start in self.states:
+            seen, todo = set(), [start]
+            while todo:
+                for y in after.get(todo.pop(), set()) - seen:
+                    seen.add(y)
+                    todo.append(y)
+            if start in seen:
+                return False
+        return True
+
+
+def model(name: str | Model) -> Model:
+    if isinstance(name, Model):
+        return name
+    states, alone, by = MODELS[name]
+    return Model(tuple(states), tuple(alone), tuple(by))
+
+
+def _runs(g: Graph, runs: int, f, schema: str, weight=None) -> DataFrame:
     spark = g.nodes.sparkSession
-    rows = Rows(g)
+    rows = Rows(g, weight)
+    kind = g.nodes.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b["id"]:
                 yield f(rows, int(r))
 
-    return spark.range(0, runs, 1, max(1, min(runs, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(run, schema)
+    return spark.range(0, runs, 1, max(1, min(runs, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(run, schema.replace("ID", kind))
+
+
+def simulate(g: Graph, kind: str | Model, rates: dict[str, float], initial: dict, t_max: float, method: str = "discrete", runs: int = 1, dt: float = 1.0, weight=None, seed: int = 0) -> DataFrame:
+    """(run, node, time, state): each node's state at 0 and its later changes up to t_max; see operators.outcomes.
+
+    initial maps nodes to states, the others have the first state. discrete: synchronous steps of dt, as in epidemic().
+    gillespie: one change at a time, after an exponential wait for all hazards together. A neighbour's contagion is its
+    rate times the arc's weight. A run ends where no change is left.
+    """
+    m = model(kind)
+    code = {s: k for k, s in enumerate(m.states)}
+    if not set(initial.values()) <= set(code) or method not in ("discrete", "gillespie"):
+        raise GraphError("an unknown state or method")
+    g._known(*initial)
+
+    def hazards(rows: Rows, x: np.ndarray, src: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), len(code)))
+        for name, a, b in m.alone:
+            out[x == code[a], code[b]] += rates[name]
+        for name, a, b, via in m.by:
+            near = np.bincount(rows.dst, weights=(x[src] == code[via]) * rows.w, minlength=len(x))
+            own = x == code[a]
+            out[own, code[b]] += rates[name] * near[own]
+        return out
+
+    def f(rows: Rows, r: int) -> pd.DataFrame:
+        rng, n = np.random.default_rng([seed, r]), len(rows.ids)
+        src = np.repeat(np.arange(n), np.diff(rows.head))
+        x = np.array([code[initial.get(i, m.states[0])] for i in rows.ids.tolist()], np.int64)
+        log, t = [(k, 0.0, x[k]) for k in range(n)], 0.0
+        hazard = hazards(rows, x, src)
+        while (total := hazard.sum()) > 0:
+            if method == "discrete":
+                t += dt
+                if t > t_max + 1e-12:
+                    break
+                each = hazard.sum(1)
+                leave = rng.random(n) < 1 - np.exp(-each * dt)
+                pick = rng.random(n) * each
+                to = (np.cumsum(hazard, axis=1) <= pick[:, None]).sum(1).clip(max=len(code) - 1)
+                moved = np.nonzero(leave & (each > 0))[0]
+                x[moved] = to[moved]
+            else:
+                t += rng.exponential(1 / total)
+                if t > t_max:
+                    break
+                at = int(min(np.searchsorted(np.cumsum(hazard), rng.random() * total, "right"), hazard.size - 1))
+                moved = np.array([at // len(code)])
+                x[moved] = at % len(code)
+            log += [(k, t, x[k]) for k in moved.tolist()]
+            hazard = hazards(rows, x, src)
+        return pd.DataFrame({"run": r, "node": rows.ids[[k for k, _, _ in log]], "time": [t for _, t, _ in log], "state": [m.states[s] for _, _, s in log]})
+
+    return _runs(g, runs, f, "run long, node ID, time double, state string", weight)
 
 
 def epidemic(g: Graph, model: str, rates: dict[str, float], initial: list, steps: int, runs: int = 1, dt: float = 1.0, seed: int = 0) -> DataFrame:
@@ -112,7 +205,7 @@ def random_walks(g: Graph, walkers: int, steps: int, restart: float = 0.0, seed:
         k = np.nonzero(seen)[0]
         return pd.DataFrame({"id": rows.ids[k], "visits": seen[k]})
 
-    return _runs(g, walkers, f, "id long, visits long").groupBy("id").agg(F.sum("visits").alias("visits"))
+    return _runs(g, walkers, f, "id ID, visits long").groupBy("id").agg(F.sum("visits").alias("visits"))
 
 
 def stationary_distribution(g: Graph) -> DataFrame:
@@ -178,3 +271,135 @@ def monte_carlo_schedule(g: Graph, runs: int = 1000, seed: int = 0, low: str = "
         return pd.DataFrame({"run": [r], "makespan": [end]})
 
     return _runs(g.need(True), runs, f, "run long, makespan double")
+
+
+def greedy_influence(g: Graph, k: int, p: float = 0.1, runs: int = 200, seed: int = 0, candidates: list | None = None) -> DataFrame:
+    """(place, id, spread): the k seeds that greedily reach most over shared samples of live arcs, ties by graph order.
+
+    A round counts every candidate's gain in every sample, spread over the tasks, and adds the counts up.
+    """
+    picked: list = []
+    spread, out = 0.0, []
+    for place in range(min(k, g.count_nodes())):
+        seeds = list(picked)
+
+        def f(rows: Rows, r: int) -> pd.DataFrame:
+            live = np.random.default_rng([seed, r]).random(len(rows.dst)) < p
+
+            def reach(starts, on):
+                front, new = list(starts), set(starts)
+                while front:
+                    u = front.pop()
+                    for v in rows.dst[rows.head[u] : rows.head[u + 1]][live[rows.head[u] : rows.head[u + 1]]].tolist():
+                        if v not in new and v not in on:
+                            new.add(v)
+                            front.append(v)
+                return new
+
+            at = {i: j for j, i in enumerate(rows.ids.tolist())}
+            on = reach({at[s] for s in seeds}, set())
+            pool = range(len(rows.ids)) if candidates is None else [at[c] for c in candidates]
+            gains = [0 if u in on else len(reach({u}, on)) for u in pool]
+            return pd.DataFrame({"at": list(pool), "id": rows.ids[list(pool)], "gain": gains})
+
+        rows = _runs(g, runs, f, "at long, id ID, gain long").groupBy("at", "id").agg(F.sum("gain").alias("gain")).where(~F.col("id").isin(seeds) if seeds else F.lit(True))
+        best = rows.orderBy(F.desc("gain"), "at").first()
+        if best is None:
+            break
+        picked.append(best["id"])
+        spread += best["gain"] / runs
+        out.append((place, best["id"], spread))
+    kind = g.nodes.schema["id"].dataType.simpleString()
+    return g.nodes.sparkSession.createDataFrame(out, f"place long, id {kind}, spread double")
+
+
+def bounded_confidence(g: Graph, epsilon: float = 0.2, mu: float = 0.5, steps: int = 100, runs: int = 1, seed: int = 0, initial: dict | None = None) -> DataFrame:
+    """(run, id, value, cluster): opinions after steps sweeps of pair updates along random edges.
+
+    Two ends closer than epsilon move by mu of their gap towards each other. Clusters are numbered by value; a gap of
+    epsilon or more parts two.
+    """
+    from pyspark.sql import Window
+
+    def f(rows: Rows, r: int) -> pd.DataFrame:
+        rng, n = np.random.default_rng([seed, r]), len(rows.ids)
+        x = rng.random(n) if initial is None else np.array([float(initial[i]) for i in rows.ids.tolist()])
+        src = np.repeat(np.arange(n), np.diff(rows.head))
+        for e in rng.integers(0, len(src), steps * len(src)).tolist() if len(src) else ():
+            u, v = src[e], rows.dst[e]
+            gap = x[v] - x[u]
+            if u != v and abs(gap) < epsilon:
+                x[u] += mu * gap
+                x[v] -= mu * gap
+        return pd.DataFrame({"run": r, "id": rows.ids, "value": x})
+
+    w = Window.partitionBy("run").orderBy("value", "id")
+    values = _runs(g, runs, f, "run long, id ID, value double")
+    return values.withColumn("cut", (F.col("value") - F.lag("value").over(w) >= epsilon).cast("int")).select("run", "id", "value", F.sum(F.coalesce("cut", F.lit(0))).over(w).alias("cluster"))
+
+
+#: How waiting tasks are ordered; equal ones by graph order.
+POLICIES = ("critical_path", "fifo", "shortest", "longest", "successors")
+
+
+def schedule(g: Graph, duration: str = "duration", workers: int = 2, policy: str = "critical_path", failure_rate: float = 0.0, max_retries: int = 0, jitter: float = 0.0, runs: int = 1, seed: int = 0) -> DataFrame:
+    """(run, task, worker, start, end, attempt, status) of list scheduling on a number of equal workers.
+
+    A free worker takes the waiting task that the policy puts first. A duration varies uniformly by the share `jitter`.
+    An attempt fails with chance failure_rate and is tried again up to max_retries times; what waits for a task that
+    failed for good is blocked, a row without worker and times.
+    """
+    if policy not in POLICIES or workers < 1 or not 0 <= failure_rate <= 1:
+        raise GraphError("an unknown policy, no worker, or no such rate")
+    d = {r["id"]: float(r["d"]) for r in g.need(True).nodes.select("id", F.coalesce(F.col(duration).cast("double"), F.lit(1.0)).alias("d")).collect()}
+
+    def f(rows: Rows, r: int) -> pd.DataFrame:
+        rng, n = np.random.default_rng([seed, r]), len(rows.ids)
+        own = np.array([d[i] for i in rows.ids.tolist()])
+        after = [rows.dst[rows.head[u] : rows.head[u + 1]].tolist() for u in range(n)]
+        need = np.bincount(rows.dst, minlength=n)
+        order, left = [u for u in range(n) if need[u] == 0], need.copy()
+        for u in order:
+            for v in after[u]:
+                left[v] -= 1
+                if left[v] == 0:
+                    order.append(v)
+        tail = own.copy()
+        for u in reversed(order):
+            tail[u] += max((tail[v] for v in after[u]), default=0.0)
+        first = {"critical_path": -tail, "fifo": np.zeros(n), "shortest": own, "longest": -own, "successors": -np.array([len(a) for a in after])}[policy]
+        waiting, busy, idle, arrived = [], [], list(range(workers)), 0
+        tries, log, t = np.zeros(n, int), [], 0.0
+
+        def wait(u):
+            nonlocal arrived
+            heapq.heappush(waiting, (first[u], arrived if policy == "fifo" else u, u))
+            arrived += 1
+
+        for u in range(n):
+            if need[u] == 0:
+                wait(u)
+        while waiting or busy:
+            while waiting and idle:
+                u, who = heapq.heappop(waiting)[2], heapq.heappop(idle)
+                tries[u] += 1
+                end = t + own[u] * (1 + jitter * rng.uniform(-1, 1))
+                fails = rng.random() < failure_rate
+                heapq.heappush(busy, (end, who, u, fails))
+                log.append((r, u, who, t, end, int(tries[u]), "failed" if fails else "done"))
+            t, who, u, fails = heapq.heappop(busy)
+            heapq.heappush(idle, who)
+            if fails:
+                if tries[u] <= max_retries:
+                    wait(u)
+                continue
+            for v in after[u]:
+                need[v] -= 1
+                if need[v] == 0:
+                    wait(v)
+        log += [(r, u, None, None, None, 0, "blocked") for u in range(n) if tries[u] == 0]
+        out = pd.DataFrame(log, columns=["run", "task", "worker", "start", "end", "attempt", "status"])
+        out["task"] = rows.ids[out["task"].to_numpy(int)]
+        return out.astype({"worker": "Int64"})
+
+    return _runs(g, runs, f, "run long, task ID, worker long, start double, end double, attempt long, status string")

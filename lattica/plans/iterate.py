@@ -1,7 +1,7 @@
 """Supersteps: driver loops of joins and aggregations whose state is a checkpointed DataFrame.
 
-A step touches the frontier or the state alone; the test for the end is fused with the checkpoint's
-count. Loops end at a fix-point or a stated limit.
+A step touches the frontier or the state alone, and a look at the checkpointed state tells whether it was the
+last. Loops end at a fix-point; a stated limit that is reached first is an error.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lattica.errors import ConvergenceError, GraphError, NegativeCycleError, NegativeWeightError, NoPathError
 from lattica.operators.model import Graph, weight_of
-from lattica.plans.lineage import cut
+from lattica.plans.lineage import cut, numbered
 
 # reachability
 
@@ -40,6 +40,12 @@ def bfs(g: Graph, sources: DataFrame, *, reverse: bool = False, undirected: bool
     return seen
 
 
+def bfs_order(g: Graph, sources: DataFrame) -> DataFrame:
+    """(id, position): by depth, then the parent's place of the first discoverer's id, then graph order."""
+    found = bfs(g, sources).join(g.nodes.select("id", "ord"), "id")
+    return numbered(found, "depth", F.asc_nulls_first("parent"), "ord").select("id", "position")
+
+
 def bfs_layers(g: Graph, sources: DataFrame) -> DataFrame:
     return bfs(g, sources).groupBy("depth").agg(F.array_sort(F.collect_list("id")).alias("nodes"))
 
@@ -103,6 +109,36 @@ def connected_components(g: Graph) -> DataFrame:
     return weak_components(g.need(False)).groupBy("root").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "root")
 
 
+def number_connected_components(g: Graph) -> int:
+    return weak_components(g.need(False)).select("root").distinct().count()
+
+
+def number_weakly_connected_components(g: Graph) -> int:
+    return weak_components(g.need(True)).select("root").distinct().count()
+
+
+def number_strongly_connected_components(g: Graph) -> int:
+    return strong_components(g).select("root").distinct().count()
+
+
+def node_connected_component(g: Graph, node) -> DataFrame:
+    """(id) of the nodes that a node's component holds, itself included; only they are walked."""
+    return bfs(g.need(False), _single(g, node)).select("id")
+
+
+def is_strongly_connected(g: Graph) -> bool:
+    """Whether the first node reaches all others, and all reach it; an empty graph is an error."""
+    n = g.need(True).count_nodes()
+    first = g.nodes.agg(F.min("id").alias("id"))
+    if n == 0:
+        raise GraphError("an empty graph is neither connected nor not")
+    return bfs(g, first).count() == n and bfs(g, first, reverse=True).count() == n
+
+
+def is_weakly_connected(g: Graph) -> bool:
+    return is_connected(g.need(True))
+
+
 def is_connected(g: Graph) -> bool:
     return weak_components(g).select("root").distinct().limit(2).count() == 1
 
@@ -264,12 +300,11 @@ def all_shortest_paths(g: Graph, source, target, weight=None) -> DataFrame:
     return out
 
 
-def k_shortest_paths(g: Graph, source, target, k: int, weight=None, cutoff: int = 6) -> DataFrame:
-    """(path, length): the k shortest simple paths of cutoff edges at most, ties by the path."""
-    p = simple_paths(g, source, target, cutoff).withColumn("key", F.xxhash64("path"))
-    legs = p.select("key", F.posexplode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("src"), F.slice("path", F.lit(2), F.size("path") - 1).alias("dst"))).alias("at", "leg")).select("key", "leg.src", "leg.dst")
-    length = legs.join(g.arcs(weight), ["src", "dst"]).groupBy("key").agg(F.sum("w").alias("length"))
-    return p.join(length, "key").select("path", "length").orderBy("length", "path").limit(k)
+def k_shortest_paths(g: Graph, source, target, k: int, weight=None) -> DataFrame:
+    """(path, length): the k shortest simple paths, ties by the path; no path gives no rows. See operators.paths."""
+    from lattica.operators.paths import k_shortest_paths as kernel
+
+    return kernel(g, source, target, k, weight)
 
 
 # spectral measures
@@ -358,23 +393,27 @@ def hits(g: Graph, weight: str | None = "w", max_iter: int = 100, tol: float | N
 
 
 def core_number(g: Graph) -> DataFrame:
-    """(id, ord, value); in and out degrees together if directed; loops don't count."""
+    """(id, ord, value); in and out degrees together if directed; loops don't count.
+
+    Rounds of h-indices: a node's value becomes the largest h of which h neighbours have h or more, starting from its
+    degree, until no value falls. A round is one join and two aggregations over a histogram of the neighbours' values.
+    """
+    from pyspark.sql import Window
+
     e = g.edges.where("src <> dst").select("src", "dst")
-    e = cut(e.union(e.select(F.col("dst"), F.col("src"))))
-    left = cut(g.nodes.select("id"))
-    k, done = 0, []
-    while not left.isEmpty():
-        d = left.join(e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("d"))
-        d = cut(d)
-        k = max(k, d.agg(F.min("d")).first()[0])
-        gone = d.where(F.col("d") <= k).select("id")
-        done.append(gone.select("id", F.lit(k).cast("long").alias("value")))
-        left = cut(left.join(gone, "id", "left_anti"))
-        e = cut(e.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    out = done[0] if done else left.select("id", F.lit(0).cast("long").alias("value"))
-    for x in done[1:]:
-        out = out.union(x)
-    return g.nodes.select("id", "ord").join(out, "id")
+    e = cut(e.union(e.select(F.col("dst"), F.col("src"))).groupBy("src", "dst").agg(F.count("*").alias("c")))
+    x = cut(e.groupBy(F.col("src").alias("id")).agg(F.sum("c").alias("value")))
+    down = Window.partitionBy("id").orderBy(F.desc("v"))
+    while True:
+        near = e.join(x.select(F.col("id").alias("dst"), F.col("value").alias("v")), "dst").join(x.select(F.col("id").alias("src"), F.col("value").alias("own")), "src")
+        # a neighbour's value beyond one's own counts as one's own
+        steps = near.groupBy(F.col("src").alias("id"), "own", F.least("v", "own").alias("v")).agg(F.sum("c").alias("c"))
+        steps = steps.withColumn("least", F.least("v", F.sum("c").over(down)))
+        new = cut(steps.groupBy("id", "own").agg(F.max("least").alias("value")))
+        x = new.select("id", "value")
+        if new.where("value <> own").isEmpty():
+            break
+    return g.nodes.select("id", "ord").join(x, "id", "left").select("id", "ord", F.coalesce("value", F.lit(0).cast("long")).cast("long").alias("value"))
 
 
 def k_core(g: Graph, k: int | None = None) -> Graph:
@@ -385,45 +424,47 @@ def k_core(g: Graph, k: int | None = None) -> Graph:
 
 
 def onion_layers(g: Graph) -> DataFrame:
+    """(id, ord, value): the round in which peeling removes a node; isolated nodes share the first with the first peel.
+
+    One state table holds the degrees that are left; a round only walks the edges of the nodes it removed.
+    """
     e = g.need(False).edges.where("src <> dst").select("src", "dst")
     e = cut(e.union(e.select(F.col("dst"), F.col("src"))))
-    left, k, layer, done = cut(g.nodes.select("id")), 0, 0, []
-    while not left.isEmpty():
-        d = cut(left.join(e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("d")))
-        k = max(k, d.agg(F.min("d")).first()[0])
-        layer += 1
-        gone = d.where(F.col("d") <= k).select("id")
-        done.append(gone.select("id", F.lit(layer).cast("long").alias("value")))
-        left = cut(left.join(gone, "id", "left_anti"))
-        e = cut(e.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
-        # isolated nodes share layer 1 with the first peel of the rest
-        if layer == 1 and k == 0:
-            layer = 0 if not left.isEmpty() else 1
-    out = done[0] if done else left.select("id", F.lit(0).cast("long").alias("value"))
-    for x in done[1:]:
-        out = out.union(x)
-    return g.nodes.select("id", "ord").join(out, "id")
+    d = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
+    zero = F.lit(0).cast("long")
+    state = cut(g.nodes.select("id", "ord").join(d, "id", "left").select("id", "ord", F.coalesce("d", zero).alias("d"), F.when(F.col("d").isNull(), F.lit(1).cast("long")).alias("value")))
+    k, layer = 0, 0
+    while (least := state.where("value is null").agg(F.min("d")).first()[0]) is not None:
+        k, layer = max(k, least), layer + 1
+        gone = state.where(F.col("value").isNull() & (F.col("d") <= k)).select(F.col("id").alias("src"))
+        lost = e.join(gone, "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("lost"))
+        out = F.when(F.col("value").isNull() & (F.col("d") <= k), F.lit(layer).cast("long")).otherwise(F.col("value"))
+        state = cut(state.join(lost, "id", "left").select("id", "ord", (F.col("d") - F.coalesce("lost", zero)).alias("d"), out.alias("value")))
+    return state.select("id", "ord", "value")
 
 
 # acyclic graphs
 
 
 def dag_levels(g: Graph) -> DataFrame:
-    """(id, ord, level): the longest path from a source, in edges; a cycle is an error."""
+    """(id, ord, level): the longest path from a source, in edges; a cycle is an error.
+
+    One state table holds the arcs that each node still waits for; a round only walks the arcs of the nodes it freed.
+    """
     e = cut(g.need(True).edges.select("src", "dst"))
-    left, level, done = cut(g.nodes.select("id", "ord")), 0, []
-    while not left.isEmpty():
-        free = cut(left.join(e.select(F.col("dst").alias("id")), "id", "left_anti"))
-        if free.isEmpty():
-            return g.to_dag() and free  # raises, with the cycle
-        done.append(free.withColumn("level", F.lit(level).cast("long")))
-        left = cut(left.join(free, "id", "left_anti"))
-        e = cut(e.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
-        level += 1
-    out = done[0] if done else left.withColumn("level", F.lit(0).cast("long"))
-    for x in done[1:]:
-        out = out.union(x)
-    return out
+    waits = e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("waits"))
+    level = lambda free, k: F.when(free, F.lit(k).cast("long"))
+    state = g.nodes.select("id", "ord").join(waits, "id", "left").select("id", "ord", F.coalesce("waits", F.lit(0).cast("long")).alias("waits"))
+    state = cut(state.withColumn("level", level(F.col("waits") == 0, 0)))
+    k = 0
+    while not state.where(F.col("level") == k).isEmpty():
+        gone = e.join(state.where(F.col("level") == k).select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("gone"))
+        k += 1
+        left = F.col("waits") - F.coalesce("gone", F.lit(0).cast("long"))
+        state = cut(state.join(gone, "id", "left").select("id", "ord", left.alias("waits"), F.coalesce("level", level(F.col("gone").isNotNull() & (left == 0), k)).alias("level")))
+    if not state.where("level is null").isEmpty():
+        g.to_dag()  # raises, with the cycle
+    return state.select("id", "ord", "level")
 
 
 def is_dag(g: Graph) -> bool:
@@ -441,31 +482,26 @@ def is_dag(g: Graph) -> bool:
 
 def topological_order(g: Graph) -> DataFrame:
     """(id, position) by level, then graph order."""
-    from pyspark.sql import Window
-
-    lv = dag_levels(g)
-    return lv.select("id", (F.row_number().over(Window.orderBy("level", "ord")) - 1).cast("long").alias("position"))
+    return numbered(dag_levels(g), "level", "ord").select("id", "position")
 
 
 def _best(g: Graph, node_value, arc_value, levels: DataFrame, forward: bool = True, floor: bool = True) -> DataFrame:
-    """Level by level, value = node_value + max over incoming arcs of (their tail's value + arc_value)."""
-    lv = cut(levels.select("id", "level").join(g.nodes.select("id", node_value.cast("double").alias("own")), "id"))
-    top = lv.agg(F.max("level")).first()[0]
-    if top is None:
-        return lv.select("id", F.col("own").alias("best"))
+    """Level by level, value = node_value + max over incoming arcs of (their tail's value + arc_value).
+
+    A level hands its values on once, along its own arcs, to running maxima in the state table.
+    """
+    state = levels.select("id", "level").join(g.nodes.select("id", node_value.cast("double").alias("own")), "id")
+    state = cut(state.withColumn("got", F.lit(None).cast("double")))
+    top = state.agg(F.max("level")).first()[0]
     a, b = ("src", "dst") if forward else ("dst", "src")
     e = cut(g.edges.select(F.col(a).alias("frm"), F.col(b).alias("to"), arc_value.cast("double").alias("w")))
-    best = None
-    for k in range(top + 1) if forward else range(top, -1, -1):
-        now = lv.where(F.col("level") == k)
-        if best is None:
-            new = now.select("id", F.col("own").alias("best"))
-        else:
-            got = best.withColumnRenamed("id", "frm").join(e, "frm").groupBy(F.col("to").alias("id")).agg(F.max(F.col("best") + F.col("w")).alias("got"))
-            gain = F.coalesce("got", F.lit(0.0))
-            new = now.join(got, "id", "left").select("id", (F.col("own") + (F.greatest(gain, F.lit(0.0)) if floor else gain)).alias("best"))
-        best = cut(new if best is None else best.union(new))
-    return best
+    gain = F.coalesce("got", F.lit(0.0))
+    best = F.col("own") + (F.greatest(gain, F.lit(0.0)) if floor else gain)
+    for k in [] if top is None else range(top) if forward else range(top, 0, -1):
+        now = state.where(F.col("level") == k).select(F.col("id").alias("frm"), best.alias("best"))
+        new = e.join(now, "frm").groupBy(F.col("to").alias("id")).agg(F.max(F.col("best") + F.col("w")).alias("new"))
+        state = cut(state.join(new, "id", "left").select("id", "level", "own", F.greatest("got", "new").alias("got")))
+    return state.select("id", best.alias("best"))
 
 
 def longest_path_lengths(g: Graph, weight: str | None = None) -> DataFrame:
@@ -522,20 +558,28 @@ def lowest_common_ancestors(g: Graph, a, b) -> DataFrame:
 
 
 def spanning_edges(g: Graph, weight: str | None = "w", maximum: bool = False) -> DataFrame:
-    """(src, dst, w) of a minimum (or maximum) spanning forest by Boruvka's rounds; ties by (src, dst)."""
+    """(src, dst, w) of a minimum (or maximum) spanning forest by Boruvka's rounds; ties by (src, dst).
+
+    A round contracts the parts that its own edges join; the edges left carry the parts' names, so they shrink.
+    """
     sign = -1 if maximum else 1
-    e = cut(g.need(False).edges.where("src <> dst").select("src", "dst", weight_of(weight).alias("w")).where("w is not null").withColumn("key", F.struct((F.col("w") * sign).alias("k"), "src", "dst")))
-    label, picked = cut(g.nodes.select("id", F.col("id").alias("c"))), None
-    while True:
-        j = e.join(label.select(F.col("id").alias("src"), F.col("c").alias("a")), "src").join(label.select(F.col("id").alias("dst"), F.col("c").alias("b")), "dst").where("a <> b")
-        best = j.select(F.explode(F.array("a", "b")).alias("c"), "key", "w").groupBy("c").agg(F.min_by("w", "key").alias("w"), F.min("key").alias("key"))
-        best = cut(best.select("key.src", "key.dst", "w").distinct())
-        if best.isEmpty():
-            break
-        picked = best if picked is None else cut(picked.union(best))
-        merged = picked.select("src", "dst")
-        label = cut(components(merged, g.nodes).withColumnRenamed("root", "c"))
-    return picked if picked is not None else e.select("src", "dst", "w").limit(0)
+    e = g.need(False).edges.where("src <> dst").select("src", "dst", weight_of(weight).alias("w")).where("w is not null")
+    e = cut(e.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w", F.struct((F.col("w") * sign).alias("k"), "src", "dst").alias("key")))
+    picked = e.select("key.src", "key.dst", "w").limit(0)
+    while not e.isEmpty():
+        best = e.select(F.explode(F.array("a", "b")).alias("c"), "a", "b", "key", "w").groupBy("c").agg(F.min(F.struct("key", "a", "b", "w")).alias("m"))
+        best = cut(best.select("m.*").distinct())
+        picked = cut(picked.union(best.select("key.src", "key.dst", "w")))
+        name = cut(components(best.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+        e = e.join(name.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(name.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
+        e = cut(e.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "w", "key"))
+    return picked
+
+
+def spanning_tree(g: Graph, weight: str | None = "w", maximum: bool = False) -> Graph:
+    """A minimum (or maximum) spanning forest as a graph of all nodes, with the edges' columns."""
+    kept = spanning_edges(g, weight, maximum).select("src", "dst")
+    return Graph(g.nodes, g.edges.join(kept, ["src", "dst"], "left_semi").select(*g.edges.columns), False)
 
 
 def maximal_matching(g: Graph) -> DataFrame:
@@ -580,19 +624,27 @@ def greedy_color(g: Graph, strategy: str = "largest_first") -> DataFrame:
     return color if color is not None else left.select("id", F.lit(0).alias("color"))
 
 
-def label_propagation(g: Graph, weight: str | None = None, max_iter: int = 30) -> DataFrame:
-    """(id, label) by synchronous rounds: the heaviest label among the neighbours, one's own if it ties, else the smallest."""
+def label_propagation(g: Graph, weight: str | None = None, max_iter: int = 100) -> DataFrame:
+    """(id, label) by synchronous rounds: the heaviest label among the neighbours, one's own if it ties, else the smallest.
+
+    Labels are ids, of any type. Rounds that don't settle are a ConvergenceError.
+    """
     a = cut(g.arcs(weight).where("src <> dst"))
     x = cut(g.nodes.select("id", F.col("id").alias("label")))
     for _ in range(max_iter):
         votes = a.join(x.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("w").alias("s"))
-        own = x.select("id", F.col("label").alias("own"))
-        best = votes.join(own, "id").groupBy("id").agg(F.max_by("label", F.struct("s", (F.col("label") == F.col("own")).cast("int"), -F.col("label"))).alias("new"))
-        j = cut(x.join(best, "id", "left").select("id", F.coalesce("new", "label").alias("label"), (F.col("new") != F.col("label")).alias("moved")))
+        j = cut(_heaviest(votes, x, "label").withColumn("moved", F.col("new") != F.col("old")))
+        x = j.select("id", F.col("new").alias("label"))
         if j.where("moved").isEmpty():
-            return j.select("id", "label")
-        x = j.select("id", "label")
-    return x
+            return x
+    raise ConvergenceError(f"labels still change after {max_iter} rounds")
+
+
+def _heaviest(votes: DataFrame, x: DataFrame, what: str) -> DataFrame:
+    """(id, old, new): the value with the most votes(id, what, s), one's own if it ties, else the smallest."""
+    own = x.select("id", F.col(what).alias("old"))
+    best = votes.join(own, "id").groupBy("id").agg(F.min(F.struct((-F.col("s")).alias("s"), (F.col(what) != F.col("old")).alias("other"), F.col(what).alias("new"))).alias("best"))
+    return own.join(best, "id", "left").select("id", "old", F.coalesce("best.new", "old").alias("new"))
 
 
 # dynamics in steps
@@ -622,19 +674,26 @@ def degroot(g: Graph, initial: DataFrame, steps: int, weight: str | None = None,
     return _iterate(initial.select("id", "value"), step, None, steps)
 
 
-def linear_threshold(g: Graph, seeds: DataFrame, thresholds: DataFrame, weight: str | None = None, max_steps: int = 100) -> DataFrame:
-    """(id, step): when nodes become active, by thresholds(id, theta) on the active share of their in-weight."""
+def linear_threshold(g: Graph, seeds: DataFrame, thresholds: DataFrame, weight: str | None = None, max_steps: int | None = None) -> DataFrame:
+    """(id, step): when nodes become active, by thresholds(id, theta) on the active share of their in-weight.
+
+    Until nothing more becomes active, or for max_steps steps. Shares of newly active nodes are added to running sums.
+    """
     a = g.arcs(weight).where("src <> dst")
     total = a.groupBy("dst").agg(F.sum("w").alias("s"))
     a = cut(a.join(total, "dst").select("src", "dst", (F.col("w") / F.col("s")).alias("w")))
-    active = cut(seeds.select("id", F.lit(0).cast("long").alias("step")))
-    for k in range(1, max_steps + 1):
-        got = a.join(active.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("got"))
-        new = cut(got.join(thresholds, "id").where("got >= theta * (1 - 1e-12)").select("id").join(active, "id", "left_anti").select("id", F.lit(k).cast("long").alias("step")))
-        if new.isEmpty():
+    state = seeds.select("id", F.lit(0).cast("long").alias("step"))
+    state = cut(thresholds.select("id", "theta").join(state, "id", "full").select("id", "theta", "step", F.lit(0.0).alias("got")))
+    k = 0
+    while max_steps is None or k < max_steps:
+        k += 1
+        gain = a.join(state.where(F.col("step") == k - 1).select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("gain"))
+        got = F.col("got") + F.coalesce("gain", F.lit(0.0))
+        now = F.col("step").isNull() & (F.col("gain") > 0) & (got >= F.col("theta") * (1 - 1e-12))
+        state = cut(state.join(gain, "id", "left").select("id", "theta", F.when(now, F.lit(k).cast("long")).otherwise(F.col("step")).alias("step"), got.alias("got")))
+        if state.where(F.col("step") == k).isEmpty():
             break
-        active = cut(active.union(new))
-    return active
+    return state.where("step is not null").select("id", "step")
 
 
 def majority_rule(g: Graph, initial: DataFrame, steps: int, weight: str | None = None) -> DataFrame:
@@ -643,8 +702,7 @@ def majority_rule(g: Graph, initial: DataFrame, steps: int, weight: str | None =
     x = cut(initial.select("id", "state"))
     for _ in range(steps):
         votes = a.join(x.select(F.col("id").alias("src"), "state"), "src").groupBy(F.col("dst").alias("id"), "state").agg(F.sum("w").alias("s"))
-        best = votes.join(x.select("id", F.col("state").alias("own")), "id").groupBy("id").agg(F.max_by("state", F.struct("s", (F.col("state") == F.col("own")).cast("int"), -F.col("state"))).alias("new"))
-        x = cut(x.join(best, "id", "left").select("id", F.coalesce("new", "state").alias("state")))
+        x = cut(_heaviest(votes, x, "state").select("id", F.col("new").alias("state")))
     return x
 
 

@@ -18,8 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 _MAKE = {
-    "ps": derived.part_supplier, "cs": derived.customer_supplier, "ss": derived.supplier_pairs, "sk": derived.supplier_backbone,
-    "pd": derived.part_pairs, "dag": derived.part_dag, "ut": derived.user_handover,
+    "ps": derived.part_supplier, "cs": derived.customer_supplier, "ss": derived.supplier_pairs, "co": derived.customer_succession,
+    "pd": derived.part_pairs, "dag": derived.supply_chain, "ut": derived.user_handover, "uu": derived.user_contacts,
 }
 
 
@@ -102,19 +102,19 @@ def _relabel(g: Graph):
 
 
 # triangles and clustering
-TRI = ", t AS (SELECT a.src AS x, a.dst AS y, b.dst AS z, a.w AS w1, b.w AS w2, c.w AS w3 FROM sk_e a JOIN sk_e b ON a.dst = b.src JOIN sk_e c ON c.src = a.src AND c.dst = b.dst), tn AS (SELECT id, count(*) AS t, sum(g) AS g FROM (SELECT unnest([x, y, z]) AS id, cbrt(w1 / top * (w2 / top) * (w3 / top)) AS g FROM t, (SELECT CAST(max(w) AS DOUBLE) AS top FROM sk_e)) GROUP BY id), dg AS (SELECT src AS id, count(*) AS d FROM sk_a GROUP BY src), cl AS (SELECT n.id, coalesce(tn.t, 0) AS t, coalesce(d, 0) AS d, coalesce(g, 0) AS g FROM sk_n n LEFT JOIN tn USING (id) LEFT JOIN dg USING (id))"
-query("triangles", "sk", TRI + " SELECT id, t AS value FROM cl")(lambda g: local.triangles(g).select("id", "value"))
-query("clustering", "sk", TRI + " SELECT id, round(CASE WHEN d > 1 THEN 2.0 * t / (d * (d - 1)) ELSE 0 END, 6) AS value FROM cl")(lambda g: local.clustering(g).select("id", "value"))
-query("clustering_weighted", "sk", TRI + " SELECT id, round(CASE WHEN d > 1 THEN 2.0 * g / (d * (d - 1)) ELSE 0 END, 6) AS value FROM cl")(lambda g: local.clustering(g, "w").select("id", "value"))
-query("average_clustering", "sk", TRI + " SELECT round(avg(CASE WHEN d > 1 THEN 2.0 * t / (d * (d - 1)) ELSE 0 END), 6) AS value FROM cl")(local.average_clustering)
-query("transitivity", "sk", TRI + " SELECT round(2.0 * sum(t) / sum(d * (d - 1)), 6) AS value FROM cl")(local.transitivity)
-query("square_clustering", "sk", """, sn AS (SELECT a.src AS v, b.dst AS x, count(*) AS p FROM sk_a a JOIN sk_a b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY 1, 2),
-dg AS (SELECT src AS id, count(*) AS d FROM sk_a GROUP BY src),
-pr AS (SELECT a.src AS v, a.dst AS u, b.dst AS w FROM sk_a a JOIN sk_a b ON a.src = b.src AND a.dst < b.dst),
+TRI = ", t AS (SELECT a.src AS x, a.dst AS y, b.dst AS z, a.w AS w1, b.w AS w2, c.w AS w3 FROM co_e a JOIN co_e b ON a.dst = b.src JOIN co_e c ON c.src = a.src AND c.dst = b.dst), tn AS (SELECT id, count(*) AS t, sum(g) AS g FROM (SELECT unnest([x, y, z]) AS id, cbrt(w1 / top * (w2 / top) * (w3 / top)) AS g FROM t, (SELECT CAST(max(w) AS DOUBLE) AS top FROM co_e)) GROUP BY id), dg AS (SELECT src AS id, count(*) AS d FROM co_a GROUP BY src), cl AS (SELECT n.id, coalesce(tn.t, 0) AS t, coalesce(d, 0) AS d, coalesce(g, 0) AS g FROM co_n n LEFT JOIN tn USING (id) LEFT JOIN dg USING (id))"
+query("triangles", "co", TRI + " SELECT id, t AS value FROM cl")(lambda g: local.triangles(g).select("id", "value"))
+query("clustering", "co", TRI + " SELECT id, round(CASE WHEN d > 1 THEN 2.0 * t / (d * (d - 1)) ELSE 0 END, 6) AS value FROM cl")(lambda g: local.clustering(g).select("id", "value"))
+query("clustering_weighted", "co", TRI + " SELECT id, round(CASE WHEN d > 1 THEN 2.0 * g / (d * (d - 1)) ELSE 0 END, 6) AS value FROM cl")(lambda g: local.clustering(g, "w").select("id", "value"))
+query("average_clustering", "co", TRI + " SELECT round(avg(CASE WHEN d > 1 THEN 2.0 * t / (d * (d - 1)) ELSE 0 END), 6) AS value FROM cl")(local.average_clustering)
+query("transitivity", "co", TRI + " SELECT round(2.0 * sum(t) / sum(d * (d - 1)), 6) AS value FROM cl")(local.transitivity)
+query("square_clustering", "co", """, sn AS (SELECT a.src AS v, b.dst AS x, count(*) AS p FROM co_a a JOIN co_a b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY 1, 2),
+dg AS (SELECT src AS id, count(*) AS d FROM co_a GROUP BY src),
+pr AS (SELECT a.src AS v, a.dst AS u, b.dst AS w FROM co_a a JOIN co_a b ON a.src = b.src AND a.dst < b.dst),
 q AS (SELECT pr.v, pr.u, pr.w, (SELECT p - 1 FROM sn WHERE sn.v = pr.u AND sn.x = pr.w) AS s,
-  CASE WHEN EXISTS (SELECT 1 FROM sk_a z WHERE z.src = pr.u AND z.dst = pr.w) THEN 1 ELSE 0 END AS theta FROM pr),
+  CASE WHEN EXISTS (SELECT 1 FROM co_a z WHERE z.src = pr.u AND z.dst = pr.w) THEN 1 ELSE 0 END AS theta FROM pr),
 z AS (SELECT q.v AS id, sum(s) AS s, sum((du.d - 1 - s - theta) + (dw.d - 1 - s - theta) + s) AS pot FROM q JOIN dg du ON du.id = q.u JOIN dg dw ON dw.id = q.w GROUP BY q.v)
-SELECT n.id, round(CASE WHEN pot > 0 THEN s / CAST(pot AS DOUBLE) ELSE 0 END, 6) AS value FROM sk_n n LEFT JOIN z ON z.id = n.id""")(lambda g: local.square_clustering(g).select("id", "value"))
+SELECT n.id, round(CASE WHEN pot > 0 THEN s / CAST(pot AS DOUBLE) ELSE 0 END, 6) AS value FROM co_n n LEFT JOIN z ON z.id = n.id""")(lambda g: local.square_clustering(g).select("id", "value"))
 query("clustering_directed", "ut", """, s AS (SELECT src, dst, count(*) AS m FROM (SELECT src, dst FROM ut_e WHERE src <> dst UNION ALL SELECT dst, src FROM ut_e WHERE src <> dst) GROUP BY 1, 2),
 k AS (SELECT src AS id, sum(m) AS dt, sum(CASE WHEN m = 2 THEN 1 ELSE 0 END) AS db FROM s GROUP BY src),
 t AS (SELECT a.src AS id, sum(a.m * b.m * c.m) AS t FROM s a JOIN s b ON b.src = a.dst JOIN s c ON c.src = b.dst AND c.dst = a.src GROUP BY 1)
@@ -124,37 +124,37 @@ FROM ut_n n LEFT JOIN k USING (id) LEFT JOIN t USING (id)""")(lambda g: local.cl
 # mixing
 query("degree_assortativity", "ps", PS_DEG + " SELECT round(corr(x.value, y.value), 6) AS value FROM ps_a a JOIN d x ON x.id = a.src JOIN d y ON y.id = a.dst")(local.degree_assortativity)
 query("numeric_assortativity", "dag", "SELECT round(corr(x.duration, y.duration), 6) AS value FROM dag_e e JOIN dag_n x ON x.id = e.src JOIN dag_n y ON y.id = e.dst")(lambda g: local.numeric_assortativity(g, "duration"))
-query("attribute_assortativity", "sk", """, m AS (SELECT x.s_nationkey AS a, y.s_nationkey AS b, CAST(count(*) AS DOUBLE) AS c FROM sk_a e JOIN supplier x ON x.s_suppkey = e.src JOIN supplier y ON y.s_suppkey = e.dst GROUP BY 1, 2),
+query("attribute_assortativity", "co", """, m AS (SELECT x.c_nationkey AS a, y.c_nationkey AS b, CAST(count(*) AS DOUBLE) AS c FROM co_a e JOIN customer x ON x.c_custkey = e.src JOIN customer y ON y.c_custkey = e.dst GROUP BY 1, 2),
 q AS (SELECT sum(r.s * k.s) / ((SELECT sum(c) FROM m) ** 2) AS q FROM (SELECT a AS v, sum(c) AS s FROM m GROUP BY 1) r JOIN (SELECT b AS v, sum(c) AS s FROM m GROUP BY 1) k ON r.v = k.v)
-SELECT round(((SELECT sum(c) FROM m WHERE a = b) / (SELECT sum(c) FROM m) - q) / (1 - q), 6) AS value FROM q""")(lambda g: local.attribute_assortativity(g, "s_nationkey"))
-query("mixing_matrix", "sk", "SELECT CAST(x.s_nationkey AS BIGINT) AS a, CAST(y.s_nationkey AS BIGINT) AS b, count(*) AS count FROM sk_a e JOIN supplier x ON x.s_suppkey = e.src JOIN supplier y ON y.s_suppkey = e.dst GROUP BY 1, 2")(lambda g: local.mixing_matrix(g, "s_nationkey"))
-query("rich_club", "sk", """, dg AS (SELECT n.id, count(a.src) AS d FROM sk_n n LEFT JOIN sk_a a ON a.src = n.id GROUP BY n.id), r AS (SELECT unnest(range(0, (SELECT max(d) + 1 FROM dg))) AS k),
-v AS (SELECT k, (SELECT count(*) FROM dg WHERE d > k) AS n, (SELECT count(*) FROM sk_e e JOIN dg x ON x.id = e.src JOIN dg y ON y.id = e.dst WHERE least(x.d, y.d) > k) AS m FROM r)
+SELECT round(((SELECT sum(c) FROM m WHERE a = b) / (SELECT sum(c) FROM m) - q) / (1 - q), 6) AS value FROM q""")(lambda g: local.attribute_assortativity(g, "c_nationkey"))
+query("mixing_matrix", "co", "SELECT CAST(x.c_nationkey AS BIGINT) AS a, CAST(y.c_nationkey AS BIGINT) AS b, count(*) AS count FROM co_a e JOIN customer x ON x.c_custkey = e.src JOIN customer y ON y.c_custkey = e.dst GROUP BY 1, 2")(lambda g: local.mixing_matrix(g, "c_nationkey"))
+query("rich_club", "co", """, dg AS (SELECT n.id, count(a.src) AS d FROM co_n n LEFT JOIN co_a a ON a.src = n.id GROUP BY n.id), r AS (SELECT unnest(range(0, (SELECT max(d) + 1 FROM dg))) AS k),
+v AS (SELECT k, (SELECT count(*) FROM dg WHERE d > k) AS n, (SELECT count(*) FROM co_e e JOIN dg x ON x.id = e.src JOIN dg y ON y.id = e.dst WHERE least(x.d, y.d) > k) AS m FROM r)
 SELECT k AS degree, round(2.0 * m / (n * (n - 1)), 6) AS value FROM v WHERE n > 1""")(local.rich_club)
 
 # link prediction
-HOP = ", h AS (SELECT a.dst AS u, b.dst AS v, a.src AS w FROM sk_a a JOIN sk_a b ON a.src = b.src AND a.dst < b.dst WHERE NOT EXISTS (SELECT 1 FROM sk_e e WHERE e.src = a.dst AND e.dst = b.dst)), dg AS (SELECT src AS id, count(*) AS d FROM sk_a GROUP BY src)"
-query("link_common_neighbors", "sk", HOP + " SELECT u, v, count(*) AS value FROM h GROUP BY 1, 2")(local.common_neighbor_counts)
-query("link_jaccard", "sk", HOP + ", c AS (SELECT u, v, count(*) AS k FROM h GROUP BY 1, 2) SELECT u, v, round(k / CAST(x.d + y.d - k AS DOUBLE), 6) AS value FROM c JOIN dg x ON x.id = u JOIN dg y ON y.id = v")(local.jaccard)
-query("link_adamic_adar", "sk", HOP + " SELECT u, v, round(sum(1 / ln(d)), 6) AS value FROM h JOIN dg ON dg.id = w GROUP BY 1, 2")(local.adamic_adar)
-query("link_resource_allocation", "sk", HOP + " SELECT u, v, round(sum(1.0 / d), 6) AS value FROM h JOIN dg ON dg.id = w GROUP BY 1, 2")(local.resource_allocation)
-query("link_preferential_attachment", "sk", HOP + " SELECT u, v, x.d * y.d AS value FROM (SELECT DISTINCT u, v FROM h) JOIN dg x ON x.id = u JOIN dg y ON y.id = v")(lambda g: local.preferential_attachment(g, local.common_neighbor_counts(g).select("u", "v")))
-query("predict_links", "sk", HOP + ", s AS (SELECT u, v, sum(1.0 / d) AS value FROM h JOIN dg ON dg.id = w GROUP BY 1, 2) SELECT u, v, round(value, 6) AS value FROM s ORDER BY round(value, 9) DESC, u, v LIMIT 10")(
-    lambda g: local.resource_allocation(g).orderBy(F.desc(F.round("value", 9)), "u", "v").limit(10)
+HOP = ", h AS (SELECT a.dst AS u, b.dst AS v, a.src AS w FROM co_a a JOIN co_a b ON a.src = b.src AND a.dst < b.dst WHERE NOT EXISTS (SELECT 1 FROM co_e e WHERE e.src = a.dst AND e.dst = b.dst)), dg AS (SELECT src AS id, count(*) AS d FROM co_a GROUP BY src)"
+query("link_common_neighbors", "co", HOP + " SELECT u, v, count(*) AS value FROM h GROUP BY 1, 2")(local.common_neighbor_counts)
+query("link_jaccard", "co", HOP + ", c AS (SELECT u, v, count(*) AS k FROM h GROUP BY 1, 2) SELECT u, v, round(k / CAST(x.d + y.d - k AS DOUBLE), 6) AS value FROM c JOIN dg x ON x.id = u JOIN dg y ON y.id = v")(local.jaccard)
+query("link_adamic_adar", "co", HOP + " SELECT u, v, round(sum(1 / ln(d)), 6) AS value FROM h JOIN dg ON dg.id = w GROUP BY 1, 2")(local.adamic_adar)
+query("link_resource_allocation", "co", HOP + " SELECT u, v, round(sum(1.0 / d), 6) AS value FROM h JOIN dg ON dg.id = w GROUP BY 1, 2")(local.resource_allocation)
+query("link_preferential_attachment", "co", HOP + " SELECT u, v, x.d * y.d AS value FROM (SELECT DISTINCT u, v FROM h) JOIN dg x ON x.id = u JOIN dg y ON y.id = v")(lambda g: local.preferential_attachment(g, local.common_neighbor_counts(g).select("u", "v")))
+query("predict_links", "co", HOP + ", s AS (SELECT u, v, sum(1.0 / d) AS value FROM h JOIN dg ON dg.id = w GROUP BY 1, 2) SELECT u, v, round(value, 6) AS value FROM s ORDER BY round(value, 9) DESC, u, v LIMIT 10")(
+    lambda g: local.predict_links(g, "resource_allocation", 10)
 )
 
 # partitions, metrics
-LAB = ", l AS (SELECT e.w, x.s_nationkey AS a, y.s_nationkey AS b FROM sk_e e JOIN supplier x ON x.s_suppkey = e.src JOIN supplier y ON y.s_suppkey = e.dst)"
+LAB = ", l AS (SELECT e.w, x.c_nationkey AS a, y.c_nationkey AS b FROM co_e e JOIN customer x ON x.c_custkey = e.src JOIN customer y ON y.c_custkey = e.dst)"
 
 
 def _nations(g: Graph) -> DataFrame:
-    return g.nodes.select("id", F.col("s_nationkey").alias("label"))
+    return g.nodes.select("id", F.col("c_nationkey").alias("label"))
 
 
-query("modularity", "sk", LAB + ", k AS (SELECT v, CAST(sum(w) AS DOUBLE) AS k FROM (SELECT a AS v, w FROM l UNION ALL SELECT b, w FROM l) GROUP BY v), m AS (SELECT CAST(sum(w) AS DOUBLE) AS m FROM l) SELECT round((SELECT sum(w) FROM l WHERE a = b) / m - (SELECT sum(k * k) FROM k) / (4 * m * m), 6) AS value FROM m")(lambda g: local.modularity(g, _nations(g)))
-query("partition_quality", "sk", LAB + """, c AS (SELECT count(*) FILTER (a = b) AS inside, count(*) AS m FROM l), n AS (SELECT sum(k) AS n, sum(k * (k - 1) / 2) AS within FROM (SELECT count(*) AS k FROM supplier GROUP BY s_nationkey))
+query("modularity", "co", LAB + ", k AS (SELECT v, CAST(sum(w) AS DOUBLE) AS k FROM (SELECT a AS v, w FROM l UNION ALL SELECT b, w FROM l) GROUP BY v), m AS (SELECT CAST(sum(w) AS DOUBLE) AS m FROM l) SELECT round((SELECT sum(w) FROM l WHERE a = b) / m - (SELECT sum(k * k) FROM k) / (4 * m * m), 6) AS value FROM m")(lambda g: local.modularity(g, _nations(g)))
+query("partition_quality", "co", LAB + """, c AS (SELECT count(*) FILTER (a = b) AS inside, count(*) AS m FROM l), n AS (SELECT sum(k) AS n, sum(k * (k - 1) / 2) AS within FROM (SELECT count(*) AS k FROM customer GROUP BY c_nationkey))
 SELECT round(inside / CAST(m AS DOUBLE), 6) AS coverage, round(CAST(inside + n * (n - 1) / 2 - within - (m - inside) AS DOUBLE) / CAST(n * (n - 1) / 2 AS DOUBLE), 6) AS performance FROM c, n""")(lambda g: local.partition_quality(g, _nations(g)))
-query("community_labels", "sk", "SELECT s_suppkey AS id, n AS label FROM supplier JOIN (SELECT s_nationkey, row_number() OVER (ORDER BY count(*) DESC, min(s_suppkey)) - 1 AS n FROM supplier GROUP BY s_nationkey) USING (s_nationkey)")(lambda g: local.community_labels(_nations(g)))
+query("community_labels", "co", "SELECT c_custkey AS id, n AS label FROM customer JOIN (SELECT c_nationkey, row_number() OVER (ORDER BY count(*) DESC, min(c_custkey)) - 1 AS n FROM customer GROUP BY c_nationkey) USING (c_nationkey)")(lambda g: local.community_labels(_nations(g)))
 query("metric_rank", "ps", PS_DEG + " SELECT id, value, dense_rank() OVER (ORDER BY value DESC) AS rank FROM d")(lambda g: metrics.rank(g.degree()).select("id", "value", "rank"))
 query("metric_describe", "ps", PS_DEG + " SELECT count(*) AS count, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(CAST(min(value) AS DOUBLE), 6) AS min, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, round(CAST(max(value) AS DOUBLE), 6) AS max FROM d")(lambda g: metrics.describe(g.degree()))
 _NORM = {"max": "value / max(abs(value)) OVER ()", "sum": "value / sum(value) OVER ()", "minmax": "(value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ())", "zscore": "(value - avg(value) OVER ()) / stddev_pop(value) OVER ()"}
@@ -173,13 +173,13 @@ def _fold(spark, sf_dir):
 
 
 # matrices
-query("adjacency_coo", "sk", "SELECT src AS i, dst AS j, CAST(w AS DOUBLE) AS value FROM sk_a")(local.adjacency_coo)
-DV = ", dv AS (SELECT src AS id, CAST(sum(w) AS DOUBLE) AS d FROM sk_a GROUP BY src)"
-query("laplacian_coo", "sk", DV + " SELECT id AS i, id AS j, d AS value FROM dv UNION ALL SELECT src, dst, -CAST(w AS DOUBLE) FROM sk_a")(lambda g: local.laplacian_coo(g, "w"))
-query("normalized_laplacian_coo", "sk", DV + " SELECT id AS i, id AS j, 1.0::DOUBLE AS value FROM dv UNION ALL SELECT src, dst, round(-w / sqrt(x.d * y.d), 6) FROM sk_a JOIN dv x ON x.id = src JOIN dv y ON y.id = dst")(lambda g: local.laplacian_coo(g, "w", normalized=True))
-query("incidence_coo", "sk", "SELECT src AS node, src, dst, -1.0::DOUBLE AS value FROM sk_e UNION ALL SELECT dst, src, dst, 1.0::DOUBLE FROM sk_e")(lambda g: local.incidence_coo(g, oriented=True))
-query("transition_coo", "sk", DV + " SELECT src AS i, dst AS j, round(w / d, 6) AS value FROM sk_a JOIN dv ON dv.id = src")(lambda g: local.transition_coo(g, "w"))
-query("degree_vector", "sk", DV + " SELECT n.id, coalesce(d, 0) AS value FROM sk_n n LEFT JOIN dv ON dv.id = n.id")(lambda g: local.degree_vector(g, "w").select("id", "value"))
+query("adjacency_coo", "co", "SELECT src AS i, dst AS j, CAST(w AS DOUBLE) AS value FROM co_a")(local.adjacency_coo)
+DV = ", dv AS (SELECT src AS id, CAST(sum(w) AS DOUBLE) AS d FROM co_a GROUP BY src)"
+query("laplacian_coo", "co", DV + " SELECT id AS i, id AS j, d AS value FROM dv UNION ALL SELECT src, dst, -CAST(w AS DOUBLE) FROM co_a")(lambda g: local.laplacian_coo(g, "w"))
+query("normalized_laplacian_coo", "co", DV + " SELECT id AS i, id AS j, 1.0::DOUBLE AS value FROM dv UNION ALL SELECT src, dst, round(-w / sqrt(x.d * y.d), 6) FROM co_a JOIN dv x ON x.id = src JOIN dv y ON y.id = dst")(lambda g: local.laplacian_coo(g, "w", normalized=True))
+query("incidence_coo", "co", "SELECT src AS node, src, dst, -1.0::DOUBLE AS value FROM co_e UNION ALL SELECT dst, src, dst, 1.0::DOUBLE FROM co_e")(lambda g: local.incidence_coo(g, oriented=True))
+query("transition_coo", "co", DV + " SELECT src AS i, dst AS j, round(w / d, 6) AS value FROM co_a JOIN dv ON dv.id = src")(lambda g: local.transition_coo(g, "w"))
+query("degree_vector", "co", DV + " SELECT n.id, coalesce(d, 0) AS value FROM co_n n LEFT JOIN dv ON dv.id = n.id")(lambda g: local.degree_vector(g, "w").select("id", "value"))
 
 
 # traversal and components
@@ -196,22 +196,22 @@ query("bfs_tree", "ut", BFS.format(g="ut", a="ut_e") + " SELECT min(p.id) AS src
 query("descendants", "dag", ", r AS (SELECT 1 AS id UNION SELECT e.dst FROM r JOIN dag_e e ON e.src = r.id) SELECT CAST(id AS BIGINT) AS id FROM r WHERE id <> 1")(lambda g: iterate.descendants(g, 1))
 query("ancestors", "dag", ", r AS (SELECT max(id) AS id FROM dag_n UNION SELECT e.src FROM r JOIN dag_e e ON e.dst = r.id) SELECT id FROM r WHERE id <> (SELECT max(id) FROM dag_n)")(lambda g: iterate.ancestors(g, g.nodes.agg(F.max("id")).first()[0]))
 CC = ", r AS (SELECT id AS src, id AS dst FROM {g}_n UNION SELECT r.src, a.dst FROM r JOIN {a} a ON a.src = r.dst), c AS (SELECT src AS id, min(dst) AS root FROM r GROUP BY src)"
-query("weak_components", "sk", CC.format(g="sk", a="sk_a") + " SELECT id, root FROM c")(iterate.weak_components)
-query("component_sizes", "sk", CC.format(g="sk", a="sk_a") + " SELECT root, count(*) AS size FROM c GROUP BY root")(iterate.connected_components)
+query("weak_components", "co", CC.format(g="co", a="co_a") + " SELECT id, root FROM c")(iterate.weak_components)
+query("component_sizes", "co", CC.format(g="co", a="co_a") + " SELECT root, count(*) AS size FROM c GROUP BY root")(iterate.connected_components)
 query("strong_components", "ut", ", r AS (SELECT id AS src, id AS dst FROM ut_n UNION SELECT r.src, e.dst FROM r JOIN ut_e e ON e.src = r.dst) SELECT a.src AS id, min(a.dst) AS root FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src")(iterate.strong_components)
 query("bipartite_sets", "ps", "SELECT id, CAST(id >= 1000000 AS BIGINT) AS side FROM ps_n")(iterate.bipartite_sets)
 
 # shortest paths
-SP = ", sp AS (SELECT min(id) AS id, 0::DOUBLE AS d, 0 AS k FROM sk_n UNION SELECT id, min(d), k FROM (SELECT a.dst AS id, sp.d + a.w AS d, sp.k + 1 AS k FROM sp JOIN sk_a a ON a.src = sp.id WHERE sp.k < 14) GROUP BY id, k), r AS (SELECT id, min(d) AS dist FROM sp GROUP BY id)"
-query("sssp", "sk", SP + " SELECT id, dist FROM r")(lambda g: iterate.sssp(g, _first(g), "w").select("id", "dist"))
+SP = ", sp AS (SELECT min(id) AS id, 0::DOUBLE AS d, 0 AS k FROM co_n UNION SELECT id, min(d), k FROM (SELECT a.dst AS id, sp.d + a.w AS d, sp.k + 1 AS k FROM sp JOIN co_a a ON a.src = sp.id WHERE sp.k < 60) GROUP BY id, k), r AS (SELECT id, min(d) AS dist FROM sp GROUP BY id)"
+query("sssp", "co", SP + " SELECT id, dist FROM r")(lambda g: iterate.sssp(g, _first(g), "w").select("id", "dist"))
 
 # iterations of a fixed number, unrolled by recursion
 N = "(SELECT count(*) FROM {g}_n)"
 query("pagerank", "ut", """, o AS (SELECT src, count(*) AS s FROM ut_e GROUP BY src), m AS (SELECT e.src, e.dst, 1.0 / o.s AS w FROM ut_e e JOIN o USING (src) UNION ALL SELECT n.id, z.id, 1.0 / (SELECT count(*) FROM ut_n) FROM ut_n n, ut_n z WHERE n.id NOT IN (SELECT src FROM o)),
 p AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM ut_n) AS value, 0 AS k FROM ut_n UNION ALL SELECT m.dst, 0.85 * sum(p.value * m.w) + 0.15 / (SELECT count(*) FROM ut_n), k + 1 FROM p JOIN (SELECT * FROM m UNION ALL SELECT id, id, 0 FROM ut_n) m ON m.src = p.id WHERE k < 10 GROUP BY m.dst, k)
 SELECT id, round(value, 6) AS value FROM p WHERE k = 10""")(lambda g: iterate.pagerank(g, max_iter=10, tol=None))
-query("katz", "sk", ", p AS (SELECT id, 0::DOUBLE AS value, 0 AS k FROM sk_n UNION ALL SELECT m.dst, 0.01 * sum(p.value * m.w) + 1, k + 1 FROM p JOIN (SELECT src, dst, 1 AS w FROM sk_a UNION ALL SELECT id, id, 0 FROM sk_n) m ON m.src = p.id WHERE k < 8 GROUP BY m.dst, k) SELECT id, round(value / sqrt(sum(value * value) OVER ()), 6) AS value FROM p WHERE k = 8")(lambda g: iterate.katz_centrality(g, alpha=0.01, max_iter=8, tol=None))
-query("eigenvector", "sk", ", p AS (SELECT id, 1::DOUBLE AS value, 0 AS k FROM sk_n UNION ALL SELECT m.dst, sum(p.value * m.w), k + 1 FROM p JOIN (SELECT src, dst, 1 AS w FROM sk_a UNION ALL SELECT id, id, 1 FROM sk_n) m ON m.src = p.id WHERE k < 12 GROUP BY m.dst, k) SELECT id, round(value / sqrt(sum(value * value) OVER ()), 6) AS value FROM p WHERE k = 12")(lambda g: iterate.eigenvector_centrality(g, max_iter=12, tol=None))
+query("katz", "co", ", p AS (SELECT id, 0::DOUBLE AS value, 0 AS k FROM co_n UNION ALL SELECT m.dst, 0.01 * sum(p.value * m.w) + 1, k + 1 FROM p JOIN (SELECT src, dst, 1 AS w FROM co_a UNION ALL SELECT id, id, 0 FROM co_n) m ON m.src = p.id WHERE k < 8 GROUP BY m.dst, k) SELECT id, round(value / sqrt(sum(value * value) OVER ()), 6) AS value FROM p WHERE k = 8")(lambda g: iterate.katz_centrality(g, alpha=0.01, max_iter=8, tol=None))
+query("eigenvector", "co", ", p AS (SELECT id, 1::DOUBLE AS value, 0 AS k FROM co_n UNION ALL SELECT m.dst, sum(p.value * m.w), k + 1 FROM p JOIN (SELECT src, dst, 1 AS w FROM co_a UNION ALL SELECT id, id, 1 FROM co_n) m ON m.src = p.id WHERE k < 12 GROUP BY m.dst, k) SELECT id, round(value / sqrt(sum(value * value) OVER ()), 6) AS value FROM p WHERE k = 12")(lambda g: iterate.eigenvector_centrality(g, max_iter=12, tol=None))
 query("hits", "ut", """, p AS (SELECT id, 1::DOUBLE AS value, 0 AS k FROM ut_n UNION ALL SELECT m.dst, sum(p.value * m.w), k + 1 FROM p JOIN (
   SELECT 1 AS up, src, dst, 1 AS w FROM ut_e UNION ALL SELECT 1, id, id, 0 FROM ut_n UNION ALL SELECT 0, dst, src, 1 FROM ut_e UNION ALL SELECT 0, id, id, 0 FROM ut_n) m ON m.src = p.id AND m.up = (p.k + 1) % 2 WHERE k < 16 GROUP BY m.dst, k)
 SELECT a.id, round(a.value / sum(a.value) OVER (), 6) AS hub, round(b.value / sum(b.value) OVER (), 6) AS authority FROM p a JOIN p b ON a.id = b.id AND a.k = 16 AND b.k = 15""")(lambda g: iterate.hits(g, max_iter=8, tol=None))
@@ -230,17 +230,17 @@ query("transitive_closure", "dag", TC + " SELECT src, dst FROM tc")(iterate.tran
 query("transitive_reduction", "dag", TC + " SELECT src, dst FROM dag_e e WHERE NOT EXISTS (SELECT 1 FROM dag_e x JOIN tc ON tc.src = x.dst WHERE x.src = e.src AND tc.dst = e.dst)")(iterate.transitive_reduction)
 
 # peeling, forests, matchings, dynamics: SQL checks their defining property or replays their steps
-query("mst_weight", "sk", None)(lambda g: iterate.spanning_edges(g, "w").agg(F.count("*").alias("edges"), F.sum("w").alias("weight")))
-query("maximum_spanning_weight", "sk", None)(lambda g: iterate.spanning_edges(g, "w", maximum=True).agg(F.count("*").alias("edges"), F.sum("w").alias("weight")))
-query("core_number", "sk", None)(lambda g: iterate.core_number(g).select("id", "value"))
-query("onion_layers", "sk", None)(lambda g: iterate.onion_layers(g).select("id", "value"))
-query("maximal_matching", "sk", None)(iterate.maximal_matching)
-query("greedy_color", "sk", None)(iterate.greedy_color)
-query("label_propagation", "sk", None)(lambda g: iterate.label_propagation(g, "w"))
-query("heat_steps", "sk", ", x AS (SELECT id, CASE WHEN id = (SELECT min(id) FROM sk_n) THEN 1.0::DOUBLE ELSE 0 END AS value, 0 AS k FROM sk_n UNION ALL SELECT m.dst, sum(x.value * m.w), k + 1 FROM x JOIN (SELECT src, dst, 0.01 AS w FROM sk_a UNION ALL SELECT n.id, n.id, 1 - 0.01 * (SELECT count(*) FROM sk_a WHERE src = n.id) FROM sk_n n) m ON m.src = x.id WHERE k < 6 GROUP BY m.dst, k) SELECT id, round(value, 6) AS value FROM x WHERE k = 6")(
+query("mst_weight", "co", None)(lambda g: iterate.spanning_edges(g, "w").agg(F.count("*").alias("edges"), F.sum("w").alias("weight")))
+query("maximum_spanning_weight", "co", None)(lambda g: iterate.spanning_edges(g, "w", maximum=True).agg(F.count("*").alias("edges"), F.sum("w").alias("weight")))
+query("core_number", "co", None)(lambda g: iterate.core_number(g).select("id", "value"))
+query("onion_layers", "co", None)(lambda g: iterate.onion_layers(g).select("id", "value"))
+query("maximal_matching", "co", None)(iterate.maximal_matching)
+query("greedy_color", "co", None)(iterate.greedy_color)
+query("label_propagation", "co", None)(lambda g: iterate.label_propagation(g, "w"))
+query("heat_steps", "co", ", x AS (SELECT id, CASE WHEN id = (SELECT min(id) FROM co_n) THEN 1.0::DOUBLE ELSE 0 END AS value, 0 AS k FROM co_n UNION ALL SELECT m.dst, sum(x.value * m.w), k + 1 FROM x JOIN (SELECT src, dst, 0.01 AS w FROM co_a UNION ALL SELECT n.id, n.id, 1 - 0.01 * (SELECT count(*) FROM co_a WHERE src = n.id) FROM co_n n) m ON m.src = x.id WHERE k < 6 GROUP BY m.dst, k) SELECT id, round(value, 6) AS value FROM x WHERE k = 6")(
     lambda g: iterate.heat_steps(g, g.nodes.crossJoin(_first(g).withColumnRenamed("id", "f")).select("id", (F.col("id") == F.col("f")).cast("double").alias("value")), 0.01, 6)
 )
-query("degroot_steps", "sk", ", x AS (SELECT id, CAST(id % 10 AS DOUBLE) AS value, 0 AS k FROM sk_n UNION ALL SELECT m.dst, sum(x.value * m.w) / sum(m.w), k + 1 FROM x JOIN (SELECT src, dst, 1::DOUBLE AS w FROM sk_a UNION ALL SELECT id, id, 1 FROM sk_n) m ON m.src = x.id WHERE k < 5 GROUP BY m.dst, k) SELECT id, round(value, 6) AS value FROM x WHERE k = 5")(
+query("degroot_steps", "co", ", x AS (SELECT id, CAST(id % 10 AS DOUBLE) AS value, 0 AS k FROM co_n UNION ALL SELECT m.dst, sum(x.value * m.w) / sum(m.w), k + 1 FROM x JOIN (SELECT src, dst, 1::DOUBLE AS w FROM co_a UNION ALL SELECT id, id, 1 FROM co_n) m ON m.src = x.id WHERE k < 5 GROUP BY m.dst, k) SELECT id, round(value, 6) AS value FROM x WHERE k = 5")(
     lambda g: iterate.degroot(g, g.nodes.select("id", (F.col("id") % 10).cast("double").alias("value")), 5)
 )
 
@@ -248,37 +248,39 @@ query("degroot_steps", "sk", ", x AS (SELECT id, CAST(id % 10 AS DOUBLE) AS valu
 from lattica.operators import kernels  # noqa: E402
 from lattica.plans import sources  # noqa: E402
 
-AP = ", ap AS (SELECT id AS s, id AS t, 0 AS d FROM sk_n UNION SELECT s, dst, d + 1 FROM ap JOIN sk_a ON t = src WHERE d < 9), p AS (SELECT s, t, min(d) AS d FROM ap GROUP BY 1, 2)"
-query("all_pairs", "sk", AP + " SELECT s AS src, t AS dst, CAST(d AS DOUBLE) AS dist FROM p")(sources.all_pairs)
-query("closeness", "sk", AP + " SELECT t AS id, round(CASE WHEN sum(d) > 0 THEN (count(*) - 1.0) / sum(d) * (count(*) - 1) / ((SELECT count(*) FROM sk_n) - 1) ELSE 0 END, 6) AS value FROM p GROUP BY t")(lambda g: sources.closeness_centrality(g).select("id", "value"))
-query("harmonic", "sk", AP + " SELECT t AS id, round(coalesce(sum(CASE WHEN d > 0 THEN 1.0 / d END), 0), 6) AS value FROM p GROUP BY t")(lambda g: sources.harmonic_centrality(g).select("id", "value"))
-query("wiener", "sk", AP + " SELECT CAST(sum(d) AS DOUBLE) / 2 AS value FROM p")(sources.wiener_index)
-query("average_path_length", "sk", AP + " SELECT round(sum(d) / CAST((SELECT count(*) * (count(*) - 1) FROM sk_n) AS DOUBLE), 6) AS value FROM p")(sources.average_shortest_path_length)
-query("global_efficiency", "sk", AP + " SELECT round(sum(CASE WHEN d > 0 THEN 1.0 / d END) / (SELECT count(*) * (count(*) - 1) FROM sk_n), 6) AS value FROM p")(sources.global_efficiency)
-query("eccentricity", "sk", AP + " SELECT s AS id, CAST(max(d) AS DOUBLE) AS value FROM p GROUP BY s")(lambda g: sources.eccentricity(g).select("id", "value"))
-query("center", "sk", AP + ", e AS (SELECT s AS id, max(d) AS value FROM p GROUP BY s) SELECT id, CAST(value AS DOUBLE) AS value FROM e WHERE value = (SELECT min(value) FROM e)")(lambda g: sources.center(g).select("id", "value"))
-query("periphery", "sk", AP + ", e AS (SELECT s AS id, max(d) AS value FROM p GROUP BY s) SELECT id, CAST(value AS DOUBLE) AS value FROM e WHERE value = (SELECT max(value) FROM e)")(lambda g: sources.periphery(g).select("id", "value"))
-BC = AP + """, sg AS (SELECT id AS s, id AS t, 0 AS d, 1::DOUBLE AS c FROM sk_n UNION ALL SELECT x.s, x.t, x.d, sum(x.c) FROM (SELECT g.s, a.dst AS t, g.d + 1 AS d, g.c FROM sg g JOIN sk_a a ON a.src = g.t WHERE g.d < 9) x JOIN p ON p.s = x.s AND p.t = x.t AND p.d = x.d GROUP BY 1, 2, 3),
+AP = ", ap AS (SELECT id AS s, id AS t, 0 AS d FROM uu_n UNION SELECT s, dst, d + 1 FROM ap JOIN uu_a ON t = src WHERE d < 9), p AS (SELECT s, t, min(d) AS d FROM ap GROUP BY 1, 2)"
+query("all_pairs", "uu", AP + " SELECT s AS src, t AS dst, CAST(d AS DOUBLE) AS dist FROM p")(sources.all_pairs)
+query("closeness", "uu", AP + " SELECT t AS id, round(CASE WHEN sum(d) > 0 THEN (count(*) - 1.0) / sum(d) * (count(*) - 1) / ((SELECT count(*) FROM uu_n) - 1) ELSE 0 END, 6) AS value FROM p GROUP BY t")(lambda g: sources.closeness_centrality(g).select("id", "value"))
+query("harmonic", "uu", AP + " SELECT t AS id, round(coalesce(sum(CASE WHEN d > 0 THEN 1.0 / d END), 0), 6) AS value FROM p GROUP BY t")(lambda g: sources.harmonic_centrality(g).select("id", "value"))
+query("wiener", "uu", AP + " SELECT CAST(sum(d) AS DOUBLE) / 2 AS value FROM p")(sources.wiener_index)
+query("average_path_length", "uu", AP + " SELECT round(sum(d) / CAST((SELECT count(*) * (count(*) - 1) FROM uu_n) AS DOUBLE), 6) AS value FROM p")(sources.average_shortest_path_length)
+query("global_efficiency", "uu", AP + " SELECT round(sum(CASE WHEN d > 0 THEN 1.0 / d END) / (SELECT count(*) * (count(*) - 1) FROM uu_n), 6) AS value FROM p")(sources.global_efficiency)
+query("eccentricity", "uu", AP + " SELECT s AS id, CAST(max(d) AS DOUBLE) AS value FROM p GROUP BY s")(lambda g: sources.eccentricity(g).select("id", "value"))
+query("center", "uu", AP + ", e AS (SELECT s AS id, max(d) AS value FROM p GROUP BY s) SELECT id, CAST(value AS DOUBLE) AS value FROM e WHERE value = (SELECT min(value) FROM e)")(lambda g: sources.center(g).select("id", "value"))
+query("periphery", "uu", AP + ", e AS (SELECT s AS id, max(d) AS value FROM p GROUP BY s) SELECT id, CAST(value AS DOUBLE) AS value FROM e WHERE value = (SELECT max(value) FROM e)")(lambda g: sources.periphery(g).select("id", "value"))
+BC = AP + """, sg AS (SELECT id AS s, id AS t, 0 AS d, 1::DOUBLE AS c FROM uu_n UNION ALL SELECT x.s, x.t, x.d, sum(x.c) FROM (SELECT g.s, a.dst AS t, g.d + 1 AS d, g.c FROM sg g JOIN uu_a a ON a.src = g.t WHERE g.d < 9) x JOIN p ON p.s = x.s AND p.t = x.t AND p.d = x.d GROUP BY 1, 2, 3),
 bw AS (SELECT a.t AS id, sum(a.c * b.c / z.c) AS v FROM sg a JOIN sg b ON b.s = a.t JOIN sg z ON z.s = a.s AND z.t = b.t AND z.d = a.d + b.d WHERE a.s <> a.t AND b.s <> b.t GROUP BY a.t)"""
-query("betweenness", "sk", BC + " SELECT n.id, round(coalesce(v, 0) / (SELECT (count(*) - 1.0) * (count(*) - 2) FROM sk_n), 6) AS value FROM sk_n n LEFT JOIN bw USING (id)")(lambda g: sources.betweenness_centrality(g).select("id", "value"))
-query("edge_betweenness", "sk", BC + ", eb AS (SELECT e.src, e.dst, sum(a.c * b.c / z.c) AS v FROM sk_e e JOIN sk_a q ON (q.src = e.src AND q.dst = e.dst) OR (q.src = e.dst AND q.dst = e.src) JOIN sg a ON a.t = q.src JOIN sg b ON b.s = q.dst JOIN sg z ON z.s = a.s AND z.t = b.t AND z.d = a.d + 1 + b.d GROUP BY 1, 2) SELECT src, dst, round(v / (SELECT count(*) * (count(*) - 1.0) FROM sk_n), 6) AS value FROM eb")(sources.edge_betweenness_centrality)
-query("local_efficiency", "sk", None)(sources.local_efficiency)
+query("betweenness", "uu", BC + " SELECT n.id, round(coalesce(v, 0) / (SELECT (count(*) - 1.0) * (count(*) - 2) FROM uu_n), 6) AS value FROM uu_n n LEFT JOIN bw USING (id)")(lambda g: sources.betweenness_centrality(g).select("id", "value"))
+query("edge_betweenness", "uu", BC + ", eb AS (SELECT e.src, e.dst, sum(a.c * b.c / z.c) AS v FROM uu_e e JOIN uu_a q ON (q.src = e.src AND q.dst = e.dst) OR (q.src = e.dst AND q.dst = e.src) JOIN sg a ON a.t = q.src JOIN sg b ON b.s = q.dst JOIN sg z ON z.s = a.s AND z.t = b.t AND z.d = a.d + 1 + b.d GROUP BY 1, 2) SELECT src, dst, round(v / (SELECT count(*) * (count(*) - 1.0) FROM uu_n), 6) AS value FROM eb")(sources.edge_betweenness_centrality)
+query("local_efficiency", "uu", None)(sources.local_efficiency)
 query("simple_paths", "dag", ", r AS (SELECT CAST(1 AS BIGINT) AS id, [CAST(1 AS BIGINT)] AS path UNION ALL SELECT e.dst, list_append(path, e.dst) FROM r JOIN dag_e e ON e.src = r.id WHERE len(path) <= 3) SELECT array_to_string(path, ',') AS path FROM r WHERE id = (SELECT max(dst) FROM dag_e WHERE src = 1)")(
     lambda g: iterate.simple_paths(g, 1, g.edges.where("src = 1").agg(F.max("dst")).first()[0], 3).select(F.array_join("path", ",").alias("path"))
 )
 
 # walks in sequence, one component a task
 query("dfs_orders", "ut", None)(kernels.dfs_orders)
-query("bridges", "sk", None)(kernels.bridges)
-query("articulation_points", "sk", None)(kernels.articulation_points)
-query("biconnected_sizes", "sk", None)(lambda g: kernels.biconnected_components(g).select(F.size("nodes").alias("size")).groupBy("size").agg(F.count("*").alias("count")))
+query("bridges", "co", None)(kernels.bridges)
+query("articulation_points", "co", None)(kernels.articulation_points)
+query("biconnected_sizes", "co", None)(lambda g: kernels.biconnected_components(g).select(F.size("nodes").alias("size")).groupBy("size").agg(F.count("*").alias("count")))
 query("hopcroft_karp_size", "ps", "SELECT least((SELECT count(DISTINCT src) FROM ps_e), (SELECT count(DISTINCT dst) FROM ps_e)) AS size")(lambda g: kernels.hopcroft_karp(g).agg(F.count("*").alias("size")))
-query("max_flow_value", "dag", None)(lambda g: kernels.maximum_flow(Graph(g.nodes, g.edges.withColumn("capacity", F.lit(1.0)), True), 1, g.edges.where("src = 1").agg(F.max("dst")).first()[0]).where("kind = 'value'").select("value"))
-query("dag_width", "dag", None)(kernels.dag_width)
-query("louvain", "sk", None)(kernels.louvain_communities)
-query("async_label_propagation", "sk", None)(kernels.async_label_propagation)
-query("greedy_modularity", "sk", None)(kernels.greedy_modularity_communities)
-query("laplacian_spectrum", "sk", None)(lambda g: kernels.spectrum(g, laplacian=True))
+query("max_flow_value", "dag", "SELECT CAST(count(*) AS DOUBLE) AS value FROM dag_e a JOIN dag_e b ON b.src = a.dst WHERE a.src = 1 AND b.dst = (SELECT max(dst) FROM dag_e)")(
+    lambda g: kernels.maximum_flow(Graph(g.nodes, g.edges.withColumn("capacity", F.lit(1.0)), True), 1, g.edges.agg(F.max("dst")).first()[0]).where("kind = 'value'").select("value")
+)
+query("dag_width", "dag", "SELECT count(*) AS width FROM part")(kernels.dag_width)
+query("louvain", "co", None)(kernels.louvain_communities)
+query("async_label_propagation", "co", None)(kernels.async_label_propagation)
+query("greedy_modularity", "co", None)(kernels.greedy_modularity_communities)
+query("laplacian_spectrum", "uu", None)(lambda g: kernels.spectrum(g, laplacian=True))
 
 # generated families
 from lattica.operators import simulate  # noqa: E402
@@ -310,12 +312,12 @@ query("generate_erdos_renyi", None, None)(lambda spark, _: gen.erdos_renyi(spark
 query("generate_random_geometric", None, None)(lambda spark, _: gen.random_geometric(spark, 300, 0.1, seed=1).edges.select("src", "dst"))
 
 # simulations
-query("sir_ensemble", "sk", None)(lambda g: simulate.ensemble(simulate.epidemic(g, "SIR", {"beta": 0.1, "gamma": 0.2}, [1], 20, runs=40)))
-query("influence_spread", "sk", None)(lambda g: simulate.influence_spread(g, [1, 2], runs=200))
-query("random_walk_visits", "sk", None)(lambda g: simulate.random_walks(g, 40, 200, restart=0.1))
-query("stationary_distribution", "sk", "SELECT src AS id, round(count(*) / CAST((SELECT count(*) FROM sk_a) AS DOUBLE), 6) AS value FROM sk_a GROUP BY src")(simulate.stationary_distribution)
-query("majority_steps", "sk", """, x AS (SELECT id, id % 2 AS state, 0 AS k FROM sk_n UNION ALL SELECT v.id, CASE WHEN max(v.a) > max(v.b) THEN 0 WHEN max(v.b) > max(v.a) THEN 1 ELSE max(v.own) END, v.k + 1 FROM (
+query("sir_ensemble", "co", None)(lambda g: simulate.ensemble(simulate.epidemic(g, "SIR", {"beta": 0.1, "gamma": 0.2}, [1], 20, runs=40)))
+query("influence_spread", "co", None)(lambda g: simulate.influence_spread(g, [1, 2], runs=200))
+query("random_walk_visits", "co", None)(lambda g: simulate.random_walks(g, 40, 200, restart=0.1))
+query("stationary_distribution", "co", "SELECT src AS id, round(count(*) / CAST((SELECT count(*) FROM co_a) AS DOUBLE), 6) AS value FROM co_a GROUP BY src")(simulate.stationary_distribution)
+query("majority_steps", "co", """, x AS (SELECT id, id % 2 AS state, 0 AS k FROM co_n UNION ALL SELECT v.id, CASE WHEN max(v.a) > max(v.b) THEN 0 WHEN max(v.b) > max(v.a) THEN 1 ELSE max(v.own) END, v.k + 1 FROM (
   SELECT m.dst AS id, x.k, sum(CASE WHEN m.e AND x.state = 0 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN m.e AND x.state = 1 THEN 1 ELSE 0 END) AS b, sum(CASE WHEN NOT m.e THEN x.state ELSE 0 END) AS own
-  FROM x JOIN (SELECT src, dst, true AS e FROM sk_a UNION ALL SELECT id, id, false FROM sk_n) m ON m.src = x.id WHERE x.k < 4 GROUP BY m.dst, x.k) v GROUP BY v.id, v.k)
+  FROM x JOIN (SELECT src, dst, true AS e FROM co_a UNION ALL SELECT id, id, false FROM co_n) m ON m.src = x.id WHERE x.k < 4 GROUP BY m.dst, x.k) v GROUP BY v.id, v.k)
 SELECT id, CAST(state AS BIGINT) AS state FROM x WHERE k = 4""")(lambda g: iterate.majority_rule(g, g.nodes.select("id", (F.col("id") % 2).alias("state")), 4))
 query("monte_carlo_schedule", "dag", None)(lambda g: simulate.monte_carlo_schedule(Graph(g.nodes.withColumns({"min": F.col("duration") * 0.5, "mode": F.col("duration"), "max": F.col("duration") * 2}), g.edges, True), runs=100).agg(F.avg("makespan").alias("mean"), F.stddev_samp("makespan").alias("std")))

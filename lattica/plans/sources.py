@@ -2,7 +2,8 @@
 
 The graph's arcs travel to the tasks in compressed rows, if they are counted to be few enough; a task
 walks its share of the sources and returns sums, never all pairs, unless pairs are what is asked for.
-Larger graphs take the relaxation of lattica.plans.iterate.sssp, which keeps everything distributed.
+A graph of more than ARC_LIMIT arcs is a SizeLimitError; distances_to_all() is the distributed relaxation that has
+no such limit, for the sources that are asked for.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ class Rows:
     def __init__(self, g: Graph, weight=None, reverse: bool = False):
         a = g.arcs(weight)
         if a.count() > ARC_LIMIT:
-            raise SizeLimitError(f"more than {ARC_LIMIT} arcs")
+            raise SizeLimitError(f"more than {ARC_LIMIT} arcs; distances_to_all() relaxes without this limit")
         self.ids = np.array([r[0] for r in g.nodes.orderBy("ord").select("id").collect()])
         pdf = a.toPandas()
         at = pd.Series(np.arange(len(self.ids)), index=self.ids)
@@ -98,14 +99,15 @@ class Rows:
 
 
 def _spread(g: Graph, rows: Rows, f, schema: str, sources: DataFrame | None = None) -> DataFrame:
-    """Runs f(rows, row numbers) -> DataFrame over the sources' row numbers."""
+    """Runs f(rows, row numbers) -> DataFrame over the sources' row numbers; ID in schema is the ids' type."""
+    schema = schema.replace("ID", g.nodes.schema["id"].dataType.simpleString())
     spark = g.nodes.sparkSession
     n = len(rows.ids)
     if sources is None:
         src = spark.range(0, n, 1, max(1, min(n, 4 * spark.sparkContext.defaultParallelism)))
     else:
         at = {k: i for i, k in enumerate(rows.ids.tolist())}
-        src = spark.createDataFrame([(at[r[0]],) for r in sources.select("id").collect()], "id long")
+        src = spark.createDataFrame([(at[r[0]],) for r in sources.select("id").collect()], "id long").repartition(max(1, min(n, 4 * spark.sparkContext.defaultParallelism)), "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -125,14 +127,14 @@ def all_pairs(g: Graph, weight=None) -> DataFrame:
             out.append(pd.DataFrame({"src": rows.ids[s], "dst": rows.ids[ok], "dist": d[ok]}))
         return pd.concat(out)
 
-    return _spread(g, Rows(g, weight), f, "src long, dst long, dist double")
+    return _spread(g, Rows(g, weight), f, "src ID, dst ID, dist double")
 
 
 def _per_source(g: Graph, measure, weight=None, reverse: bool = False) -> DataFrame:
     def f(rows: Rows, own):
         return pd.DataFrame({"id": rows.ids[own], "value": [float(measure(rows.distances(int(s)), len(rows.ids))) for s in own]})
 
-    return g.nodes.select("id", "ord").join(_spread(g, Rows(g, weight, reverse), f, "id long, value double"), "id")
+    return g.nodes.select("id", "ord").join(_spread(g, Rows(g, weight, reverse), f, "id ID, value double"), "id")
 
 
 def closeness_centrality(g: Graph, weight=None, wf_improved: bool = True) -> DataFrame:
@@ -219,7 +221,8 @@ def local_efficiency(g: Graph) -> DataFrame:
     return e.agg((F.coalesce(F.sum("e"), F.lit(0.0)) / max(1, n)).alias("value"))
 
 
-def betweenness_centrality(g: Graph, weight=None, normalized: bool = True, endpoints: bool = False) -> DataFrame:
+def betweenness_centrality(g: Graph, weight=None, normalized: bool = True, endpoints: bool = False, k: int | None = None, seed: int = 0) -> DataFrame:
+    """(id, ord, value); k: estimated from so many sources, those whose hashes of seed and id come first."""
     def f(rows: Rows, own):
         total = np.zeros(len(rows.ids))
         for s in own:
@@ -234,7 +237,8 @@ def betweenness_centrality(g: Graph, weight=None, normalized: bool = True, endpo
         return pd.DataFrame({"id": rows.ids, "value": total})
 
     n = g.count_nodes()
-    parts = _spread(g, Rows(g, weight), f, "id long, value double").groupBy("id").agg(F.sum("value").alias("value"))
+    some = None if k is None or k >= n else g.nodes.select("id").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(max(1, k))
+    parts = _spread(g, Rows(g, weight), f, "id ID, value double", some).groupBy("id").agg((F.sum("value") * (1.0 if some is None else n / max(1, k))).alias("value"))
     pairs = n * (n - 1) if endpoints else (n - 1) * (n - 2)
     scale = (1 / pairs if pairs > 0 else 1.0) if normalized else (1.0 if g.directed else 0.5)
     return g.nodes.select("id", "ord").join(parts, "id").select("id", "ord", (F.col("value") * scale).alias("value"))
@@ -251,7 +255,7 @@ def edge_betweenness_centrality(g: Graph, weight=None, normalized: bool = True)
         return pd.DataFrame({"src": rows.ids[at[:, 0]], "dst": rows.ids[at[:, 1]], "value": list(total.values())})
 
     n = g.count_nodes()
-    e = _spread(g, Rows(g, weight), f, "src long, dst long, value double")
+    e = _spread(g, Rows(g, weight), f, "src ID, dst ID, value double")
     if not g.directed:
         e = e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "value")
     scale = (1 / (n * (n - 1)) if n > 1 else 1.0) if normalized else (1.0 if g.directed else 0.5)

@@ -35,11 +35,42 @@ def supplier_pairs(spark, sf_dir) -> Graph:
     return Graph(_t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("ord"), "s_nationkey"), e.withColumn("ord", F.struct("src", "dst")), False)
 
 
-def supplier_backbone(spark, sf_dir) -> Graph:
-    """The 7 n heaviest edges of supplier_pairs, ties by their ends; n suppliers."""
-    g = supplier_pairs(spark, sf_dir)
-    e = g.edges.orderBy(F.desc("w"), "src", "dst").limit(7 * g.count_nodes())
-    return Graph(g.nodes, e, False)
+def customer_succession(spark, sf_dir) -> Graph:
+    """Undirected, weighted: customers whose orders follow each other on a day; all customers are nodes.
+
+    A weight grows by one and by the ten thousands that the two orders' prices differ.
+    """
+    day = Window.partitionBy(F.to_date("o_orderdate")).orderBy("o_orderkey")
+    o = _t(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("src"), F.lead("o_custkey").over(day).alias("dst"), (1 + F.floor(F.abs(F.col("o_totalprice") - F.lead("o_totalprice").over(day)) / 10000)).alias("w")
+    )
+    e = o.where("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("w").alias("w"))
+    n = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("ord"), "c_nationkey")
+    return Graph(n, e.withColumn("ord", F.struct("src", "dst")), False)
+
+
+def user_contacts(spark, sf_dir) -> Graph:
+    """Undirected: user_handover without directions and loops."""
+    g = user_handover(spark, sf_dir).to_undirected()
+    return Graph(g.nodes, g.edges.where("src <> dst"), False)
+
+
+def supply_chain(spark, sf_dir) -> Graph:
+    """Directed, acyclic: regions, their nations, the nations' suppliers, the parts these ship; a region's suppliers, too.
+
+    Keys are set apart by an offset for each table. A part lasts its size, a supplier one to ten, the others one.
+    """
+    region, nation = _t(spark, sf_dir, "region"), _t(spark, sf_dir, "nation")
+    supplier, part = _t(spark, sf_dir, "supplier"), _t(spark, sf_dir, "part")
+    r, n = lambda c: (F.col(c) + 1).cast("long"), lambda c: (F.col(c) + 1000).cast("long")
+    s, p = lambda c: (F.col(c) + 1000000).cast("long"), lambda c: (F.col(c) + 1000000000).cast("long")
+    home = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
+    e = nation.select(r("n_regionkey").alias("src"), n("n_nationkey").alias("dst")).union(home.select(n("s_nationkey"), s("s_suppkey"))).union(home.select(r("n_regionkey"), s("s_suppkey")))
+    e = e.union(_t(spark, sf_dir, "lineitem").select(s("l_suppkey"), p("l_partkey")).distinct())
+    one = F.lit(1.0).alias("duration")
+    v = region.select(r("r_regionkey").alias("id"), one).union(nation.select(n("n_nationkey"), one))
+    v = v.union(supplier.select(s("s_suppkey"), (F.col("s_suppkey") % 10 + 1).cast("double"))).union(part.select(p("p_partkey"), F.col("p_size").cast("double")))
+    return Graph(v.withColumn("ord", F.col("id")), e.withColumn("ord", F.struct("src", "dst")), True)
 
 
 def part_pairs(spark, sf_dir) -> Graph:
@@ -47,15 +78,6 @@ def part_pairs(spark, sf_dir) -> Graph:
     return Graph.from_edges(_pairs(spark, sf_dir, "l_partkey").select("src", "dst"), directed=True)
 
 
-def part_dag(spark, sf_dir) -> Graph:
-    """part_pairs among the first tenth of the parts, all of them nodes with their size as duration."""
-    part = _t(spark, sf_dir, "part")
-    limit = part.count() // 10
-    e = _pairs(spark, sf_dir, "l_partkey").where(F.col("dst") <= limit).select("src", "dst").distinct()
-    n = part.where(F.col("p_partkey") <= limit).select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("ord"), F.col("p_size").cast("double").alias("duration"))
-    return Graph(n, e.withColumn("ord", F.struct("src", "dst")), True)
-
-
 def user_handover(spark, sf_dir) -> Graph:
     """Directed, with loops and cycles: from an event's user to the next event's of the same day."""
     day = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
@@ -71,7 +93,10 @@ SQL = {
     "pd": "pd_e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)",
     "ut": "ut_e AS (SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL)",
 }
-SQL["sk"] = SQL["ss"] + ", sk_e AS (SELECT src, dst, w FROM ss_e QUALIFY row_number() OVER (ORDER BY w DESC, src, dst) <= 7 * (SELECT count(*) FROM supplier)), sk_n AS (SELECT s_suppkey AS id FROM supplier), sk_a AS (SELECT src, dst, w FROM sk_e UNION ALL SELECT dst, src, w FROM sk_e)"
-SQL["dag"] = SQL["pd"] + ", dag_n AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS duration FROM part WHERE p_partkey <= (SELECT count(*) // 10 FROM part)), dag_e AS (SELECT src, dst FROM pd_e WHERE dst <= (SELECT count(*) // 10 FROM part))"
+SQL["co"] = """co_x AS (SELECT o_custkey AS src, lead(o_custkey) OVER d AS dst, 1 + CAST(floor(abs(o_totalprice - lead(o_totalprice) OVER d) / 10000) AS BIGINT) AS w FROM orders WINDOW d AS (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderkey)),
+co_e AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, CAST(sum(w) AS BIGINT) AS w FROM co_x WHERE src <> dst GROUP BY 1, 2), co_n AS (SELECT c_custkey AS id FROM customer), co_a AS (SELECT src, dst, w FROM co_e UNION ALL SELECT dst, src, w FROM co_e)"""
+SQL["dag"] = """dag_e AS (SELECT CAST(n_regionkey + 1 AS BIGINT) AS src, CAST(n_nationkey + 1000 AS BIGINT) AS dst FROM nation UNION ALL SELECT s_nationkey + 1000, s_suppkey + 1000000 FROM supplier UNION ALL SELECT n_regionkey + 1, s_suppkey + 1000000 FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT DISTINCT l_suppkey + 1000000, l_partkey + 1000000000 FROM lineitem),
+dag_n AS (SELECT CAST(r_regionkey + 1 AS BIGINT) AS id, 1::DOUBLE AS duration FROM region UNION ALL SELECT n_nationkey + 1000, 1 FROM nation UNION ALL SELECT s_suppkey + 1000000, s_suppkey % 10 + 1 FROM supplier UNION ALL SELECT p_partkey + 1000000000, p_size FROM part)"""
 SQL["ps"] += ", ps_n AS (SELECT src AS id FROM ps_e UNION SELECT dst FROM ps_e), ps_a AS (SELECT src, dst FROM ps_e UNION ALL SELECT dst, src FROM ps_e)"
 SQL["ut"] += ", ut_n AS (SELECT src AS id FROM ut_e UNION SELECT dst FROM ut_e)"
+SQL["uu"] = SQL["ut"] + ", uu_e AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM ut_e WHERE src <> dst), uu_n AS (SELECT id FROM ut_n), uu_a AS (SELECT src, dst FROM uu_e UNION ALL SELECT dst, src FROM uu_e)"

@@ -568,3 +568,69 @@ def to_numpy(g: Graph, weight: str | None = "w", nonedge: float = 0.0):
     for s, d, w in g.arcs(weight if weight in g.edges.columns else None).collect():
         out[ids[s], ids[d]] = w
     return out
+
+
+# other libraries' objects
+
+
+def to_dict(g: Graph) -> dict:
+    """{id: {neighbour: the edge's columns}} of a graph that the driver holds; an undirected edge stands both ways."""
+    out: dict = {r["id"]: {} for r in g.nodes.select("id").collect()}
+    for r in g.edges.drop("ord").collect():
+        rest = {k: v for k, v in r.asDict().items() if k not in ("src", "dst")}
+        out[r["src"]][r["dst"]] = rest
+        if not g.directed:
+            out[r["dst"]][r["src"]] = rest
+    return out
+
+
+def from_dict(spark: SparkSession, data: dict, directed: bool = False) -> Graph:
+    """Of {id: neighbours}, where neighbours are a list, or a dict of a weight or of columns each."""
+    edges = []
+    for u, near in data.items():
+        for v in near:
+            own = near[v] if isinstance(near, dict) else {}
+            edges.append((u, v, dict(own) if isinstance(own, dict) else {"w": own}))
+    for _, v, _ in edges:
+        data = data if v in data else {**data, v: ()}
+    return _build(spark, {k: {} for k in data}, edges, directed)
+
+
+def from_networkx(spark: SparkSession, graph) -> Graph:
+    """Of any object with is_directed(), nodes(data=True) and edges(data=True); weight becomes w."""
+    named = lambda d: {"w" if k == "weight" else k: v for k, v in d.items()}
+    return _build(spark, {n: dict(d) for n, d in graph.nodes(data=True)}, [(u, v, named(d)) for u, v, d in graph.edges(data=True)], graph.is_directed())
+
+
+def to_networkx(g: Graph):
+    """A networkx graph; that library must be there."""
+    import networkx
+
+    out = networkx.DiGraph() if g.directed else networkx.Graph()
+    for r in g.nodes.drop("ord").collect():
+        d = r.asDict()
+        out.add_node(d.pop("id"), **d)
+    for r in g.edges.drop("ord").collect():
+        d = r.asDict()
+        out.add_edge(d.pop("src"), d.pop("dst"), **{"weight" if k == "w" else k: v for k, v in d.items()})
+    return out
+
+
+def from_scipy_sparse(spark: SparkSession, matrix, directed: bool | None = None) -> Graph:
+    """Of any square matrix with tocoo(): nodes are row numbers, entries weights; symmetric ones are undirected unless told."""
+    m = matrix.tocoo()
+    if m.shape[0] != m.shape[1]:
+        raise GraphError("the matrix is not square")
+    cells = {(int(i), int(j)): float(x) for i, j, x in zip(m.row, m.col, m.data) if x != 0}
+    if directed is None:
+        directed = any(cells.get((j, i)) != x for (i, j), x in cells.items())
+    edges = [(i, j, {"w": x}) for (i, j), x in sorted(cells.items()) if directed or i <= j]
+    return _build(spark, {k: {} for k in range(m.shape[0])}, edges, directed)
+
+
+def to_scipy_sparse(g: Graph, weight: str | None = "w"):
+    """(rows, columns, values, ids): the adjacency matrix's coordinates in graph order, for scipy.sparse.coo_array."""
+    ids = [r[0] for r in g.nodes.orderBy("ord").select("id").collect()]
+    at = {k: i for i, k in enumerate(ids)}
+    cells = sorted((at[s], at[d], w) for s, d, w in g.arcs(weight if weight in g.edges.columns else None).collect())
+    return [c[0] for c in cells], [c[1] for c in cells], [float(c[2]) for c in cells], ids

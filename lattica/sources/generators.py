@@ -262,15 +262,18 @@ def watts_strogatz(spark, n: int, k: int, p: float, seed: int = 0) -> Graph:
     """A ring of k neighbours whose far ends move at random with chance p."""
     rng = np.random.default_rng(seed)
     have = {(u, (u + j) % n) if u < (u + j) % n else ((u + j) % n, u) for j in range(1, k // 2 + 1) for u in range(n)}
+    degree = np.bincount(np.array(sorted(have), np.int64).ravel(), minlength=n) if have else np.zeros(n, np.int64)
     for j in range(1, k // 2 + 1):
         for u in range(n):
             e = tuple(sorted((u, (u + j) % n)))
-            if rng.random() < p and e in have and sum(u in x for x in have if u in x) < n - 1:
+            if rng.random() < p and e in have and degree[u] < n - 1:
                 w = int(rng.integers(n))
                 while w == u or tuple(sorted((u, w))) in have:
                     w = int(rng.integers(n))
                 have.remove(e)
                 have.add(tuple(sorted((u, w))))
+                degree[(u + j) % n] -= 1
+                degree[w] += 1
     return _driver(spark, n, sorted(have))
 
 
@@ -314,3 +317,78 @@ def layered_dag(spark, layers: list[int], p: float = 0.4, seed: int = 0) -> Grap
     drawn = cand.where(coin(seed, "src", "dst") < p)
     first = cand.groupBy("dst").agg(F.min_by("src", coin(seed, F.lit("first"), "src", "dst")).alias("src"))
     return _graph(n, drawn.select("src", "dst").union(first.join(drawn, "dst", "left_anti").select("src", "dst")), True)
+
+
+def powerlaw_cluster(spark, n: int, m: int, p: float, seed: int = 0) -> Graph:
+    """Growth by preferential attachment; after each such edge, with chance p, one to a neighbour of its end."""
+    if not 1 <= m < n or not 0 <= p <= 1:
+        raise GraphError("needs 1 <= m < n and a chance p")
+    rng = np.random.default_rng(seed)
+    near: list[set[int]] = [set() for _ in range(n)]
+    ends = list(range(m))
+    for v in range(m, n):
+        last = None
+        while len(near[v]) < m:
+            close = sorted(near[last] - near[v] - {v}) if last is not None and rng.random() < p else []
+            u = close[int(rng.integers(len(close)))] if close else ends[int(rng.integers(len(ends)))]
+            last = u if not close else last
+            if u not in near[v]:
+                near[v].add(u)
+                near[u].add(v)
+                ends.append(u)
+        ends += [v] * m
+    return _driver(spark, n, [(u, v) for u in range(n) for v in near[u] if u < v])
+
+
+def random_regular(spark, d: int, n: int, seed: int = 0, max_tries: int = 1000) -> Graph:
+    """Every node has d neighbours: stubs pair at random where that makes no loop or repeat; a dead end starts again."""
+    if d * n % 2 or not 0 <= d < max(n, 1):
+        raise GraphError("d n must be even, and d below n")
+    rng = np.random.default_rng(seed)
+    for _ in range(max_tries):
+        have: set[tuple[int, int]] = set()
+        stubs = np.repeat(np.arange(n), d)
+        while len(stubs):
+            pairs = rng.permutation(stubs).reshape(-1, 2)
+            rest = []
+            for a, b in pairs.tolist():
+                e = (min(a, b), max(a, b))
+                if a == b or e in have:
+                    rest += [a, b]
+                else:
+                    have.add(e)
+            left = set(rest)
+            if len(rest) == len(stubs) and not any((min(a, b), max(a, b)) not in have for a in left for b in left if a != b):
+                break
+            stubs = np.array(rest, np.int64)
+        if not len(stubs):
+            return _driver(spark, n, sorted(have))
+    raise GraphError(f"no regular graph in {max_tries} tries")
+
+
+def random_task_dag(spark, n: int, seed: int = 0) -> Graph:
+    """A project network: each task but the first waits for one to three of the eight before it.
+
+    Tasks carry three-point estimates (min, mode, max) and the mode as duration.
+    """
+    rng = np.random.default_rng(seed)
+    edges = [(int(u), v) for v in range(1, n) for u in rng.choice(np.arange(max(0, v - 8), v), min(v, int(rng.integers(1, 4))), replace=False)]
+    mode = rng.integers(1, 11, n)
+    rows = [(k, float(mode[k]), float(mode[k]) * (0.5 + 0.4 * rng.random()), float(mode[k]), float(mode[k]) * (1.2 + 1.3 * rng.random())) for k in range(n)]
+    nodes = spark.createDataFrame(rows, "id long, duration double, min double, mode double, max double")
+    return _graph(nodes, _driver(spark, n, edges, True).edges.select("src", "dst"), True)
+
+
+# fixed values: marriages among Florentine families (Padgett, 1994)
+FLORENTINE = [
+    ("Acciaiuoli", "Medici"), ("Castellani", "Peruzzi"), ("Castellani", "Strozzi"), ("Castellani", "Barbadori"), ("Medici", "Barbadori"),
+    ("Medici", "Ridolfi"), ("Medici", "Tornabuoni"), ("Medici", "Albizzi"), ("Medici", "Salviati"), ("Salviati", "Pazzi"),
+    ("Peruzzi", "Strozzi"), ("Peruzzi", "Bischeri"), ("Strozzi", "Ridolfi"), ("Strozzi", "Bischeri"), ("Ridolfi", "Tornabuoni"),
+    ("Tornabuoni", "Guadagni"), ("Albizzi", "Ginori"), ("Albizzi", "Guadagni"), ("Bischeri", "Guadagni"), ("Guadagni", "Lamberteschi"),
+]
+
+
+def florentine_families(spark) -> Graph:
+    """Fifteen families joined by marriages; ids are names."""
+    e = spark.createDataFrame(FLORENTINE, "src string, dst string")
+    return Graph.from_edges(e)
