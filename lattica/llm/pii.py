@@ -32,6 +32,8 @@ _NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _TOKEN = r"(?<!\S)(?=\S{5})[^\s0-9]*+[0-9]\S*+"
 #: Distinct instances that a pattern must stand beside, and the confidence that makes it extract.
 MIN_SUPPORT, MIN_CONFIDENCE = 3, 0.5
+#: The texts, dealt into the last number of shares, are read up to each of these in turn.
+SHARES = (1, 8, 64)
 #: Patterns up to which they are broadcast (some tens of bytes each); more meet their places in a shuffle.
 BROADCAST_ROWS = 50_000
 #: Matches of a text whose places are added up together, so that work grows with the matches, not their square.
@@ -212,8 +214,17 @@ def extract(docs: DataFrame) -> DataFrame:
         ready = cut(support.join(_patterns(open_).distinct(), ["side", "p"], "left_semi"))
         if ready.isEmpty():
             break
-        sure = ready.join(_places(src, ready), "p").where(F.col("hits") >= MIN_CONFIDENCE * F.col("places"))
-        confidence = F.least(F.lit(1.0), F.col("hits") / F.col("places"))
+        # a share of the texts tells a lower bound of the places, which rules most patterns out before the rest is read
+        ready = ready.withColumn("places", F.lit(0).cast("long"))
+        for lo, hi in zip((0, *SHARES), SHARES):
+            part = src.where(F.pmod(F.xxhash64(F.lit("share"), "doc_id", "text_key"), F.lit(SHARES[-1])).between(lo, hi - 1))
+            more = ready.join(_places(part, ready).withColumnRenamed("places", "more"), "p", "left")
+            places = F.col("places") + F.coalesce("more", F.lit(0).cast("long"))
+            ready = cut(more.select("side", "p", "k", "n", "hits", places.alias("places")).where(F.col("hits") >= MIN_CONFIDENCE * F.col("places")))
+            if ready.isEmpty():
+                break
+        sure = ready
+        confidence = F.least(F.lit(1.0), F.col("hits") / F.greatest("places", F.lit(1)))
         best = cut(sure.groupBy("side", "p").agg(F.max_by("k", F.struct(F.col("hits"), -F.col("k"))).alias("k"), F.max(confidence).alias("score")))
         # an instance is its value: its other places are its, too
         values = _patterns(open_, "v").join(_few(best), ["side", "p"]).groupBy("v").agg(F.max_by("k", F.struct(F.col("score"), -F.col("k"))).alias("k"), F.max("score").alias("score"))
