@@ -39,10 +39,9 @@ def _words(text: str | None) -> list[str]:
 
 
 def _grams(word: str) -> list[int]:
-    """Buckets of the runs of three to five characters of the marked word, and of the whole."""
-    w = f"<{word}>"
-    found = {w} | {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)}
-    return sorted(zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in found)
+    """Buckets of the runs of three and of five bytes of the marked word, and of the whole."""
+    w = f"<{word}>".encode("utf-8", "surrogatepass")
+    return [zlib.crc32(w) % BUCKETS, *[zlib.crc32(w[i : i + n]) % BUCKETS for n in (3, 5) for i in range(len(w) - n + 1)]]
 
 
 def windows(n: int) -> list[tuple[int, int]]:
@@ -113,7 +112,7 @@ class Network:
         """(inputs of rows, whose own embeddings are `own`; their n-grams, and the rows these belong to)."""
         grams = [self.grams[k] for k in rows.tolist()]
         sizes = np.array([len(g) for g in grams], np.int64)
-        flat = np.concatenate([np.array(g, np.int64) for g in grams]) if grams else np.zeros(0, np.int64)
+        flat = np.array([x for g in grams for x in g], np.int64)
         at = np.repeat(np.arange(len(rows)), sizes)
         mean = np.add.reduceat(self.p["char"][flat], np.concatenate([[0], np.cumsum(sizes)[:-1]])) / sizes[:, None] if len(rows) else np.zeros((0, CHAR_DIM), np.float32)
         return np.concatenate([self.p["word"][own], mean], axis=1).astype(np.float32), flat, at
@@ -272,7 +271,8 @@ class ToxicityModel:
             width = max(1, int(part[:, 1].max()))
             mask = steps[None, :width] < part[:, 1:2]
             idx = np.where(mask, flat[part[:, :1] + steps[:width]], pad)
-            g = np.stack([table[0][idx], table[1][idx[:, ::-1]]]).transpose(2, 0, 1, 3)
+            along = np.ascontiguousarray(idx.T)
+            g = np.stack([table[0][along], table[1][along[::-1]]], axis=1)
             total += np.bincount(part[:, 2], weights=_softplus(net.forward(g, mask.astype(np.float32)).astype(float)), minlength=len(ids))
         return -np.expm1(-total)
 
