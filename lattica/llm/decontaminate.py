@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import cut
+
 #: Words of a window.
 WINDOW = 10
 #: Bytes whose hash indexes a shift table, the most that leave room for jumps first.
@@ -196,14 +198,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     Words: maximal runs of ASCII letters (lower-cased), digits and characters beyond ASCII. A word is hit
     inside any occurrence of a window of benchmark(item_id, text). n_items counts, and items_sha256
-    digests, the items with occurring windows. Null or empty texts have no words and are clean; null items
-    and items without words are ignored; an empty benchmark hits nothing. Repeated rows give repeated
+    digests, the items with occurring windows. Null or empty texts have no words and are clean; items with a null
+    text or item_id and items without words are ignored; an empty benchmark hits nothing. Repeated rows give repeated
     results, and other columns are ignored.
 
-    The benchmark is searched in passes of at most PASS_BYTES of its text, each held by the executors, so
-    what they hold does not grow with the benchmark; passes chain without a shuffle.
+    The benchmark is searched in passes of about PASS_BYTES of its text. A pass's rows are written to the shared
+    folder before the next one starts, so the driver and the executors hold one pass's patterns at a time.
     """
-    items = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").alias("text")).where("text is not null")
+    items = benchmark.select("item_id", "text").where("text is not null and item_id is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = int(total // PASS_BYTES) + 1
     cur = docs.select(
@@ -213,6 +215,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     for p in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
         cur = cur.mapInArrow(_pass([tuple(r) for r in part.collect()], window, last=p == passes - 1), cur.schema)
+        if p < passes - 1:
+            cur = cut(cur)
     return cur.select(
         "doc_id", "n_words",
         F.coalesce(F.conv(F.hex("hits"), 16, 10).cast("long"), F.lit(0).cast("long")).alias("n_hit"),
@@ -251,14 +255,16 @@ def _pass(rows: list[tuple], window: int, last: bool):
 
 
 def clean_only(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs that no benchmark window occurs in; columns and their order unchanged."""
-    items = benchmark.select("item_id", "text").where("text is not null")
+    """The rows of docs that no benchmark window occurs in; columns and their order unchanged. See contamination()."""
+    items = benchmark.select("item_id", "text").where("text is not null and item_id is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = int(total // PASS_BYTES) + 1
     out = docs
     for p in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
         out = out.mapInArrow(_drop([tuple(r) for r in part.collect()], window, docs.columns.index("text")), docs.schema)
+        if p < passes - 1:
+            out = cut(out)
     return out
 
 
