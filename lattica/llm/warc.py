@@ -29,7 +29,7 @@ from lattica.llm.common import cut, shared_dir
 #: Lines of an index block; the date of all records (a parameter of the crawl, not of the clock).
 BLOCK_LINES = 256
 DATE = "2024-01-01T00:00:00Z"
-#: Rows of shared payload digests up to which they are broadcast; beyond, the join shuffles.
+#: Captures with shared payloads up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 50_000
 #: Bytes of payload that one archive holds, about.
 ARCHIVE_BYTES = 64_000_000
@@ -49,18 +49,23 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _name(page_id: int | None, url: str | None) -> uuid.UUID:
+    """A record's name: its page's id, or its URL where it has none."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"url:{url}" if page_id is None else f"page:{page_id}")
+
+
 def record_bytes(url: str | None, payload: bytes, page_id: int | None, refers_to: int | None, revisit: bool) -> bytes:
     """One record as a gzip member of its own; a revisit holds no payload, but its length and digest."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http if revisit else http + payload
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{url}")
+    name = _name(page_id, url)
     head = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {json.dumps(url or '', ensure_ascii=True)[1:-1]}", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
         "Content-Type: application/http; msgtype=response", f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Refers-To: <urn:uuid:{_name(refers_to, None)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
     raw = ("\r\n".join([*head, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
     return gzip.compress(raw, 4, mtime=0)
 
@@ -83,19 +88,21 @@ def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """pages(page_id, url, html) with payload, sha1, first: the smallest page_id of the payload if several rows hold it.
+    """pages(page_id, url, html) with payload, same (its SHA-256), first: the smallest page_id of the payload if several rows hold it.
 
-    Only payloads of least_bytes or more are shared; digests with several captures are few beside the
-    pages and are broadcast if they are counted to be, else joined by a shuffle.
+    Only payloads of least_bytes or more are shared. Digests are grouped and joined without their payloads, and come
+    back by page id and digest, which no payload that many pages share can gather in one task; captures that share
+    theirs are broadcast if they are counted to be few.
     """
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    src = src.withColumn("sha1", F.sha1("payload"))
-    long = src.where(F.length("payload") >= least_bytes).select("page_id", "sha1")
-    shared = long.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = cut(shared)
-    if shared.count() <= BROADCAST_ROWS:
-        shared = F.broadcast(shared)
-    return src.join(shared, "sha1", "left")
+    src = src.withColumn("same", F.sha2("payload", 256))
+    long = src.where(F.length("payload") >= least_bytes).select("page_id", "same")
+    shared = long.groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    refs = cut(long.join(shared, "same").distinct())
+    if refs.count() <= BROADCAST_ROWS:
+        refs = F.broadcast(refs)
+    refs = refs.select(F.col("page_id").alias("_id"), F.col("same").alias("_same"), "first")
+    return src.join(refs, src["page_id"].eqNullSafe(F.col("_id")) & (src["same"] == F.col("_same")), "left").drop("_id", "_same")
 
 
 def _fs(folder: str) -> tuple[pafs.FileSystem, str]:
