@@ -38,3 +38,48 @@ def test_near_duplicate_stage(spark):
     assert len(set(want.values())) < len(sets) - 60
     assert sorted((x.doc_id for x in got.collect()), key=lambda i: -1 if i is None else i) == [None, *sorted(set(want.values()))]
     assert corpus_pipeline.near_duplicate_filter(spark, docs.where("false"), "").count() == 0
+
+
+def test_run(spark, tmp_path):
+    """The whole pipeline on a small folder against its stages in plain Python."""
+    from tokenizers import Tokenizer
+
+    from lattica.llm import quality
+    from lattica.llm.queries import tokenizer_files
+
+    r = np.random.default_rng(8)
+    words = [f"{a}{b}{c}" for a in ("ra", "li", "mo", "te") for b in ("ten", "sur", "vel") for c in ("a", "en", "it", "os")]
+    good = [" ".join(words[j] for j in r.integers(0, len(words), 70)) + "." for _ in range(90)]
+    bad = [x.upper().replace(" ", "!! ") for x in good[:45]]
+    near = [good[k].replace(" ", " and ", 1) for k in range(12)]  # one more word: a similarity above 0.8
+    passage = " ".join(good[50].split()[3:18])
+    texts = [*good, *bad, *near, good[5], good[60] + " write to a.b@example.org or +1 (555) 123-4567 now", None, ""]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, "xx", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = [(i, int(not 90 <= i < 135), 0) for i in range(135)]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    kept = [i for i, t in rows if model.score([t])[0] >= 0.5]
+    sets = {i: shingle_set(texts[i]) for i in kept}
+    group = roots([(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])], sets)
+    kept = [i for i in kept if group[i] == i]
+    folded = lambda t: " ".join((t or "").lower().replace(".", " ").split())
+    window = folded(passage).split()
+    windows = [" ".join(window[k : k + 10]) for k in range(len(window) - 9)]
+    kept = [i for i in kept if not any(f" {w} " in f" {folded(texts[i])} " for w in windows)]
+    want = {i: (texts[i] or "").replace("a.b@example.org", "[EMAIL]").replace("+1 (555) 123-4567", "[PHONE]") for i in kept}
+    assert 50 not in want and "[EMAIL]" in want.get(147 + 1, "[EMAIL]") and len(want) < len(texts) - 40
+    got: dict = {}
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    for p in sorted(pieces, key=lambda p: p.start):
+        got[p.doc_id] = got.get(p.doc_id, b"") + p.ids
+    tok = Tokenizer.from_file(tokenizer_files()[0])
+    ids = lambda t: np.array([*tok.encode(t, add_special_tokens=False).ids, 0], np.uint32).tobytes()
+    assert got == {i: ids(t) for i, t in want.items()}
+    assert any("[PHONE]" in t for t in want.values())
+
+
+def test_stages_name_their_operators():
+    assert len(corpus_pipeline.STAGES) == 5 and all(callable(f) for _, f in corpus_pipeline.STAGES)
