@@ -53,7 +53,7 @@ def test_run(spark, tmp_path):
     bad = [x.upper().replace(" ", "!! ") for x in good[:45]]
     near = [good[k].replace(" ", " and ", 1) for k in range(12)]  # one more word: a similarity above 0.8
     passage = " ".join(good[50].split()[3:18])
-    texts = [*good, *bad, *near, good[5], good[60] + " write to a.b@example.org or +1 (555) 123-4567 now", None, ""]
+    texts = [*good, *bad, *near, good[5], " ".join(reversed(good[60].split())) + " write to a.b@example.org or +1 (555) 123-4567 now", None, ""]
     rows = list(enumerate(texts))
     docs = spark.createDataFrame([(i, t, "xx", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     labels = [(i, int(not 90 <= i < 135), 0) for i in range(135)]
@@ -70,7 +70,7 @@ def test_run(spark, tmp_path):
     windows = [" ".join(window[k : k + 10]) for k in range(len(window) - 9)]
     kept = [i for i in kept if not any(f" {w} " in f" {folded(texts[i])} " for w in windows)]
     want = {i: (texts[i] or "").replace("a.b@example.org", "[EMAIL]").replace("+1 (555) 123-4567", "[PHONE]") for i in kept}
-    assert 50 not in want and "[EMAIL]" in want.get(147 + 1, "[EMAIL]") and len(want) < len(texts) - 40
+    assert 50 not in want and 148 in want and len(want) < len(texts) - 40
     got: dict = {}
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     for p in sorted(pieces, key=lambda p: p.start):
@@ -78,7 +78,7 @@ def test_run(spark, tmp_path):
     tok = Tokenizer.from_file(tokenizer_files()[0])
     ids = lambda t: np.array([*tok.encode(t, add_special_tokens=False).ids, 0], np.uint32).tobytes()
     assert got == {i: ids(t) for i, t in want.items()}
-    assert any("[PHONE]" in t for t in want.values())
+    assert "[PHONE]" in want[148] and "[EMAIL]" in want[148]
 
 
 def test_stages_name_their_operators():
