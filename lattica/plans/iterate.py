@@ -625,18 +625,21 @@ def greedy_color(g: Graph, strategy: str = "largest_first") -> DataFrame:
 
 
 def label_propagation(g: Graph, weight: str | None = None, max_iter: int = 100) -> DataFrame:
-    """(id, label) by synchronous rounds: the heaviest label among the neighbours, one's own if it ties, else the smallest.
+    """(id, label) by rounds: the heaviest label among the neighbours, one's own if it ties, else the smallest.
 
-    Labels are ids, of any type. Rounds that don't settle are a ConvergenceError.
+    In a round about half the nodes, by a hash of id and round, take their label, so that neighbours don't swap labels
+    for ever; it ends when no node at all would move. Labels are ids, of any type. Rounds that don't settle are a
+    ConvergenceError.
     """
     a = cut(g.arcs(weight).where("src <> dst"))
     x = cut(g.nodes.select("id", F.col("id").alias("label")))
-    for _ in range(max_iter):
+    for k in range(max_iter):
         votes = a.join(x.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("w").alias("s"))
-        j = cut(_heaviest(votes, x, "label").withColumn("moved", F.col("new") != F.col("old")))
-        x = j.select("id", F.col("new").alias("label"))
+        turn = F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(2)) == 0
+        j = cut(_heaviest(votes, x, "label").select("id", F.when(turn, F.col("new")).otherwise(F.col("old")).alias("label"), (F.col("new") != F.col("old")).alias("moved")))
         if j.where("moved").isEmpty():
-            return x
+            return j.select("id", "label")
+        x = j.select("id", "label")
     raise ConvergenceError(f"labels still change after {max_iter} rounds")
 
 
