@@ -1,7 +1,7 @@
 """Licence scans: a trained paragraph classifier, an unknown class, and comparison with templates.
 
-Every line of a text is read as a paragraph, and neighbouring lines that are accepted are one notice. Hashed word
-uni-, bi- and trigrams feed a sparse multinomial logistic regression over licence families, other licences
+Every line of a text is read as a paragraph, and neighbouring lines that are accepted are one notice. Word uni-,
+bi- and trigrams, in buckets that each belong to one of the examples' n-grams, feed a sparse multinomial logistic regression over licence families, other licences
 ("unknown") and ordinary prose. It is trained on the wordings below: notices and pieces of them, the same notices
 with other names in place of what tells their family (unknown), and prose, some of it about licences. A third of
 the prose and the notices' pieces at other places are set aside and calibrate the licence probability from which a line is accepted; the texts that are
@@ -12,11 +12,12 @@ DataFrame functions and the JVM's learners alone; no shuffle carries a text.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ SENTENCES = [
     "The source of the code was a book of puzzles.", "No rights were harmed, said the lawyer, and all laughed.", "The domain of the function is the set of real numbers.", "He read the file to the end and put it away.",
     "Creative work takes time and a common purpose.",
 ]
-BUCKETS = 1 << 14
+BUCKETS = 1 << 15
 #: The least share of a template's distinct words that a confirmed notice holds.
 CONFIRM = 0.75
 #: What a sentence of prose counts beside a notice.
@@ -86,20 +87,33 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]++"), lambda w: w != "")
 
 
-def _features(w: Column) -> Column:
-    """Distinct uni-, bi- and trigrams."""
-    n = F.size(w)
-    shifted = lambda k: F.slice(w, F.lit(k + 1), F.greatest(n - k, F.lit(0)))
-    two = F.filter(F.zip_with(w, shifted(1), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))), lambda x: x.isNotNull())
-    three = F.filter(F.zip_with(F.zip_with(w, shifted(1), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))), shifted(2), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))), lambda x: x.isNotNull())
-    return F.concat(w, two, three)
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _grams(words_: Column) -> Column:
+    """Hashes of the distinct uni-, bi- and trigrams."""
+    rest = lambda a, k: F.slice(a, F.lit(k + 1), F.greatest(F.size(a) - k, F.lit(0)))
+
+    def grams(w: Column, two: Column) -> Column:
+        # two holds a null for the last word, as zip_with fills up the shorter side
+        three = F.zip_with(two, rest(w, 2), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(F.lit(3), a, b)))
+        every = F.concat(F.transform(w, lambda x: F.xxhash64(x)), two, three)
+        return F.array_distinct(F.filter(every, lambda x: x.isNotNull()))
+
+    return _let(words_, lambda w: _let(F.zip_with(w, rest(w, 1), lambda a, b: F.when(b.isNotNull(), F.xxhash64(F.lit(2), a, b))), lambda two: grams(w, two)))
+
+
+def _bucket(h: Column) -> Column:
+    return F.pmod(h, F.lit(BUCKETS)).cast("int")
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, paragraph, w) for each line with words of docs(doc_id, text)."""
+    """(doc_id, text_key, paragraph, w) for each line of docs(doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.posexplode(F.split(text, r"\R")).alias("paragraph", "line"))
-    return lines.select("doc_id", "text_key", "paragraph", words(F.col("line")).alias("w")).where(F.size("w") > 0)
+    return lines.select("doc_id", "text_key", "paragraph", words(F.col("line")).alias("w"))
 
 
 def _bag(text: str) -> list[str]:
@@ -151,14 +165,47 @@ def _confirmed(w: Column, family: Column) -> Column:
     return out
 
 
+def _constant(x, kind: str = "double") -> Column:
+    """Numbers as one array, which the optimizer folds into a literal."""
+    return F.split(F.lit(",".join(f"{v:.9g}" if kind == "double" else str(v) for v in x)), ",").cast(f"array<{kind}>")
+
+
+def _summed(grams: Column, values: Column, start: float) -> Column:
+    return F.aggregate(grams, F.lit(start), lambda acc, k: acc + F.get(values, k))
+
+
 class LicenceModel:
-    def __init__(self, tf: HashingTF, model, threshold: float):
-        self.tf, self.model, self.threshold = tf, model, threshold
+    """Weights (classes, buckets) and intercepts of the regression, and the probability from which a line is accepted.
+
+    table holds the hash of the n-gram that owns each bucket (0: none); other n-grams count for nothing.
+    """
+
+    def __init__(self, table: list[int], weights: np.ndarray, intercepts: np.ndarray, threshold: float = 0.5):
+        self.table = table
+        # differences to prose, whose logit is then zero
+        self.weights, self.intercepts, self.threshold = weights - weights[:1], intercepts - intercepts[0], threshold
+
+    def features(self, w: Column) -> Column:
+        """Buckets of the known n-grams of words w."""
+        own = _constant(self.table, "bigint")
+        return F.transform(F.filter(_grams(w), lambda h: F.get(own, _bucket(h)) == h), _bucket)
+
+    def probabilities(self, w: Column, every: bool = False) -> Column:
+        """The classes' probabilities of words w, in the order of _CLASSES.
+
+        Null, unless every row is asked for, where the threshold is out of reach: the odds of a licence are those
+        without n-grams times the exponential of the sum of every n-gram's largest weight, at most.
+        """
+        least = math.log(max(self.threshold, 1e-9) / max(1 - self.threshold, 1e-9) / np.exp(self.intercepts[1:]).sum()) - 1e-6
+        top = _constant(self.weights[1:].max(0))
+        total = lambda e: F.aggregate(e, F.lit(0.0), lambda acc, y: acc + y)
+
+        def told(grams: Column) -> Column:
+            odds = F.array(F.lit(1.0), *[F.exp(_summed(grams, _constant(w), float(b))) for w, b in zip(self.weights[1:], self.intercepts[1:])])
+            p = _let(odds, lambda e: _let(total(e), lambda t: F.transform(e, lambda x: x / t)))
+            return p if every else F.when(_summed(grams, top, 0.0) >= least, p)
 
-    def probabilities(self, rows: DataFrame) -> DataFrame:
-        """rows with column w, and p: the classes' probabilities in the order of _CLASSES."""
-        hashed = self.tf.transform(rows.withColumn("grams", _features(F.col("w"))))
-        return self.model.transform(hashed).withColumn("p", vector_to_array("probability")).drop("grams", "features", "rawPrediction", "probability", "prediction")
+        return _let(self.features(w), told)
 
 
 def fit(spark: SparkSession) -> LicenceModel:
@@ -167,18 +214,27 @@ def fit(spark: SparkSession) -> LicenceModel:
     The threshold is the licence probability that errs least on the examples set aside, in the middle of the
     gap between them where there is one.
     """
-    tf = HashingTF(numFeatures=BUCKETS, inputCol="grams", outputCol="features", binary=True)
     rows = [(float(_CLASSES.index(c)), w, aside) for c, w, aside in examples()]
-    every = spark.createDataFrame(rows, "label double, w array<string>, aside boolean").coalesce(1)
+    every = spark.createDataFrame(rows, "label double, w array<string>, aside boolean").coalesce(1).select("label", "aside", _grams(F.col("w")).alias("grams")).collect()
+    table = [0] * BUCKETS
+    for r in every:
+        for h in r.grams if not r.aside else ():
+            if not table[h % BUCKETS]:
+                table[h % BUCKETS] = h
+    known = lambda r: sorted(h % BUCKETS for h in r.grams if table[h % BUCKETS] == h)
+    vectors = [(r.label, PROSE_WEIGHT if r.label == 0 else 1.0, Vectors.sparse(BUCKETS, known(r), [1.0] * len(known(r)))) for r in every if not r.aside]
     learner = LogisticRegression(maxIter=60, regParam=1e-3, elasticNetParam=0.0, family="multinomial", standardization=False, weightCol="weight")
-    train = tf.transform(every.where("not aside").withColumn("grams", _features(F.col("w")))).select("features", "label", F.when(F.col("label") == 0, PROSE_WEIGHT).otherwise(1.0).alias("weight")).persist()
-    model = LicenceModel(tf, learner.fit(train), 0.5)
-    train.unpersist()
-    held = sorted((1 - r.p[0], r.label > 0) for r in model.probabilities(every.where("aside")).select("p", "label").collect())
+    fitted = learner.fit(spark.createDataFrame(vectors, ["label", "weight", "features"]).coalesce(1))
+    model = LicenceModel(table, fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray())
+    held = []
+    for r in every:
+        if r.aside:
+            e = np.exp(np.concatenate([[0.0], model.weights[1:][:, known(r)].sum(1) + model.intercepts[1:]]))
+            held.append((1 - e[0] / e.sum(), r.label > 0))
+    held.sort()
     marks = [0.0, *[p for p, _ in held], 1.0]
     errors = lambda x: sum((p >= x) != y for p, y in held)
-    best = min(((errors((a + b) / 2), a - b, (a + b) / 2) for a, b in zip(marks, marks[1:])))
-    model.threshold = best[2]
+    model.threshold = float(min(((errors((a + b) / 2), a - b, (a + b) / 2) for a, b in zip(marks, marks[1:])))[2])
     return model
 
 
@@ -189,7 +245,10 @@ def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
     family confirms it. Null and empty texts have none; other columns are ignored; rows of one id and text, of which
     text_key is a hash, are scanned as one.
     """
-    p = model.probabilities(paragraphs(docs)).where(F.get("p", F.lit(0)) <= 1 - model.threshold)
+    # one evaluation tells a line's words and probabilities, and keeps it or not
+    read = _let(F.col("w"), lambda w: F.struct(w.alias("w"), model.probabilities(w).alias("p")))
+    kept = F.filter(F.array(read), lambda x: x["p"].isNotNull() & (F.get(x["p"], F.lit(0)) <= 1 - model.threshold))
+    p = paragraphs(docs).select("doc_id", "text_key", "paragraph", F.inline(kept))
     best = F.array_max(F.slice("p", 2, len(_CLASSES)))
     likeliest = F.get(F.array(*[F.lit(x) for x in _CLASSES]), F.array_position(F.slice("p", 2, len(_CLASSES)), best).cast("int"))
     lines = p.select("doc_id", "text_key", F.struct("paragraph", likeliest.alias("likeliest"), (1 - F.get("p", F.lit(0))).alias("probability"), "w").alias("line"))
