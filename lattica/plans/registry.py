@@ -236,7 +236,7 @@ query("core_number", "co", None)(lambda g: iterate.core_number(g).select("id", "
 query("onion_layers", "co", None)(lambda g: iterate.onion_layers(g).select("id", "value"))
 query("maximal_matching", "co", None)(iterate.maximal_matching)
 query("greedy_color", "co", None)(iterate.greedy_color)
-query("label_propagation", "co", None)(lambda g: iterate.label_propagation(g, "w"))
+query("label_propagation", "uu", None)(iterate.label_propagation)
 query("heat_steps", "co", ", x AS (SELECT id, CASE WHEN id = (SELECT min(id) FROM co_n) THEN 1.0::DOUBLE ELSE 0 END AS value, 0 AS k FROM co_n UNION ALL SELECT m.dst, sum(x.value * m.w), k + 1 FROM x JOIN (SELECT src, dst, 0.01 AS w FROM co_a UNION ALL SELECT n.id, n.id, 1 - 0.01 * (SELECT count(*) FROM co_a WHERE src = n.id) FROM co_n n) m ON m.src = x.id WHERE k < 6 GROUP BY m.dst, k) SELECT id, round(value, 6) AS value FROM x WHERE k = 6")(
     lambda g: iterate.heat_steps(g, g.nodes.crossJoin(_first(g).withColumnRenamed("id", "f")).select("id", (F.col("id") == F.col("f")).cast("double").alias("value")), 0.01, 6)
 )
