@@ -37,3 +37,7 @@ def told(name):
 def test_monte_carlo_schedule_leaves_the_arcs_with_the_tasks(spark, lean):
     row = QUERIES["monte_carlo_schedule"](spark, DATA).first()
     assert row["mean"] > 0 and row["std"] > 0
+
+
+def test_schedule_percentiles_without_arcs_in_the_driver(spark, lean):
+    assert sorted(map(tuple, QUERIES["schedule_percentiles"](spark, DATA).collect())) == told("schedule_percentiles")
