@@ -41,3 +41,7 @@ def test_monte_carlo_schedule_leaves_the_arcs_with_the_tasks(spark, lean):
 
 def test_schedule_percentiles_without_arcs_in_the_driver(spark, lean):
     assert sorted(map(tuple, QUERIES["schedule_percentiles"](spark, DATA).collect())) == told("schedule_percentiles")
+
+
+def test_schedule_facts_without_arcs_in_the_driver(spark, lean):
+    assert sorted(map(tuple, QUERIES["schedule_facts"](spark, DATA).collect())) == told("schedule_facts")
