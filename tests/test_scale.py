@@ -45,3 +45,7 @@ def test_schedule_percentiles_without_arcs_in_the_driver(spark, lean):
 
 def test_schedule_facts_without_arcs_in_the_driver(spark, lean):
     assert sorted(map(tuple, QUERIES["schedule_facts"](spark, DATA).collect())) == told("schedule_facts")
+
+
+def test_schedule_many_workers_without_arcs_in_the_driver(spark, lean):
+    assert sorted(map(tuple, QUERIES["schedule_many_workers"](spark, DATA).collect())) == told("schedule_many_workers")
