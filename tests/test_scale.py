@@ -49,3 +49,7 @@ def test_schedule_facts_without_arcs_in_the_driver(spark, lean):
 
 def test_schedule_many_workers_without_arcs_in_the_driver(spark, lean):
     assert sorted(map(tuple, QUERIES["schedule_many_workers"](spark, DATA).collect())) == told("schedule_many_workers")
+
+
+def test_schedule_one_worker_without_arcs_in_the_driver(spark, lean):
+    assert sorted(map(tuple, QUERIES["schedule_one_worker"](spark, DATA).collect())) == told("schedule_one_worker")
