@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import DataFrame
 
+from lattica.plans import registry_more  # noqa: F401
 from lattica.plans.registry import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
