@@ -54,3 +54,8 @@ def test_schedule_many_workers_without_arcs_in_the_driver(spark, lean):
 
 def test_schedule_one_worker_without_arcs_in_the_driver(spark, lean):
     assert sorted(map(tuple, QUERIES["schedule_one_worker"](spark, DATA).collect())) == told("schedule_one_worker")
+
+
+def test_hopcroft_karp_size_needs_no_component_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr("lattica.operators.kernels.GROUP_LIMIT", 1)
+    assert sorted(map(tuple, QUERIES["hopcroft_karp_size"](spark, DATA).collect())) == told("hopcroft_karp_size")
