@@ -59,3 +59,8 @@ def test_schedule_one_worker_without_arcs_in_the_driver(spark, lean):
 def test_hopcroft_karp_size_needs_no_component_in_a_task(spark, monkeypatch):
     monkeypatch.setattr("lattica.operators.kernels.GROUP_LIMIT", 1)
     assert sorted(map(tuple, QUERIES["hopcroft_karp_size"](spark, DATA).collect())) == told("hopcroft_karp_size")
+
+
+def test_max_flow_value_needs_no_component_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr("lattica.operators.kernels.GROUP_LIMIT", 300)
+    assert sorted(map(tuple, QUERIES["max_flow_value"](spark, DATA).collect())) == told("max_flow_value")
