@@ -64,3 +64,8 @@ def test_hopcroft_karp_size_needs_no_component_in_a_task(spark, monkeypatch):
 def test_max_flow_value_needs_no_component_in_a_task(spark, monkeypatch):
     monkeypatch.setattr("lattica.operators.kernels.GROUP_LIMIT", 300)
     assert sorted(map(tuple, QUERIES["max_flow_value"](spark, DATA).collect())) == told("max_flow_value")
+
+
+def test_dag_width_needs_no_component_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr("lattica.operators.kernels.GROUP_LIMIT", 1)
+    assert sorted(map(tuple, QUERIES["dag_width"](spark, DATA).collect())) == told("dag_width")
