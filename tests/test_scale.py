@@ -69,3 +69,8 @@ def test_max_flow_value_needs_no_component_in_a_task(spark, monkeypatch):
 def test_dag_width_needs_no_component_in_a_task(spark, monkeypatch):
     monkeypatch.setattr("lattica.operators.kernels.GROUP_LIMIT", 1)
     assert sorted(map(tuple, QUERIES["dag_width"](spark, DATA).collect())) == told("dag_width")
+
+
+def test_maximum_antichain_needs_no_component_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr("lattica.operators.kernels.GROUP_LIMIT", 1)
+    assert sorted(map(tuple, QUERIES["maximum_antichain"](spark, DATA).collect())) == told("maximum_antichain")
