@@ -74,3 +74,8 @@ def test_dag_width_needs_no_component_in_a_task(spark, monkeypatch):
 def test_maximum_antichain_needs_no_component_in_a_task(spark, monkeypatch):
     monkeypatch.setattr("lattica.operators.kernels.GROUP_LIMIT", 1)
     assert sorted(map(tuple, QUERIES["maximum_antichain"](spark, DATA).collect())) == told("maximum_antichain")
+
+
+def test_minimum_chain_partition_needs_no_component_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr("lattica.operators.kernels.GROUP_LIMIT", 1)
+    assert sorted(map(tuple, QUERIES["minimum_chain_partition"](spark, DATA).collect())) == told("minimum_chain_partition")
