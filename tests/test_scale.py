@@ -79,3 +79,8 @@ def test_maximum_antichain_needs_no_component_in_a_task(spark, monkeypatch):
 def test_minimum_chain_partition_needs_no_component_in_a_task(spark, monkeypatch):
     monkeypatch.setattr("lattica.operators.kernels.GROUP_LIMIT", 1)
     assert sorted(map(tuple, QUERIES["minimum_chain_partition"](spark, DATA).collect())) == told("minimum_chain_partition")
+
+
+def test_dfs_tree_needs_no_component_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr("lattica.operators.kernels.GROUP_LIMIT", 1)
+    assert sorted(map(tuple, QUERIES["dfs_tree"](spark, DATA).collect())) == told("dfs_tree")
