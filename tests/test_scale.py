@@ -84,3 +84,8 @@ def test_minimum_chain_partition_needs_no_component_in_a_task(spark, monkeypatch
 def test_dfs_tree_needs_no_component_in_a_task(spark, monkeypatch):
     monkeypatch.setattr("lattica.operators.kernels.GROUP_LIMIT", 1)
     assert sorted(map(tuple, QUERIES["dfs_tree"](spark, DATA).collect())) == told("dfs_tree")
+
+
+def test_bridges_need_no_component_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr("lattica.operators.kernels.GROUP_LIMIT", 1)
+    assert sorted(map(tuple, QUERIES["block_bridges"](spark, DATA).collect())) == told("block_bridges")
