@@ -89,3 +89,17 @@ def test_dfs_tree_needs_no_component_in_a_task(spark, monkeypatch):
 def test_bridges_need_no_component_in_a_task(spark, monkeypatch):
     monkeypatch.setattr("lattica.operators.kernels.GROUP_LIMIT", 1)
     assert sorted(map(tuple, QUERIES["block_bridges"](spark, DATA).collect())) == told("block_bridges")
+
+
+def test_astar_path_needs_no_component_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr("lattica.operators.kernels.GROUP_LIMIT", 1)
+    assert sorted(map(tuple, QUERIES["astar_path"](spark, DATA).collect())) == told("astar_path")
+
+
+def test_shared_ids_of_parts_and_suppliers_keep_all_edges(spark, tmp_path):
+    """Part 1,000,001 with supplier 2 and part 1,000,002 with supplier 1 are two edges, as in the SQL."""
+    from lattica.sources import derived
+
+    spark.createDataFrame([(1000001, 2), (1000002, 1), (1000001, 2)], "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    g = derived.part_supplier(spark, str(tmp_path))
+    assert sorted((r["id"], r["value"]) for r in g.degree().collect()) == [(1000001, 2), (1000002, 2)]
