@@ -103,3 +103,7 @@ def test_shared_ids_of_parts_and_suppliers_keep_all_edges(spark, tmp_path):
     spark.createDataFrame([(1000001, 2), (1000002, 1), (1000001, 2)], "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     g = derived.part_supplier(spark, str(tmp_path))
     assert sorted((r["id"], r["value"]) for r in g.degree().collect()) == [(1000001, 2), (1000002, 2)]
+
+
+def test_closeness_without_arcs_in_the_driver(spark, lean):
+    assert sorted(map(tuple, QUERIES["closeness"](spark, DATA).collect())) == told("closeness")
