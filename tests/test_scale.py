@@ -107,3 +107,7 @@ def test_shared_ids_of_parts_and_suppliers_keep_all_edges(spark, tmp_path):
 
 def test_closeness_without_arcs_in_the_driver(spark, lean):
     assert sorted(map(tuple, QUERIES["closeness"](spark, DATA).collect())) == told("closeness")
+
+
+def test_eccentricity_without_arcs_in_the_driver(spark, lean):
+    assert sorted(map(tuple, QUERIES["eccentricity"](spark, DATA).collect())) == told("eccentricity")
