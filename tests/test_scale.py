@@ -111,3 +111,7 @@ def test_closeness_without_arcs_in_the_driver(spark, lean):
 
 def test_eccentricity_without_arcs_in_the_driver(spark, lean):
     assert sorted(map(tuple, QUERIES["eccentricity"](spark, DATA).collect())) == told("eccentricity")
+
+
+def test_periphery_without_arcs_in_the_driver(spark, lean):
+    assert sorted(map(tuple, QUERIES["periphery"](spark, DATA).collect())) == told("periphery")
