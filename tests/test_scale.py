@@ -115,3 +115,7 @@ def test_eccentricity_without_arcs_in_the_driver(spark, lean):
 
 def test_periphery_without_arcs_in_the_driver(spark, lean):
     assert sorted(map(tuple, QUERIES["periphery"](spark, DATA).collect())) == told("periphery")
+
+
+def test_average_path_length_without_arcs_in_the_driver(spark, lean):
+    assert sorted(map(tuple, QUERIES["average_path_length"](spark, DATA).collect())) == told("average_path_length")
