@@ -119,3 +119,7 @@ def test_periphery_without_arcs_in_the_driver(spark, lean):
 
 def test_average_path_length_without_arcs_in_the_driver(spark, lean):
     assert sorted(map(tuple, QUERIES["average_path_length"](spark, DATA).collect())) == told("average_path_length")
+
+
+def test_betweenness_all_sources_without_arcs_in_the_driver(spark, lean):
+    assert QUERIES["betweenness_all_sources"](spark, DATA).first() is not None
