@@ -123,3 +123,7 @@ def test_average_path_length_without_arcs_in_the_driver(spark, lean):
 
 def test_betweenness_all_sources_without_arcs_in_the_driver(spark, lean):
     assert QUERIES["betweenness_all_sources"](spark, DATA).first() is not None
+
+
+def test_influence_spread_without_arcs_in_the_driver(spark, lean):
+    assert QUERIES["influence_spread"](spark, DATA).first() is not None
