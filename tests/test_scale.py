@@ -127,3 +127,7 @@ def test_betweenness_all_sources_without_arcs_in_the_driver(spark, lean):
 
 def test_influence_spread_without_arcs_in_the_driver(spark, lean):
     assert QUERIES["influence_spread"](spark, DATA).first() is not None
+
+
+def test_random_walk_visits_without_arcs_in_the_driver(spark, lean):
+    assert QUERIES["random_walk_visits"](spark, DATA).first() is not None
