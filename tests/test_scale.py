@@ -131,3 +131,7 @@ def test_influence_spread_without_arcs_in_the_driver(spark, lean):
 
 def test_random_walk_visits_without_arcs_in_the_driver(spark, lean):
     assert QUERIES["random_walk_visits"](spark, DATA).first() is not None
+
+
+def test_sir_ensemble_without_arcs_in_the_driver(spark, lean):
+    assert QUERIES["sir_ensemble"](spark, DATA).first() is not None
