@@ -1,6 +1,8 @@
-"""Near copies by the Jaccard similarity of five-word shingle sets, 0.8 or more.
+"""Near copies by the Jaccard similarity of five-word shingle sets, 0.8 or more, among those that SimHash and min-hash bring together.
 
-Each distinct shingle set gets BANDS keys of ROWS min-hashes; sets that share a key meet in a bucket, and a
+Texts get operator 8's fingerprint, of five-word shingles, and whatever its byte-position index with count filtering
+links lies in one bucket. As two texts of similarity 0.8 may differ in more bits than that index bears, each distinct
+shingle set also gets BANDS keys of ROWS min-hashes; sets that share a key meet in a bucket, and a
 pair of similarity 0.8 meets in none with a chance of (1 - 0.8 ^ 5) ^ 32, about 3e-6. Within a bucket the exact
 similarity is tested along a search tree: a set reached is compared with all sets not reached yet, so copies in
 large groups make as many links as sets, not pairs. Buckets of the same members count once.
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import components, cut
+from lattica.llm.simhash import fingerprint, links
 
 #: Words of a shingle; keys of a set, and min-hashes of a key.
 WORDS, BANDS, ROWS = 5, 32, 5
@@ -28,7 +31,12 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct XXH64 (seed 42) values of a text's word shingles.
+    """The sorted distinct XXH64 values of a text's word shingles."""
+    return np.unique(every_shingle(text, words))
+
+
+def every_shingle(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The XXH64 (seed 42) values of a text's word shingles, repeats included.
 
     Words are maximal runs without ASCII white space, A-Z lower-cased. Fewer words than a shingle: the
     whole sequence is one shingle; no words or null: none.
@@ -38,7 +46,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
         return np.zeros(0, np.uint64)
     parts = [w[k : max(1, len(w) - words + 1) + k] for k in range(words)] if len(w) >= words else None
     values = [xxhash.xxh64_intdigest(s, 42) for s in (map(b" ".join, zip(*parts)) if parts else [b" ".join(w)])]
-    return np.unique(np.array(values, np.uint64))
+    return np.array(values, np.uint64)
 
 
 def set_key(s: np.ndarray) -> int:
@@ -98,17 +106,20 @@ def _sets(docs: DataFrame) -> DataFrame:
 def _keyed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, found = [], []
+            keys, fps, found = [], [], []
             for t in b.column(2).to_pylist():
-                s = shingles(t)
+                h = every_shingle(t)
+                s = np.unique(h)
                 keys.append(set_key(s))
+                fps.append(int(np.uint64(fingerprint(h)).view(np.int64)) if len(h) else None)
                 found.append(bands(s))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text_key", "key", "bands"]
+                [b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(fps, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "key", "fp", "bands"],
             )
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), "text")
-    return own.mapInArrow(run, "doc_id long, text_key long, key long, bands array<long>")
+    return own.mapInArrow(run, "doc_id long, text_key long, key long, fp long, bands array<long>")
 
 
 def _text_key():
@@ -121,15 +132,22 @@ def _edges(t: pa.Table) -> pa.Table:
     return pa.table({"src": pa.array([keys[p] for p, _ in found], pa.int64()), "dst": pa.array([keys[q] for _, q in found], pa.int64())})
 
 
+def _linked(distinct: DataFrame) -> DataFrame:
+    """(key, band) of the sets whose fingerprints are equal or connected by operator 8's links; alone, a set has a band, too."""
+    own = distinct.select("key", F.explode("fps").alias("fp"))
+    roots = components(links(own))
+    return own.join(roots, own["fp"] == roots["node"], "left").select("key", F.coalesce("root", "fp").alias("band")).distinct()
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group that similarities of 0.8 or more connect, the smallest doc_id; columns unchanged.
 
     Texts without words are copies of each other. Repeated rows stay as one; rows with a null doc_id stay.
     """
     known = docs.where("doc_id is not null")
-    rows = _keyed(known).groupBy("key", "doc_id", "text_key").agg(F.count("*").alias("n"), F.first("bands").alias("bands"))
-    distinct = cut(rows.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "n")).alias("first"), F.first("bands").alias("bands")))
-    met = distinct.select("key", F.explode("bands").alias("band")).groupBy("band").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    rows = _keyed(known).groupBy("key", "doc_id", "text_key").agg(F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    distinct = cut(rows.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "n")).alias("first"), F.collect_set("fp").alias("fps"), F.first("bands").alias("bands")))
+    met = distinct.select("key", F.explode("bands").alias("band")).union(_linked(distinct)).groupBy("band").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     met = met.where(F.size("keys") > 1).select("keys").distinct()
     members = cut(met.select(F.xxhash64("keys").alias("bucket"), F.explode("keys").alias("key")))
     asked = cut(distinct.join(members.select("key").distinct(), "key", "left_semi").select("key", F.col("first.doc_id").alias("_first_id"), F.col("first.text_key").alias("_first_key")))

@@ -50,10 +50,26 @@ def simhash(text: str | None, words: int = 3) -> int:
         hi = min(n, lo + _SLICE)
         part = [w[lo + k : hi + k] for k in range(words)]
         h = np.array([digest(s, 42) for s in map(b" ".join, zip(*part))], np.uint64)
-        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += _ones(h)
+    return _over_half(ones, n)
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _over_half(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(h: np.ndarray) -> int:
+    """The SimHash of a text whose shingles, repeats included, have these values; zero if there are none."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(h), _SLICE):
+        ones += _ones(h[lo : lo + _SLICE])
+    return _over_half(ones, len(h))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
 

@@ -40,6 +40,18 @@ def test_near_duplicate_stage(spark):
     assert corpus_pipeline.near_duplicate_filter(spark, docs.where("false"), "").count() == 0
 
 
+def test_near_duplicate_stage_asks_the_fingerprint_index(spark, monkeypatch):
+    """Operator 8's links alone, without a min-hash that two texts share; the exact similarity still decides."""
+    monkeypatch.setattr(near_copies, "bands", lambda s: np.zeros(0, np.int64))
+    r = np.random.default_rng(6)
+    text = [f"w{j}" for j in r.integers(0, 9000, 3000)]
+    # one more word at the end: a similarity above 0.99; the words of every fourth line anew: below 0.8, whatever the bits
+    rows = [(1, " ".join(text)), (2, " ".join([*text, "end"])), (3, " ".join(w if k % 4 else f"x{k}" for k, w in enumerate(text))), (4, "alone"), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_duplicate_filter(spark, docs, "")
+    assert sorted(x.doc_id for x in got.collect()) == [1, 3, 4, 5]
+
+
 def test_run(spark, tmp_path):
     """The whole pipeline on a small folder against its stages in plain Python."""
     from tokenizers import Tokenizer
