@@ -137,3 +137,20 @@ def test_random_walk_visits_without_arcs_in_the_driver(spark, lean):
 
 def test_sir_ensemble_without_arcs_in_the_driver(spark, lean):
     assert QUERIES["sir_ensemble"](spark, DATA).first() is not None
+
+
+def test_louvain_hierarchy_needs_no_component_in_a_task(spark, monkeypatch):
+    from lattica.operators import kernels
+    from lattica.operators.model import Graph
+
+    # rings of eight cliques of five, a loop, an edge without a weight and a node alone; both ways over the edges agree
+    e = [(5 * c + i, 5 * c + j, 2.0) for c in range(8) for i in range(5) for j in range(i + 1, 5)] + [(5 * c, (5 * c + 5) % 40 + 1, 0.5) for c in range(8)]
+    e += [(3, 3, 1.0), (40, 41, None)]
+    edges = spark.createDataFrame(e, "src long, dst long, w double").withColumn("ord", kernels.F.struct("src", "dst"))
+    g = Graph(spark.range(43).withColumn("ord", kernels.F.col("id")), edges, False)
+    blocks = lambda h, k: {frozenset(r.id for r in h if r.level == k and r.label == c) for c in {r.label for r in h if r.level == k}}
+    want = kernels.louvain_hierarchy(g).collect()
+    monkeypatch.setattr("lattica.operators.kernels.GROUP_LIMIT", 1)
+    got = kernels.louvain_hierarchy(g).collect()
+    assert blocks(got, 0) == blocks(want, 0) and {40, 41} in blocks(got, 0) and len(blocks(got, 0)) == 10
+    assert sorted(map(tuple, QUERIES["louvain_hierarchy"](spark, DATA).collect())) == told("louvain_hierarchy")
