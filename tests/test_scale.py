@@ -154,3 +154,33 @@ def test_louvain_hierarchy_needs_no_component_in_a_task(spark, monkeypatch):
     got = kernels.louvain_hierarchy(g).collect()
     assert blocks(got, 0) == blocks(want, 0) and {40, 41} in blocks(got, 0) and len(blocks(got, 0)) == 10
     assert sorted(map(tuple, QUERIES["louvain_hierarchy"](spark, DATA).collect())) == told("louvain_hierarchy")
+
+
+@pytest.fixture
+def knots(spark):
+    """Random groups with loops, weights, a pair and a node without edges, under text ids."""
+    import random
+
+    from lattica.operators.model import Graph
+
+    r = random.Random(5)
+    pairs = {tuple(sorted(r.sample(range(20 * (k % 6), 20 * (k % 6) + 22), 2))) for k in range(500)} | {(3, 3), (200, 201)}
+    name = "n{:03d}".format
+    e = spark.createDataFrame([(name(a), name(b), float(r.randint(1, 3))) for a, b in sorted(pairs)], "src string, dst string, w double")
+    return Graph.from_edges(e, nodes=spark.createDataFrame([(name(k),) for k in (*range(122), 200, 201, 300)], "id string"))
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_label_propagation_walks_rows_and_gives_the_distributed_labels(spark, knots, monkeypatch, weight):
+    from lattica.plans import iterate, sources
+
+    cuts = []
+    monkeypatch.setattr(iterate, "cut", lambda df, real=iterate.cut: cuts.append(1) or real(df))
+    short = sorted(iterate.label_propagation(knots, weight).collect())
+    assert len(cuts) == 1  # no round of the driver's
+    if weight is None:
+        monkeypatch.setattr(iterate, "_TURNS", 1)  # five rounds of rows, then distributed ones
+    else:
+        monkeypatch.setattr(sources, "ARC_LIMIT", 0)
+    assert sorted(iterate.label_propagation(knots, weight).collect()) == short
+    assert len(cuts) > 3 and len({x["label"] for x in short}) > 4
