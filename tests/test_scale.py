@@ -184,3 +184,9 @@ def test_label_propagation_walks_rows_and_gives_the_distributed_labels(spark, kn
         monkeypatch.setattr(sources, "ARC_LIMIT", 0)
     assert sorted(iterate.label_propagation(knots, weight).collect()) == short
     assert len(cuts) > 3 and len({x["label"] for x in short}) > 4
+
+
+def test_average_path_length_searches_once(spark):
+    found = QUERIES["average_path_length"](spark, DATA)
+    assert "MapIn" not in found._jdf.queryExecution().toString()  # what is returned holds the sum, not the searches
+    assert sorted(map(tuple, found.collect())) == told("average_path_length")
