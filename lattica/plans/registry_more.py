@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.errors import CycleError
+from lattica.errors import CycleError, EdgeNotFound
 from lattica.functions import metrics
 from lattica.operators import dag as acyclic
 from lattica.operators import kernels, layout, local, matching, outcomes, paths, simulate
@@ -143,8 +143,13 @@ query("shortest_path_length", "co", DIST + " SELECT dist AS value FROM r, one WH
 
 
 def _length(g: Graph, path: list) -> float:
-    """A path's weight; a step that is no edge is an error."""
-    return float(sum(g.edge(a, b)["w"] for a, b in zip(path, path[1:])))
+    """A path's weight, all steps in one pass over the arcs; a step that is no edge is an error."""
+    kind = g.nodes.schema["id"].dataType.simpleString()
+    steps = _spark(g).createDataFrame(list(zip(path, path[1:])), f"src {kind}, dst {kind}")
+    found = g.arcs("w").join(F.broadcast(steps), ["src", "dst"]).agg(F.count("*").alias("n"), F.sum("w").alias("w")).first()
+    if found["n"] < len(path) - 1:
+        raise EdgeNotFound(f"a step of {path}")
+    return float(found["w"] or 0)
 
 
 query("astar_path", "co", DIST + " SELECT dist AS value FROM r, one WHERE id = t")(

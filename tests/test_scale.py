@@ -190,3 +190,23 @@ def test_average_path_length_searches_once(spark):
     found = QUERIES["average_path_length"](spark, DATA)
     assert "MapIn" not in found._jdf.queryExecution().toString()  # what is returned holds the sum, not the searches
     assert sorted(map(tuple, found.collect())) == told("average_path_length")
+
+
+@pytest.mark.parametrize("name", ["astar_path", "shortest_path_length"])
+def test_a_path_is_measured_in_one_pass(spark, monkeypatch, name):
+    """A look-up for each step would compute the graph as often as the path has steps."""
+    def one(g, u, v):
+        raise AssertionError("a look-up for a step")
+
+    monkeypatch.setattr("lattica.operators.model.Graph.edge", one)
+    assert sorted(map(tuple, QUERIES[name](spark, DATA).collect())) == told(name)
+
+
+def test_a_step_that_is_no_edge_has_no_length(spark):
+    from lattica.errors import EdgeNotFound
+    from lattica.operators.model import Graph
+
+    e = spark.createDataFrame([(1, 2, 2.0), (3, 2, 0.5)], "src long, dst long, w double")
+    assert registry_more._length(Graph.from_edges(e), [1, 2, 3]) == 2.5 and registry_more._length(Graph.from_edges(e), [1]) == 0.0
+    with pytest.raises(EdgeNotFound):
+        registry_more._length(Graph.from_edges(e), [2, 1, 3])
