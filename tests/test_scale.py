@@ -210,3 +210,25 @@ def test_a_step_that_is_no_edge_has_no_length(spark):
     assert registry_more._length(Graph.from_edges(e), [1, 2, 3]) == 2.5 and registry_more._length(Graph.from_edges(e), [1]) == 0.0
     with pytest.raises(EdgeNotFound):
         registry_more._length(Graph.from_edges(e), [2, 1, 3])
+
+
+@pytest.mark.parametrize("pairs", [60, 700])
+def test_dense_passes_read_the_arcs_as_they_lie(pairs):
+    """Few and many arcs, rows without arcs, and nodes that aren't reached give the depths of single searches."""
+    import numpy as np
+
+    from lattica.plans.sources import Rows
+
+    r = np.random.default_rng(pairs)
+    s, d = np.sort(r.integers(0, 90, pairs)), r.integers(0, 100, pairs)
+    rows, back = Rows.__new__(Rows), Rows.__new__(Rows)
+    for x, tail, to in ((rows, s, d), (back, np.sort(d), s[np.argsort(d, kind="stable")])):
+        x.n, x.count, x.weighted, x.path = 100, pairs, False, str(id(x))
+        x.__dict__.update(head=np.concatenate([[0], np.cumsum(np.bincount(tail, minlength=100))]), dst=to.astype(np.int32))
+    gathered = []
+    rows.__dict__["spans"] = lambda u, real=rows.spans: gathered.append(len(u)) or real(u)
+    found = rows.depths(np.arange(64))
+    for k in range(64):
+        far = back.distances(k)
+        assert found[:, k].tolist() == [int((far == x).sum()) for x in range(len(found))]
+    assert 90 not in gathered and (pairs < 700 or len(gathered) < len(found))
