@@ -212,6 +212,14 @@ def test_a_step_that_is_no_edge_has_no_length(spark):
         registry_more._length(Graph.from_edges(e), [2, 1, 3])
 
 
+def test_eccentricity_asks_all_searches_at_once(spark, monkeypatch):
+    """isEmpty() runs one task, then a few, then the rest, so most executors wait."""
+    asked = []
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.isEmpty", lambda df: asked.append(df.columns) or not df.limit(1).count())
+    assert sorted(map(tuple, QUERIES["eccentricity"](spark, DATA).collect())) == told("eccentricity")
+    assert ["id", "ord", "value"] not in asked
+
+
 @pytest.mark.parametrize("pairs", [60, 700])
 def test_dense_passes_read_the_arcs_as_they_lie(pairs):
     """Few and many arcs, rows without arcs, and nodes that aren't reached give the depths of single searches."""
