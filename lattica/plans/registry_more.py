@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,7 +125,7 @@ query("metric_map", "ps", M + " SELECT id, value * 2 + 1 AS value FROM m")(lambd
 query("metric_filter", "ps", M + " SELECT id, value FROM m WHERE value > 20")(lambda g: metrics.filtered(g.degree(), lambda v: v > 20).select("id", "value"))
 query("metric_to_array", "ps", M + " " + _said(a="(SELECT value FROM m WHERE id = 1)", b="(SELECT value FROM m WHERE id = 2)", c="-1"))(lambda g: facts(_spark(g), **dict(zip("abc", metrics.to_array(g.degree(), [1, 2, -5], -1.0)))))
 query("as_nodemap", "co", "SELECT id, CASE WHEN id = 1 THEN 2.5::DOUBLE WHEN id = 2 THEN 3.5 END AS value FROM co_n")(lambda g: metrics.as_nodemap(g, {1: 2.5, 2: 3.5}).select("id", "value"))
-query("metric_to_pandas", "ps", M + " SELECT id, CAST(value AS BIGINT) AS value FROM m")(lambda g: _spark(g).createDataFrame(metrics.to_pandas(g.degree()).reset_index()))
+query("metric_to_pandas", "ps", M + " SELECT id, CAST(value AS BIGINT) AS value FROM m")(lambda g: _spark(g).createDataFrame(pa.Table.from_pandas(metrics.to_pandas(g.degree()).reset_index(), preserve_index=False)))
 
 # traversal
 query("bfs_order", "ut", BFS.format(g="ut", a="ut_e") + ", p AS (SELECT r.id, r.depth, (SELECT min(x.id) FROM r x JOIN ut_e e ON e.src = x.id WHERE e.dst = r.id AND x.depth = r.depth - 1) AS parent FROM r) SELECT id, row_number() OVER (ORDER BY depth, parent NULLS FIRST, id) - 1 AS position FROM p")(

@@ -240,3 +240,17 @@ def test_dense_passes_read_the_arcs_as_they_lie(pairs):
         far = back.distances(k)
         assert found[:, k].tolist() == [int((far == x).sum()) for x in range(len(found))]
     assert 90 not in gathered and (pairs < 700 or len(gathered) < len(found))
+
+
+def test_metric_to_pandas_takes_columns_not_rows(spark, lean):
+    assert sorted(map(tuple, QUERIES["metric_to_pandas"](spark, DATA).toArrow().to_pandas().itertuples(index=False))) == told("metric_to_pandas")
+
+
+def test_to_pandas_of_either_kind_of_ids_is_in_graph_order(spark):
+    """Text ids go through Arrow, dates don't; a null value is NaN."""
+    from lattica.functions import metrics
+
+    for kind, ids in (("string", ["b", "a", "c"]), ("date", ["2024-01-02", "2024-01-01", "2024-01-03"])):
+        m = spark.createDataFrame([(x, k, v) for x, k, v in zip(ids, (2, 0, 1), (1.5, None, 2.5))], "id string, ord long, value double")
+        got = metrics.to_pandas(m.withColumn("id", m["id"].cast(kind)))
+        assert [str(x) for x in got.index] == [ids[1], ids[2], ids[0]] and got.name == "value" and got.isna().tolist() == [True, False, False]
