@@ -149,6 +149,27 @@ def test_dags(spark):
     assert kernels.dag_width(d).first()[0] == 2
 
 
+def test_links_may_pass_the_same_node(spark):
+    import random
+
+    rnd = random.Random(3)
+    graphs = [[(0, 2), (1, 2), (2, 3), (2, 4)], [(0, 3), (1, 3), (2, 3), (3, 4), (4, 5), (4, 6), (4, 7)], [(u, v) for u in range(12) for v in range(u + 1, 12) if rnd.random() < 0.2]]
+    for edges in graphs:
+        g = graph(spark, edges, directed=True)
+        n = {x for e in edges for x in e}
+        reach = {u: {v for a, v in edges if a == u} for u in n}
+        for u in sorted(n, reverse=True):
+            reach[u] |= {w for v in reach[u] for w in reach[v]}
+        width = max(bin(s).count("1") for s in range(1 << 12) if all(s >> u & 1 == 0 or u in n and not any(s >> v & 1 for v in reach[u]) for u in range(12)))
+        found = {r.id for r in kernels.maximum_antichain(g).collect()}
+        assert len(found) == width == kernels.dag_width(g).first()[0] and not any(reach[u] & found for u in found)
+        chains = {}
+        for r in kernels.minimum_chain_partition(g).collect():
+            chains.setdefault(r.chain, []).append(r.id)
+        assert len(chains) == width and sorted(x for c in chains.values() for x in c) == sorted(n)
+        assert all(b in reach[a] for c in chains.values() for a, b in zip(sorted(c), sorted(c)[1:]))
+
+
 def test_schedules(spark):
     tasks = gen.random_task_dag(spark, 30, seed=1)
     total = tasks.nodes.agg(F.sum("duration")).first()[0]

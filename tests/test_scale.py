@@ -28,6 +28,14 @@ def lean(monkeypatch):
     monkeypatch.setattr(Classic, "toPandas", none)
 
 
+@pytest.fixture
+def own_arcs(spark, monkeypatch):
+    """As many arcs as supply_chain has: its closure, in both directions, is beyond the limit."""
+    from lattica.sources import derived
+
+    monkeypatch.setattr("lattica.plans.sources.ARC_LIMIT", derived.supply_chain(spark, FULL).count_edges())
+
+
 def told(name, data=DATA):
     import duckdb
 
@@ -83,6 +91,10 @@ def test_minimum_chain_partition_needs_no_component_in_a_task(spark, monkeypatch
     assert sorted(map(tuple, QUERIES["minimum_chain_partition"](spark, FULL).collect())) == told("minimum_chain_partition", FULL)
 
 
+def test_minimum_chain_partition_needs_no_closure(spark, own_arcs):
+    assert sorted(map(tuple, QUERIES["minimum_chain_partition"](spark, FULL).collect())) == told("minimum_chain_partition", FULL)
+
+
 def test_dfs_tree_needs_no_component_in_a_task(spark, monkeypatch):
     monkeypatch.setattr("lattica.operators.kernels.GROUP_LIMIT", 1)
     assert sorted(map(tuple, QUERIES["dfs_tree"](spark, DATA).collect())) == told("dfs_tree")
