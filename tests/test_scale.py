@@ -81,6 +81,10 @@ def test_dag_width_needs_no_component_in_a_task(spark, monkeypatch):
     assert sorted(map(tuple, QUERIES["dag_width"](spark, FULL).collect())) == told("dag_width", FULL)
 
 
+def test_dag_width_needs_no_closure(spark, own_arcs):
+    assert sorted(map(tuple, QUERIES["dag_width"](spark, FULL).collect())) == told("dag_width", FULL)
+
+
 def test_maximum_antichain_needs_no_component_in_a_task(spark, monkeypatch):
     monkeypatch.setattr("lattica.operators.kernels.GROUP_LIMIT", 1)
     assert sorted(map(tuple, QUERIES["maximum_antichain"](spark, FULL).collect())) == told("maximum_antichain", FULL)
