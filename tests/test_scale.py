@@ -90,6 +90,10 @@ def test_maximum_antichain_needs_no_component_in_a_task(spark, monkeypatch):
     assert sorted(map(tuple, QUERIES["maximum_antichain"](spark, FULL).collect())) == told("maximum_antichain", FULL)
 
 
+def test_maximum_antichain_needs_no_closure(spark, own_arcs):
+    assert sorted(map(tuple, QUERIES["maximum_antichain"](spark, FULL).collect())) == told("maximum_antichain", FULL)
+
+
 def test_minimum_chain_partition_needs_no_component_in_a_task(spark, monkeypatch):
     monkeypatch.setattr("lattica.operators.kernels.GROUP_LIMIT", 1)
     assert sorted(map(tuple, QUERIES["minimum_chain_partition"](spark, FULL).collect())) == told("minimum_chain_partition", FULL)
