@@ -36,6 +36,14 @@ def own_arcs(spark, monkeypatch):
     monkeypatch.setattr("lattica.plans.sources.ARC_LIMIT", derived.supply_chain(spark, FULL).count_edges())
 
 
+@pytest.fixture
+def shared_ids(spark, tmp_path):
+    """Parts whose keys are ids of suppliers, too: a loop and a triangle if they were one node."""
+    rows = [(5, 1), (5, 2), (1000001, 1), (1000001, 2), (1000002, 2)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
 def told(name, data=DATA):
     import duckdb
 
@@ -71,6 +79,10 @@ def test_hopcroft_karp_size_needs_no_component_in_a_task(spark, monkeypatch):
     assert sorted(map(tuple, QUERIES["hopcroft_karp_size"](spark, DATA).collect())) == told("hopcroft_karp_size")
 
 
+def test_hopcroft_karp_size_tells_parts_from_suppliers(spark, shared_ids):
+    assert [tuple(r) for r in QUERIES["hopcroft_karp_size"](spark, shared_ids).collect()] == [(2,)]
+
+
 def test_max_flow_value_needs_no_component_in_a_task(spark, monkeypatch):
     monkeypatch.setattr("lattica.operators.kernels.GROUP_LIMIT", 300)
     assert sorted(map(tuple, QUERIES["max_flow_value"](spark, DATA).collect())) == told("max_flow_value")
