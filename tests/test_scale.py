@@ -83,6 +83,25 @@ def test_hopcroft_karp_size_tells_parts_from_suppliers(spark, shared_ids):
     assert [tuple(r) for r in QUERIES["hopcroft_karp_size"](spark, shared_ids).collect()] == [(2,)]
 
 
+def test_bipartite_sets_tells_parts_from_suppliers(spark, shared_ids):
+    """A key that is a part's and a supplier's has a row on each side."""
+    rows = sorted(map(tuple, QUERIES["bipartite_sets"](spark, shared_ids).collect()))
+    assert rows == [(5, 0), (1000001, 0), (1000001, 1), (1000002, 0), (1000002, 1)]
+
+
+def test_bipartite_sets_beyond_a_task(spark, monkeypatch):
+    from lattica.errors import GraphError
+    from lattica.plans import iterate
+    from lattica.sources import generators as gen
+
+    for limit in (100, 1):
+        monkeypatch.setattr("lattica.plans.sources.ARC_LIMIT", limit)
+        rows = {r.id: r.side for r in iterate.bipartite_sets(gen.cycle_graph(spark, 6)).collect()}
+        assert rows == {n: n % 2 for n in range(6)}
+        with pytest.raises(GraphError, match="an odd cycle passes [0-4] - [0-4]"):
+            iterate.bipartite_sets(gen.cycle_graph(spark, 5))
+
+
 def test_max_flow_value_needs_no_component_in_a_task(spark, monkeypatch):
     monkeypatch.setattr("lattica.operators.kernels.GROUP_LIMIT", 300)
     assert sorted(map(tuple, QUERIES["max_flow_value"](spark, DATA).collect())) == told("max_flow_value")
